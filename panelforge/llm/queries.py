@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from . import bpe, minhash, toxicity
 
 #: Of the chain, in this order.
-CATEGORIES = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
@@ -174,9 +174,9 @@ def score_chain(docs: DataFrame, chain: Sequence[np.ndarray], categories: Sequen
     return scored.select(F.col("id").alias(id_col), *[F.col(f"p{k}").alias(f"p_{c}") for k, c in enumerate(categories)])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts and category flags of at most ``sample`` labelled documents, those of the smallest hashes of their id."""
-    flags = [c.alias(f"_c{k}") for k, c in enumerate(categories.values())]
+    flags = [F.expr(c).cast("int").alias(f"_c{k}") for k, c in enumerate(categories.values())]
     chosen = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), *flags)
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", *[f"_c{k}" for k in range(len(flags))]).limit(sample)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -188,7 +188,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Co
 def classify(
     docs: DataFrame,
     labels: DataFrame,
-    categories: dict[str, Column],
+    categories: dict[str, str],
     target: str = "toxic",
     sample: int = SAMPLE,
     threshold: float | None = None,
@@ -198,7 +198,7 @@ def classify(
 ) -> DataFrame:
     """Chain probabilities of every document, and whether it counts as ``target``.
 
-    ``categories`` maps names to boolean or 0/1 columns of ``labels``, in the order of the chain.
+    ``categories`` maps names to SQL expressions over ``labels`` that give 0 or 1, in the order of the chain.
     Labels without a document and documents without a label are fine; null flags count as 0; null
     and empty texts have no words, so the intercepts decide. Rows that repeat an id are each scored.
     Without ``threshold`` the one with the best out-of-fold F1 decides. Without any label all
