@@ -25,11 +25,11 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import shuffle_width, small_batches
 
 CHUNK = 16_384
 OVERLAP = 512
-PIECES_KEPT = 400_000  # encoded pieces that a task remembers at most
+PIECES_KEPT = 120_000  # encoded pieces that a task remembers at most
 LONGEST_KEPT = 64  # characters; longer pieces are not remembered
 
 
@@ -92,19 +92,20 @@ def _encode_rows(ranks_path: str, pattern: str):
 
 
 def _scan_chunks(pattern: str, chunk: int, overlap: int):
-    """Chunk rows to their own boundaries: all lengths, and the places in the overlap with the chunk before."""
+    """Chunk rows to their own boundaries: a bit for each place, and the places in the overlap with the chunk before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         for batch in batches:
-            lengths, heads = [], []
+            bounds, heads = [], []
             for k, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = np.fromiter(map(len, find(text)), dtype=np.int64)
-                cut = np.concatenate([[0], np.cumsum(own)])
-                lengths.append(own.astype("<u4").tobytes())
+                cut = np.cumsum([0, *map(len, find(text))])
+                bits = np.zeros(len(text) + 1, np.uint8)
+                bits[cut] = 1
+                bounds.append(np.packbits(bits).tobytes())
                 heads.append((k * chunk + cut[cut < overlap]).tolist())
-            found = [pa.array(lengths, pa.binary()), pa.array(heads, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=["row", "chunk", "text", "lengths", "head"])
+            found = [pa.array(bounds, pa.binary()), pa.array(heads, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=["row", "chunk", "text", "bounds", "head"])
 
     return run
 
@@ -114,14 +115,15 @@ def _encode_chunks(ranks_path: str, pattern: str, chunk: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(ranks_path, pattern)
+        done: list[bytes] = []  # ids of the text so far
         at, carry = 0, ""  # the place up to which the text is encoded, and the text from there to this chunk
         for batch in batches:
-            out = []
-            for k, text, lengths, ahead in zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True):
+            rows, out = [], []
+            for j, (k, text, bounds, ahead) in enumerate( zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True)):
                 if k == 0:
-                    at, carry = 0, ""
+                    at, carry, done = 0, "", []
                 base = k * chunk
-                cut = base + np.concatenate([[0], np.cumsum(np.frombuffer(lengths, "<u4").astype(np.int64))])
+                cut = base + np.flatnonzero(np.unpackbits(np.frombuffer(bounds, np.uint8)))
                 lo = int(np.searchsorted(cut, at))
                 if not carry and lo < len(cut) and cut[lo] == at:
                     cut = cut[lo:]  # the chunk's own boundaries hold from here on
@@ -136,10 +138,14 @@ def _encode_chunks(ranks_path: str, pattern: str, chunk: int):
                     joins = np.isin(cut[:-1], ahead).nonzero()[0]
                     stop = int(joins[0]) if len(joins) else max(0, len(cut) - 2)
                 edges = (cut[: stop + 1] - start).tolist()
-                out.append(encoder.pack([whole[a:b] for a, b in zip(edges, edges[1:], strict=False)]))
+                done.append(encoder.pack([whole[a:b] for a, b in zip(edges, edges[1:], strict=False)]))
                 at = int(cut[stop])
                 carry = whole[at - start : base + chunk - start] if at < base + chunk else ""
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["row", "chunk", "ids"])
+                if ahead is None:
+                    rows.append(j)
+                    out.append(b"".join(done))
+                    done = []
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out, pa.binary())], names=["row", "ids"])
 
     return run
 
@@ -159,25 +165,18 @@ def encode(
     empty table gives an empty result; other columns are ignored. ``ranks_path`` must be readable on
     the executors. Special tokens are not known: their strings are ordinary text.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("row"), text.alias("text"))
+    spark, text = small_batches(docs.sparkSession), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("n")).alias("row"), text.alias("text"))
     size = F.length("text")
     shape = rows.schema["row"].dataType.simpleString()
     short = rows.where(size <= chunk).mapInArrow(_encode_rows(ranks_path, pattern), f"row {shape}, ids binary")
-    # a row repeated whole is encoded once and counted
-    long = rows.where(size > chunk).groupBy("row").agg(F.min("text").alias("text"), F.count("*").alias("times"))
-    numbered = long.select("row", "times", "text", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int"))).alias("chunk"))
+    numbered = rows.where(size > chunk).select("row", "text", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int"))).alias("chunk"))
     part = F.substring(F.col("text"), F.col("chunk") * chunk + 1, F.lit(chunk + overlap))
-    cut = numbered.select("row", "chunk", part.alias("text")).repartition(shuffle_width(docs.sparkSession), "row", "chunk")
-    scanned = cut.mapInArrow(_scan_chunks(pattern, chunk, overlap), f"row {shape}, chunk int, text string, lengths binary, head array<long>")
+    cut = numbered.select("row", "chunk", part.alias("text")).repartition(shuffle_width(spark), "row", "chunk")
+    scanned = cut.mapInArrow(_scan_chunks(pattern, chunk, overlap), f"row {shape}, chunk int, text string, bounds binary, head array<long>")
     ahead = F.lead("head").over(Window.partitionBy("row").orderBy("chunk"))
-    ordered = scanned.select("row", "chunk", "text", "lengths", ahead.alias("ahead"))
-    encoded = ordered.mapInArrow(_encode_chunks(ranks_path, pattern, chunk), f"row {shape}, chunk int, ids binary")
-    whole = encoded.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-    # concatenated as hexadecimal text, since array_join takes strings only
-    whole = whole.select("row", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), "")).alias("ids"))
-    times = long.where("times > 1").select("row", "times")
-    whole = whole.join(times, "row", "left").select("row", "ids", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)).cast("int")))).select("row", "ids")
+    ordered = scanned.select("row", "chunk", "text", "bounds", ahead.alias("ahead"))
+    whole = ordered.mapInArrow(_encode_chunks(ranks_path, pattern, chunk), f"row {shape}, ids binary")
     both = short.unionByName(whole)
     return both.select(F.col("row.id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
@@ -198,6 +197,7 @@ def _decode_rows(ranks_path: str):
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Adds ``decoded`` binary, the bytes of all ``ids`` in order. Null ids give null, no ids give no bytes."""
+    small_batches(encoded.sparkSession)
     rest = encoded.drop("decoded")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
     return rest.mapInArrow(_decode_rows(ranks_path), f"{schema}, decoded binary")

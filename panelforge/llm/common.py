@@ -46,3 +46,12 @@ def forget(spark: SparkSession, paths: Iterable[str]) -> None:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Whole texts go to Python in batches of at most ``rows``: the session's limit is lowered if it is higher."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+    return spark

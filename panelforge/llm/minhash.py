@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, shuffle_width, table
+from .common import forget, shuffle_width, small_batches, table
 from .components import connected_components
 
 CIRCLE = 1 << 20  # places of the circle on which the permutations act
@@ -219,7 +219,7 @@ def near_duplicates(
     agree; with different texts, each text's set takes part and their links are the id's links. An
     empty table gives an empty result. Further columns of ``docs`` are ignored.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     bands = band_count(percent / 100, rows, miss)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     run = _features(words, bands, rows, seed)

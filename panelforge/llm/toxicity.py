@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 BUCKETS = 1 << 18  # hashed words
 SURE = 6.0  # standard deviations from which a word counts in full
@@ -204,6 +204,7 @@ def classify(
     Without ``threshold`` the one with the best out-of-fold F1 decides. Without any label all
     probabilities are 0.5, and nothing counts as the target.
     """
+    small_batches(docs.sparkSession)
     train = labelled_sample(docs, labels, categories, sample, id_col, text_col)
     chain, best = fit_chain(train, "text", list(categories), folds)
     scored = score_chain(docs, chain, list(categories), id_col, text_col)
