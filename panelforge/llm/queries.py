@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, toxicity
+from . import additive, bpe, chat, linededup, minhash, mixing, pivots, shards, toxicity, warc
+from .common import shared_path
 
 #: Of the chain, in this order.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -20,6 +21,19 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), CATEGORIES)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    records = warc.read_archives(spark, path).where("gap is null")
+    return records.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -30,10 +44,44 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, ranks).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {
-    "op1_toxicity": op1_toxicity,
-    "op4_minhash_near_dedup": op4_minhash_near_dedup,
-    "op5_byte_bpe": op5_byte_bpe,
-}
+def op6_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times")
+
+
+def op7_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = F.lit("</s>[INST] ok [/INST]")
+    role = F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant"))
+    kinds = {f.name: f.dataType for f in rows.schema}
+    probe = spark.range(0, 2, 1, 1).select(F.lit(-1).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"), role.alias("role"), text.alias("text"))
+    chats = chat.format_chats(rows.unionByName(probe))
+    back = chats.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("trained", chat.trained_text(F.col("segments")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("trained").cast("long").alias("loss_chars"),
+        F.sha2(F.col("trained").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
+def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_products(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layout = shards.materialise(_table(spark, sf_dir, "documents"), shared_path(spark, "shards"))
+    return shards.read_shards(spark, layout).select("slot", "shard", "doc_id", "start", "n_docs", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_warc_salvage, op4_minhash_near_dedup, op5_byte_bpe, op6_pareto_mix, op7_additive_ann, op8_chat_format, op9_pivot_topk, op10_training_shards)}
 
+#: The same results in DuckDB SQL, where it can express them at this size.
 ORACLE_SQL: dict[str, str] = {}
