@@ -154,24 +154,24 @@ def fit_chain(labelled: DataFrame, text_col: str, categories: Sequence[str], fol
     return chain, thresholds
 
 
-def score_chain(docs: DataFrame, chain: Sequence[np.ndarray], categories: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``p_<category>`` for each, one row per row of ``docs``. Null and empty texts have no words."""
+def score_chain(docs: DataFrame, chain: Sequence[np.ndarray], categories: Sequence[str], text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns and ``p_<category>`` for each, one row per row of ``docs``. Null and empty texts have no words."""
     model = docs.sparkSession.sparkContext.broadcast([np.asarray(w) for w in chain])  # of a size that the number of categories fixes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, weights = Words(), model.value
         for batch in batches:
-            words = [hashed(t.as_py()) for t in batch.column(1).cast(pa.binary())]
+            words = [hashed(t.as_py()) for t in batch.column(0).cast(pa.binary())]
             dense = np.empty((len(words), len(weights)))
             for k, w in enumerate(weights):
                 dense[:, k] = score_linear(w, words, dense[:, :k])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(dense[:, k]) for k in range(len(weights))]], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(dense[:, k]) for k in range(len(weights))]], names=names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", *[f"p{k}" for k in range(len(categories))]]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"p{k} double" for k in range(len(categories))))
-    return scored.select(F.col("id").alias(id_col), *[F.col(f"p{k}").alias(f"p_{c}") for k, c in enumerate(categories)])
+    rows = docs.select(F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    names = [*[f"k{i}" for i in range(len(keep))], *[f"p{k}" for k in range(len(categories))]]
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
+    scored = rows.mapInArrow(run, ", ".join([*kinds, *[f"p{k} double" for k in range(len(categories))]]))
+    return scored.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"p{k}").alias(f"p_{c}") for k, c in enumerate(categories)])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,18 +195,19 @@ def classify(
     folds: int = 3,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Chain probabilities of every document, and whether it counts as ``target``.
 
     ``categories`` maps names to SQL expressions over ``labels`` that give 0 or 1, in the order of the chain.
     Labels without a document and documents without a label are fine; null flags count as 0; null
     and empty texts have no words, so the intercepts decide. Rows that repeat an id are each scored.
-    Without ``threshold`` the one with the best out-of-fold F1 decides. Without any label all
+    Columns named in ``keep`` come along (default: the id). Without ``threshold`` the one with the best out-of-fold F1 decides. Without any label all
     probabilities are 0.5, and nothing counts as the target.
     """
     small_batches(docs.sparkSession)
     train = labelled_sample(docs, labels, categories, sample, id_col, text_col)
     chain, best = fit_chain(train, "text", list(categories), folds)
-    scored = score_chain(docs, chain, list(categories), id_col, text_col)
+    scored = score_chain(docs, chain, list(categories), text_col, [id_col] if keep is None else keep)
     limit = best[list(categories).index(target)] if threshold is None else threshold
     return scored.withColumn(f"is_{target}", F.col(f"p_{target}") > limit)
