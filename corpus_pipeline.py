@@ -1,12 +1,60 @@
-"""The corpus pipeline: five stages over ``documents``, each written and read again before the next."""
+"""The corpus pipeline: five stages over ``documents``, each written and read again before the next.
+
+toxicity drops the documents that the classifier chain rejects; line_dedup takes lines that many documents
+share out of all but one; minhash keeps one document of each near-duplicate group; mix repeats or
+leaves out documents so that sources meet their target weights; bpe encodes what is left.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelforge.llm import bpe, linededup, minhash, mixing, toxicity
+from panelforge.llm.common import shared_path
+from panelforge.llm.queries import CATEGORIES
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.classify(docs, labels, CATEGORIES, keep=docs.columns)
+    return scored.where(~F.col("is_toxic")).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs))
+    return kept.select(*docs.columns).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(docs, words=5, percent=80)
+    return docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    plan = mixing.mix(docs).select("doc_id", F.col("size").alias("_size"), "times").distinct()
+    sized = docs.withColumn("_size", mixing.word_count(F.col("text")))
+    taken = sized.join(plan.where("times > 0"), ["doc_id", "_size"])
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    both = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("minhash", drop_near_duplicates), ("mix", mix_sources), ("bpe", encode)]
 
-STAGES: list = []
+#: SQL has neither the classifier nor the tokenizer; the stages are tested one by one instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        out, path = stage(spark, docs, sf_dir), shared_path(spark, f"stage-{name}")
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
