@@ -77,9 +77,10 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the kept text, and ``n_lines`` and ``n_dropped`` as further columns.
 
-    A text that loses nothing stays as it is, null included.
+    A text that loses nothing stays as it is, null included. The bitmaps grow with the input, so
+    they are joined by shuffling at every size.
     """
-    marked = docs.withColumn("_key", _row_key(id_col, text_col)).join(bitmaps.select(F.col("key").alias("_key"), F.col("dropped").alias("_dropped")), "_key", "left")
+    marked = docs.withColumn("_key", _row_key(id_col, text_col)).join(bitmaps.select(F.col("key").alias("_key"), F.col("dropped").alias("_dropped")).hint("merge"), "_key", "left")
     lines = _lines(F.col(text_col).cast("string"))
     lost = F.flatten(F.transform("_dropped", lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
