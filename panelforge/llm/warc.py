@@ -199,7 +199,7 @@ def write_archives(
     digests, digest_path = table(rows.where(F.col("page").isNotNull() & (F.length("payload") >= least_bytes)).select("page", F.sha1("payload").alias("sha1")), "warc-digests")
     firsts = digests.groupBy("sha1").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
     again, again_path = table(digests.join(firsts, "sha1").where("page <> first").distinct(), "warc-revisits")
-    marked = rows.withColumn("sha1", F.sha1("payload")).join(again, ["page", "sha1"], "left").select("page", "url", "payload", "first")
+    marked = rows.withColumn("sha1", F.sha1("payload")).join(again.hint("merge"), ["page", "sha1"], "left").select("page", "url", "payload", "first")
     made = marked.mapInArrow(_records(compress), "value binary").select(F.col("value").cast("string"))
     made.write.option("maxRecordsPerFile", per_file).option("lineSep", "\n").text(path)
     forget(spark, [digest_path, again_path])
