@@ -29,13 +29,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(docs, words=5, percent=80)
-    return docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plan = mixing.mix(docs).select("doc_id", F.col("size").alias("_size"), "times").distinct()
     sized = docs.withColumn("_size", mixing.word_count(F.col("text")))
-    taken = sized.join(plan.where("times > 0"), ["doc_id", "_size"])
+    taken = sized.join(plan.where("times > 0").hint("merge"), ["doc_id", "_size"])
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
 
 
