@@ -143,13 +143,13 @@ def sample_weights(panel: DataFrame, universe: DataFrame | None = None) -> DataF
     With ``universe`` the date counts, N and D are those of its rows on the panel's dates instead.
     """
     if universe is None:
-        n, d = F.count("*").over(Window.partitionBy("date")), panel.agg(F.count("*").alias("_N"), F.countDistinct("date").alias("_D"))
-        return panel.crossJoin(F.broadcast(d)).withColumn("sample_weight", F.col("_N") / (F.col("_D") * n)).drop("_N", "_D")  # one row
+        n, d = F.count("*").over(Window.partitionBy("date")), panel.agg(F.count("*").alias("_total"), F.countDistinct("date").alias("_dates"))
+        return panel.crossJoin(F.broadcast(d)).withColumn("sample_weight", F.col("_total") / (F.col("_dates") * n)).drop("_total", "_dates")  # one row
     dates = panel.select("date").distinct()
     assert_matched(dates, universe, ["date"], "panel dates without a feature universe")
     counts = universe.join(dates, "date", "left_semi").groupBy("date").agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_N"), F.count("*").alias("_D"))
-    per_date = counts.crossJoin(F.broadcast(total)).select("date", (F.col("_N") / (F.col("_D") * F.col("_n"))).alias("sample_weight"))
+    total = counts.agg(F.sum("_n").alias("_total"), F.count("*").alias("_dates"))
+    per_date = counts.crossJoin(F.broadcast(total)).select("date", (F.col("_total") / (F.col("_dates") * F.col("_n"))).alias("sample_weight"))
     return panel.join(per_date, "date")
 
 
@@ -237,7 +237,8 @@ def _in_folds(dates: DataFrame, folds: Sequence[Fold]) -> DataFrame:
 def embargo_dates(dates: DataFrame, folds: Sequence[Fold], embargo: int) -> DataFrame:
     """The last ``embargo`` available dates of every train and valid range."""
     df = _in_folds(dates, folds).where(F.col("split").isin("train", "valid"))
-    return df.where(F.row_number().over(Window.partitionBy("fold_id", "split").orderBy(F.desc("date"))) <= embargo)
+    from_end = F.row_number().over(Window.partitionBy("fold_id", "split").orderBy(F.desc("date")))
+    return df.withColumn("_k", from_end).where(F.col("_k") <= embargo).drop("_k")
 
 
 def fold_assignments(dates: DataFrame, folds: Sequence[Fold], embargo: int = 0) -> DataFrame:
