@@ -83,5 +83,69 @@ def op10_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_warc_salvage, op4_minhash_near_dedup, op5_byte_bpe, op6_pareto_mix, op7_additive_ann, op8_chat_format, op9_pivot_topk, op10_training_shards)}
 
-#: The same results in DuckDB SQL, where it can express them at this size.
-ORACLE_SQL: dict[str, str] = {}
+_SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_LINES = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+keyed AS (SELECT *, {_LOWER.format(f"trim(line, {_SPACE})")} AS key FROM lines),
+frequent AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT k.*, f.keeper IS NOT NULL AND f.keeper <> doc_id AS dropped FROM keyed k LEFT JOIN frequent f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+_BITS = "(ascii(substr(bits, i * 5 + 1, 1)) - 48) * 16 + (ascii(substr(bits, i * 5 + 2, 1)) - 48) * 8 + (ascii(substr(bits, i * 5 + 3, 1)) - 48) * 4 + (ascii(substr(bits, i * 5 + 4, 1)) - 48) * 2 + ascii(substr(bits, i * 5 + 5, 1)) - 48"
+_NIBBLES = str([f"{k:04b}" for k in range(16)])
+_PAGES = f"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first, sha1(payload) AS hex FROM payloads),
+spelled AS (SELECT *, array_to_string(list_transform(range(40), lambda i: ({_NIBBLES})[instr('0123456789abcdef', substr(hex, i + 1, 1))]), '') AS bits FROM firsts)
+SELECT page_id, strlen(payload) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', {_BITS} + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM spelled"""
+
+_NEAR = f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM words),
+sized AS (SELECT doc_id, len(s) AS n, s FROM sets),
+shingles AS (SELECT doc_id, n, unnest(s) AS x FROM sized),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 85
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a)
+SELECT d.doc_id, d.n AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, least(d.doc_id, coalesce(m, d.doc_id)) = d.doc_id AS kept
+FROM sized d LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)"""
+
+
+def _chat_sql() -> str:
+    t = chat.Template()
+    patterns = [f"{c[0] if c[0] != '[' else chr(92) + '['}~*{''.join(chr(92) + x if x in '|[]' else x for x in c[1:])}" for c in t.controls]
+    marks = lambda c: " + ".join(f"len(regexp_extract_all({c}, '{p}'))" for p in patterns)
+    fixed = len(t.turn) + len(t.text) + len(t.end)
+    return f"""
+WITH probe(conv_id, turn, role, text) AS (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM probe))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({fixed} + length(role) + length(text) + {marks("role")} + {marks("text")}) AS BIGINT) AS formatted_chars,
+  regexp_full_match(string_agg(role, ',' ORDER BY turn, role, text), '(system,)?user,assistant(,user,assistant)*') AS valid
+FROM turns GROUP BY conv_id"""
+
+
+_PRODUCTS = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.n AS qn, q.vec_id AS query_id, x.vec_id, x.n, CAST(list_inner_product(q.e, x.e) AS BIGINT) AS score FROM v q JOIN v x ON q.vec_id % 100 = 0 AND q.n <> x.n)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qn ORDER BY score DESC, vec_id, n) AS rank FROM scored) WHERE rank <= 10"""
+
+#: The same results in DuckDB SQL, where it can express them.
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": _LINES,
+    "op3_warc_salvage": _PAGES,
+    "op4_minhash_near_dedup": _NEAR,
+    "op8_chat_format": _chat_sql(),
+    "op9_pivot_topk": _PRODUCTS,
+}
