@@ -8,11 +8,12 @@ Plan
    by k places, ranks it for coordinate k.
 2. Documents with equal sets form a class (pre-aggregated by fingerprint); only the smallest id of a
    class goes on, so thousands of copies cost one representative.
-3. Every band bucket links its members to its smallest id; pairs are made distinct and confirmed on
+3. Every band bucket links its members to its most central one; pairs are made distinct and confirmed on
    full shingle sets. Buckets whose members the confirmed links already join need no more pairs.
    The documents of the other buckets are compared without loss by a prefix filter: two sets that
-   are similar enough share one of their rarest shingles (the first ``n - ceil(t n) + 1`` by
-   frequency), so only documents of different components that share such a shingle are confirmed.
+   are similar enough share one of their rarest shingles (among the first ``n - c + 1`` by frequency, if
+   ``c`` is the least number they have in common), so only documents of different components
+   that share such a shingle are confirmed.
    Heavily edited copies, whose rarest shingles are their own, cost nothing here, and no bucket has
    all its pairs made.
 4. Components of the confirmed links label the representatives, classes label the copies.
@@ -229,8 +230,10 @@ def near_duplicates(
     copies = full.select("id", "fingerprint").join(classes.where("copies > 1"), "fingerprint").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     reps = full.select("id", "fingerprint", "n_shingles", "bands").join(classes.select("fingerprint", F.col("rep").alias("id")), ["fingerprint", "id"], "left_semi")
     exploded = reps.select("id", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = exploded.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("bucket")
-    buckets, bucket_path = table(exploded.join(shared, "bucket").select("bucket", "id", "n_shingles"), "minhash-buckets")
+    shared = exploded.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("members")).where("least <> most")
+    buckets, bucket_path = table(exploded.join(shared.select("bucket", "members"), "bucket").select("bucket", "id", "n_shingles", "members"), "minhash-buckets")
+    # documents at the centre of a group share its fullest buckets; they make the best leaders
+    central = buckets.groupBy("id").agg(F.sum("members").alias("central"))
     texts_of = source.where("id is not null").join(buckets.select("id").distinct(), "id", "left_semi")
     texts, text_path = table(texts_of.dropDuplicates(["id"]), "minhash-texts")
 
@@ -240,7 +243,8 @@ def near_duplicates(
         return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
     def leader_pairs(member: DataFrame) -> DataFrame:
-        lead = member.groupBy("bucket").agg(F.min(F.struct("id", "n_shingles")).alias("lead"))
+        ranked = member.join(central, "id")
+        lead = ranked.groupBy("bucket").agg(F.min(F.struct(-F.col("central"), "id", "n_shingles")).alias("lead"))
         lead = lead.select("bucket", F.col("lead.id").alias("leader"), F.col("lead.n_shingles").alias("leader_n"))
         on = (member["bucket"] == lead["bucket"]) & (member["id"] != lead["leader"]) & close_enough("n_shingles", "leader_n")
         return member.join(lead, on).select("leader", F.col("id").alias("member")).distinct()
@@ -257,11 +261,14 @@ def near_duplicates(
         ranked = sets.join(common, "shingle").withColumn("shared", F.count("*").over(Window.partitionBy("id"))).where(F.col("shared") >= need)
         # shingles without partner come first in the order; they use up places of the prefix
         rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle")) + F.col("n") - F.col("shared")
-        prefix, path = table(ranked.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - need + 1).select("shingle", "id", "component", "n"), "minhash-prefix")
+        prefix, path = table(ranked.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - need + 1).select("shingle", "id", "component", "n", "rank"), "minhash-prefix")
         paths.append(path)
         x, y = prefix.alias("x"), prefix.alias("y")
         on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-        return x.join(y, on & close_enough("x.n", "y.n")).select(F.col("x.id").alias("leader"), F.col("y.id").alias("member")).distinct()
+        # fewest common shingles of a similar pair; one of them comes early enough in both orders to leave room for the others
+        common_least = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
+        early = (F.col("x.rank") + common_least <= F.col("x.n") + 1) & (F.col("y.rank") + common_least <= F.col("y.n") + 1)
+        return x.join(y, on & early & close_enough("x.n", "y.n")).select(F.col("x.id").alias("leader"), F.col("y.id").alias("member")).distinct()
 
     links, path = table(_confirm(leader_pairs(buckets), texts, words, percent), "minhash-links")
     components, where = connected_components(links)
