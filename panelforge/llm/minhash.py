@@ -113,7 +113,7 @@ def _features(words: int, bands: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, minhash = Shingler(words), CirculantMinHash(bands, rows, seed)
 
-        def flush(ids: list, sets: list) -> pa.RecordBatch:
+        def flush(ids: list, hashes: list, sets: list) -> pa.RecordBatch:
             full = [s for s in sets if len(s)]
             keys = iter(minhash.keys(full) if full else ())
             return pa.RecordBatch.from_arrays(
@@ -122,21 +122,23 @@ def _features(words: int, bands: int, rows: int, seed: int):
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                    pa.array(hashes, pa.int64()),
                 ],
-                names=["id", "n_shingles", "fingerprint", "bands"],
+                names=["id", "n_shingles", "fingerprint", "bands", "text_hash"],
             )
 
-        ids, sets, held = [], [], 0
+        ids, hashes, sets, held = [], [], [], 0
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            for i, text, h in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
                 ids.append(i)
+                hashes.append(h)
                 sets.append(shingle(text.as_py()))
                 held += len(sets[-1])
                 if held > 400_000 or len(ids) >= 4000:
-                    yield flush(ids, sets)
-                    ids, sets, held = [], [], 0
+                    yield flush(ids, hashes, sets)
+                    ids, hashes, sets, held = [], [], [], 0
         if ids:
-            yield flush(ids, sets)
+            yield flush(ids, hashes, sets)
 
     return run
 
@@ -216,16 +218,23 @@ def near_duplicates(
     ``component_id`` (smallest id reachable over links), ``kept`` (the id is its component's id).
 
     Nulls and texts without words have an empty set, are linked with nothing and are kept. A null
-    id gets a null component and is kept. Rows that repeat an id count as one document if their texts
-    agree; with different texts, each text's set takes part and their links are the id's links. An
-    empty table gives an empty result. Further columns of ``docs`` are ignored.
+    id gets a null component and is kept. Rows that repeat an id are one document; if their texts
+    differ, the text of the smallest hash (among those with words) decides its links. An empty table
+    gives an empty result. Further columns of ``docs`` are ignored.
     """
     spark = small_batches(docs.sparkSession)
     bands = band_count(percent / 100, rows, miss)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     run = _features(words, bands, rows, seed)
-    feats, _ = table(source.mapInArrow(run, "id long, n_shingles long, fingerprint binary, bands array<long>"), "minhash-features")
+    hashed = source.select("id", "text", F.xxhash64("text").alias("text_hash"))
+    feats, feat_path = table(hashed.mapInArrow(run, "id long, n_shingles long, fingerprint binary, bands array<long>, text_hash long"), "minhash-features")
     full = feats.where("n_shingles > 0 and id is not null")
+    repeats = full.groupBy("id").agg(F.count_distinct("text_hash").alias("texts"), F.min("text_hash").alias("valid_hash")).where("texts > 1")
+    repeated, repeat_path = table(repeats.select("id", "valid_hash"), "minhash-repeats")
+    one_text = lambda df: df
+    if not repeated.isEmpty():
+        one_text = lambda df: df.join(repeated, "id", "left").where("valid_hash is null or valid_hash = text_hash").drop("valid_hash")
+        full = one_text(full)
     classes = full.groupBy("fingerprint").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     copies = full.select("id", "fingerprint").join(classes.where("copies > 1"), "fingerprint").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     reps = full.select("id", "fingerprint", "n_shingles", "bands").join(classes.select("fingerprint", F.col("rep").alias("id")), ["fingerprint", "id"], "left_semi")
@@ -234,10 +243,10 @@ def near_duplicates(
     buckets, bucket_path = table(exploded.join(shared.select("bucket", "members"), "bucket").select("bucket", "id", "n_shingles", "members"), "minhash-buckets")
     # documents at the centre of a group share its fullest buckets; they make the best leaders
     central = buckets.groupBy("id").agg(F.sum("members").alias("central"))
-    texts_of = source.where("id is not null").join(buckets.select("id").distinct(), "id", "left_semi")
-    texts, text_path = table(texts_of.dropDuplicates(["id"]), "minhash-texts")
+    texts_of = one_text(hashed.where("id is not null").join(buckets.select("id").distinct(), "id", "left_semi"))
+    texts, text_path = table(texts_of.dropDuplicates(["id"]).select("id", "text"), "minhash-texts")
 
-    paths = [bucket_path, text_path]
+    paths = [repeat_path, bucket_path, text_path, feat_path]
 
     def close_enough(x: str, y: str):
         return F.least(x, y) * 100 >= F.greatest(x, y) * percent

@@ -68,6 +68,14 @@ def test_near_duplicates_match_brute_force(spark, words, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_an_id_with_two_texts_has_the_links_of_one(spark):
+    a, b = texts(3, 2)
+    got = minhash.near_duplicates(frame(spark, [(1, a, "s"), (2, b, "s"), (3, a, "s"), (3, b, "s"), (4, "", "s"), (4, a, "s")])).collect()
+    assert len(got) == 6
+    of = {(r.doc_id, r.component_id) for r in got}
+    assert of in ({(1, 1), (2, 2), (3, 1), (4, 1)}, {(1, 1), (2, 2), (3, 2), (4, 1)})
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
     assert [tuple(r) for r in minhash.near_duplicates(frame(spark, [(None, "a b c", None)])).collect()] == [(None, 1, None, True)]

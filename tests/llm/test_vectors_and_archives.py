@@ -77,7 +77,7 @@ def test_pivot_search_is_exact(spark):
 
 
 def test_pivot_bounds_eliminate_rows():
-    v = np.floor(vectors(600) * 1024)
+    v = np.floor(vectors(600).astype(float) * 1024)
     radius2 = (v**2).sum(axis=1).max()
     far = lambda a, p: np.sqrt(((a[:, None] - p[None]) ** 2).sum(axis=2))
     lift = lambda a: np.c_[a, np.sqrt(np.maximum(0, radius2 - (a**2).sum(axis=1)))]
