@@ -1,7 +1,7 @@
 """A date x stock market derived from the star-schema tables, on which the registered queries run.
 
-Suppliers are stocks and months are dates. Measures are sums of exact decimals, so ranks do not
-depend on the order of addition.
+Suppliers are stocks and months are dates. Measures are sums of exact decimals (means of them are rounded),
+so ranks do not depend on the order of addition.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(price).cast("double").alias("market_cap"),
         F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("volume"),
         F.sum(price * discount).cast("double").alias("amount_k"),
-        (F.sum(discount).cast("double") / F.count("*")).alias("turnover"),
+        F.round(F.sum(discount).cast("double") / F.count("*"), 9).alias("turnover"),
         (F.sum(F.col("l_tax").cast("decimal(18,2)") * price).cast("double")).alias("alpha"),
     )
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -77,7 +77,7 @@ panel AS (
     CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS market_cap,
     CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS volume,
     CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) AS amount_k,
-    CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS turnover,
+    round(CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) / count(*), 9) AS turnover,
     CAST(sum(CAST(l_tax AS DECIMAL(18,2)) * CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS alpha
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
   GROUP BY 1, 2, 3, 4, 5, 6, 7, 8),

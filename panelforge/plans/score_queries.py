@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, nav, neutralize, panel, periods, xsection
+from ..operators import diagnose, evaluate, nav, neutralize, panel, periods, xsection
 from . import market
 from .registry import query
 
@@ -462,3 +462,40 @@ def train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = model.contract(panel.feature_roles(["alpha_signal"], ["turnover"]), "y_raw_fwd")
     folds = panel.fold_assignments(built.select("date"), market.FOLDS[:1], 1)
     return model.train_folds(built, folds, c, "y_raw_fwd", params={"maxIter": 3, "maxDepth": 3})["predictions"]
+
+
+# ---- diagnosis
+
+@query("SELECT split, score_col, sum(mean_ic * date_count) / sum(date_count) FILTER (mean_ic IS NOT NULL) AS weighted_mean_ic, CAST(sum(date_count) FILTER (mean_ic IS NOT NULL) AS BIGINT) AS total_weight FROM (SELECT fold_id, split, score_col, count(*) AS date_count, avg(ic) AS mean_ic FROM ic GROUP BY ALL) GROUP BY ALL", "weighted_mean_ic", IC)
+def weighted_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnose.weighted_mean(evaluate.summarize_ic(evaluate.daily_ic(_frame(spark, sf_dir), SCORES, "value")), "mean_ic")
+
+
+@query("SELECT *, avg(ic) OVER (PARTITION BY fold_id, split, score_col ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS ic_rolling FROM ic", "ic rank_ic ic_rolling", IC)
+def rolling_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnose.rolling_mean(evaluate.daily_ic(_frame(spark, sf_dir), SCORES, "value"), "ic", ["fold_id", "split", "score_col"])
+
+
+@query(
+    """SELECT fold_id, split, bucket_index, bucket_label, sum(abs(m)) / 2 AS active_share, max(abs(m)) AS largest_active, arg_min(industry, (-round(abs(m), 10), industry)) AS largest_segment
+    FROM (SELECT fold_id, split, bucket_index, bucket_label, industry, avg(active_weight) AS m FROM composition GROUP BY ALL) GROUP BY ALL""",
+    "active_share largest_active",
+    f"{RANKED.rstrip()},{CATEGORY}",
+    6,
+)
+def top_bucket_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bucketed, ranked = _composition(spark, sf_dir)
+    return diagnose.bucket_style(nav.summarize_composition(nav.category_composition(bucketed, ranked, "industry"), "industry"), "industry")
+
+
+STITCHED = f"""{RANKED.rstrip()},
+filled AS (SELECT * REPLACE (coalesce(bucket_return, 0.0) AS bucket_return) FROM daily WHERE split = 'test'),
+stitched AS (
+  SELECT *, gross_nav / greatest(1.0, max(gross_nav) OVER (PARTITION BY bucket_index ORDER BY date)) - 1 AS drawdown FROM (
+    SELECT *, exp(sum(ln(1 + bucket_return)) OVER (PARTITION BY bucket_index ORDER BY date)) AS gross_nav FROM filled)),{_underwater("bucket_index, bucket_label", "stitched").replace("gross_nav >= greatest", "gross_nav + 1e-12 >= greatest")}"""
+
+
+@query(f"SELECT * FROM (SELECT bucket_index, bucket_label, {SUMMARY} FROM stitched GROUP BY ALL) JOIN under USING (bucket_index, bucket_label)", SUMMARY_DOUBLES, STITCHED, 6)
+def stitched_bucket_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, r, pred = _market(spark, sf_dir)
+    return diagnose.stitched_summary(nav.bucket_returns(nav.rank_scores(pred, "pred_a"), r, BUCKETS))

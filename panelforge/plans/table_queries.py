@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..functions.stats import QUANTILES
-from ..operators import membership, neutralize, panel, quality, returns
+from ..operators import diagnose, membership, neutralize, panel, quality, returns
 from . import market
 from .registry import query
 
@@ -55,15 +55,15 @@ def _rank(x: str) -> str:
 
 
 def _z(source: str, x: str, tag: str) -> str:
-    """Chained expressions from ``source``: z of the complete column ``x``."""
+    """Chained expressions from ``source``: z of the column ``x``."""
     return f"""
-{tag}_1 AS (SELECT *, least(greatest({x}, quantile_cont({x}, 0.01) OVER (PARTITION BY date)), quantile_cont({x}, 0.99) OVER (PARTITION BY date)) AS {tag}_x FROM {source}),
+{tag}_1 AS (SELECT *, CASE WHEN {x} IS NOT NULL THEN least(greatest({x}, quantile_cont({x}, 0.01) OVER (PARTITION BY date)), quantile_cont({x}, 0.99) OVER (PARTITION BY date)) END AS {tag}_x FROM {source}),
 {tag}_2 AS (SELECT *, median({tag}_x) OVER (PARTITION BY date) AS {tag}_m, stddev_pop({tag}_x) OVER (PARTITION BY date) AS {tag}_s FROM {tag}_1),
 {tag}_3 AS (SELECT *, 1.4826 * median(abs({tag}_x - {tag}_m)) OVER (PARTITION BY date) AS {tag}_d FROM {tag}_2),
-{tag} AS (SELECT *, least(greatest(({tag}_x - {tag}_m) / CASE WHEN {tag}_d > 1e-12 THEN {tag}_d WHEN {tag}_s > 1e-12 THEN {tag}_s ELSE 1.0 END, -5.0), 5.0) AS {tag}_z FROM {tag}_3)"""
+{tag} AS (SELECT *, CASE WHEN {tag}_x IS NOT NULL THEN least(greatest(({tag}_x - {tag}_m) / CASE WHEN {tag}_d > 1e-12 THEN {tag}_d WHEN {tag}_s > 1e-12 THEN {tag}_s ELSE 1.0 END, -5.0), 5.0) END AS {tag}_z FROM {tag}_3)"""
 
 
-ALPHA = f"based AS (SELECT *, ln(market_cap) AS lc, ln(alpha + 1) AS la, ln(1 + turnover) AS lt FROM panel WHERE alpha > 0),{_z('based', 'ln(alpha)', 'alpha_signal')},{_z('alpha_signal', 'lc', 'log_mcap')},{_z('log_mcap', 'lt', 'turnover')}"
+ALPHA = f"based AS (SELECT *, ln(market_cap) AS lc, CASE WHEN alpha > 0 THEN ln(alpha) END AS la, ln(1 + turnover) AS lt FROM panel),{_z('based', 'la', 'alpha_signal')},{_z('alpha_signal', 'lc', 'log_mcap')},{_z('log_mcap', 'lt', 'turnover')}"
 
 
 def _alpha_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +78,11 @@ def _alpha_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT *, sum(n_date / n_panel) OVER () AS u, (SELECT count(DISTINCT date) FROM labelled) AS d FROM (SELECT *, count(*) OVER (PARTITION BY date) AS n_panel FROM labelled))""",
     "alpha_signal_rank alpha_signal_z turnover_rank turnover_z log_mcap_z mcap_rank y_raw_fwd y_raw_rank_label sample_weight",
     f"""{ALPHA},
-    universe AS (SELECT *, {_rank("alpha")} AS alpha_signal_rank, {_rank("lt")} AS turnover_rank, {_rank("market_cap")} AS mcap_rank, count(*) OVER (PARTITION BY date) AS n_date,
+    ranked AS (SELECT *, (rank() OVER (PARTITION BY date, alpha > 0 ORDER BY alpha) + (count(*) OVER (PARTITION BY date, alpha) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY date, alpha > 0) - 0.5 AS alpha_signal_rank,
+      {_rank("turnover")} AS turnover_rank, {_rank("market_cap")} AS mcap_rank, count(*) FILTER (alpha > 0) OVER (PARTITION BY date) AS n_date,
       CAST(ceil(10.0 * row_number() OVER (PARTITION BY date ORDER BY market_cap, stock_code) / count(*) OVER (PARTITION BY date)) - 1 AS BIGINT) AS size_decile,
       CASE WHEN is_csi300 = 1 THEN 'CSI300' WHEN is_csi500 = 1 THEN 'CSI500' WHEN is_csi1000 = 1 THEN 'CSI1000' WHEN is_csi2000 = 1 THEN 'CSI2000' ELSE 'NON_INDEX' END AS index_bucket FROM turnover),
+    universe AS (SELECT * FROM ranked WHERE alpha > 0),
     known AS (SELECT *, {_rank("value")} AS y_raw_rank_label FROM returns WHERE value IS NOT NULL),
     labelled AS (SELECT u.*, value AS y_raw_fwd, y_raw_rank_label FROM universe u JOIN known USING (date, stock_code))""",
     6,
@@ -212,7 +214,7 @@ def trade_date_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ADJUST = f"""{DAILY.rstrip()},
-factors AS (SELECT date, stock_code, CASE WHEN CAST(stock_code AS INT) % 13 = 0 AND day(date) = 7 THEN 0.0 ELSE 1.0 + (CAST(stock_code AS INT) + day(date)) % 3 * 0.15 END AS factor FROM calendar CROSS JOIN (SELECT DISTINCT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS stock_code FROM supplier) WHERE (CAST(stock_code AS INT) + month(date)) % 12 <> 0),
+factors AS (SELECT date, stock_code, CASE WHEN CAST(stock_code AS INT) % 13 = 0 AND day(date) = 7 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) + (CAST(stock_code AS INT) + day(date)) % 3 * CAST(0.15 AS DOUBLE) END AS factor FROM calendar CROSS JOIN (SELECT DISTINCT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS stock_code FROM supplier) WHERE (CAST(stock_code AS INT) + month(date)) % 12 <> 0),
 near AS (SELECT *, list(factor) OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS before, list(factor) OVER (w ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS after FROM factors WINDOW w AS (PARTITION BY stock_code ORDER BY date)),
 raw AS (SELECT d.date, d.stock_code, d.turnover - 0.05 AS value FROM daily d WHERE year(d.date) = 1997),
 matched AS (
@@ -455,3 +457,28 @@ def symbol_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = market.panel(spark, sf_dir)
     r = market.returns(p)
     return neutralize.symbol_examples(r, neutralize.neutralize(r, p))
+
+
+# ---- series
+
+@query("SELECT date, stock_code, turnover, coalesce(CASE WHEN stddev_pop(turnover) OVER s > 1e-12 THEN (turnover - avg(turnover) OVER s) / stddev_pop(turnover) OVER s END, 0.0) AS turnover_z FROM panel WINDOW s AS (PARTITION BY stock_code)", "turnover turnover_z")
+def series_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnose.series_z(market.panel(spark, sf_dir).select("date", "stock_code", "turnover"), "turnover")
+
+
+@query("SELECT \"column\", count(v) AS count, avg(v) AS mean, min(v) AS min, median(v) AS median, quantile_cont(v, 0.95) AS p95, quantile_cont(v, 0.99) AS p99, max(v) AS max FROM (SELECT unnest(['turnover', 'value']) AS \"column\", unnest([turnover, value]) AS v FROM panel LEFT JOIN returns USING (date, stock_code)) GROUP BY ALL", "mean min median p95 p99 max")
+def series_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = market.panel(spark, sf_dir)
+    return diagnose.series_summary(p.join(market.returns(p), ["date", "stock_code"], "left"), ["turnover", "value"])
+
+
+@query("SELECT o_orderkey, s AS start, e AS \"end\", CASE WHEN e <= s THEN 0 ELSE (SELECT count(*) FROM calendar WHERE date > s AND date < e) END AS days_between FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_custkey % 40 - 3 AS INT) AS e FROM orders)", "", DAILY)
+def trading_days_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = market.table(spark, sf_dir, "orders")
+    spans = orders.select("o_orderkey", F.to_date("o_orderdate").alias("start"), F.date_add(F.to_date("o_orderdate"), (F.col("o_custkey") % 40 - 3).cast("int")).alias("end"))
+    return diagnose.trading_days_between(spans, _calendar(spark, sf_dir))
+
+
+@query("SELECT 'index__' || name AS \"column\", count(*) FILTER (hit) AS rows_set, count(DISTINCT date) FILTER (hit) AS dates FROM (SELECT date, unnest(['CSI300', 'CSI500', 'CSI1000', 'CSI2000', 'NON_INDEX', 'UNKNOWN_INDEX']) AS name, unnest([is_csi300 = 1, is_csi500 = 1, is_csi1000 = 1, is_csi2000 = 1, is_csi300 + is_csi500 + is_csi1000 + is_csi2000 = 0, false]) AS hit FROM panel) GROUP BY name")
+def one_hot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnose.one_hot_summary(panel.index_one_hot(market.panel(spark, sf_dir)))
