@@ -214,9 +214,9 @@ def trade_date_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ADJUST = f"""{DAILY.rstrip()},
-factors AS (SELECT date, stock_code, CASE WHEN CAST(stock_code AS INT) % 13 = 0 AND day(date) = 7 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) + (CAST(stock_code AS INT) + day(date)) % 3 * CAST(0.15 AS DOUBLE) END AS factor FROM calendar CROSS JOIN (SELECT DISTINCT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS stock_code FROM supplier) WHERE (CAST(stock_code AS INT) + month(date)) % 12 <> 0),
+factors AS (SELECT date, stock_code, CASE WHEN CAST(stock_code AS INT) % 13 = 0 AND day(date) = 7 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) + (CAST(stock_code AS INT) + day(date)) % 3 * CAST(0.15 AS DOUBLE) END AS factor FROM daily),
 near AS (SELECT *, list(factor) OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS before, list(factor) OVER (w ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS after FROM factors WINDOW w AS (PARTITION BY stock_code ORDER BY date)),
-raw AS (SELECT d.date, d.stock_code, d.turnover - 0.05 AS value FROM daily d WHERE year(d.date) = 1997),
+raw AS (SELECT d.date, d.stock_code, d.turnover - 0.05 AS value FROM daily d),
 matched AS (
   SELECT r.date AS signal_date, r.stock_code, t.buy_date, t.sell_date, r.value AS return_raw, b.factor AS factor_buy, s.factor AS factor_sell, b.before, s.after,
     CASE WHEN b.factor > 0 AND s.factor > 0 THEN s.factor / b.factor END AS factor_ratio
@@ -231,14 +231,11 @@ adjusted AS (
 
 
 def _adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calendar = _calendar(spark, sf_dir)
-    code = F.col("stock_code").cast("int")
-    codes = market.table(spark, sf_dir, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("stock_code"))
-    whole = codes.join(F.broadcast(calendar)).where((code + F.month("date")) % 12 != 0)  # a factor for each stock and trading day, as a market has
+    daily, code = _daily(spark, sf_dir), F.col("stock_code").cast("int")
     hole = (code % 13 == 0) & (F.day("date") == 7)
-    factors = whole.select("date", "stock_code", F.when(hole, 0.0).otherwise(1.0 + (code + F.day("date")) % 3 * 0.15).alias("factor"))
-    raw = _daily(spark, sf_dir).where(F.year("date") == 1997).select("date", "stock_code", (F.col("turnover") - 0.05).alias("value"))
-    return returns.adjust_returns(raw, factors, calendar)
+    factors = daily.select("date", "stock_code", F.when(hole, 0.0).otherwise(1.0 + (code + F.day("date")) % 3 * 0.15).alias("factor"))
+    raw = daily.select("date", "stock_code", (F.col("turnover") - 0.05).alias("value"))
+    return returns.adjust_returns(raw, factors, _calendar(spark, sf_dir))
 
 
 @query("SELECT * FROM adjusted", "return_raw factor_buy factor_sell factor_ratio candidate return_adjusted", ADJUST)
