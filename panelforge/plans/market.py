@@ -85,7 +85,7 @@ returns AS (
   SELECT date, stock_code, CASE WHEN nxt IS NOT NULL THEN least(greatest(nxt / market_cap - 1, -0.5), 0.5) END AS value
   FROM (SELECT *, lead(market_cap) OVER (PARTITION BY stock_code ORDER BY date) AS nxt FROM panel)),
 fold_ranges(fold_id, split, lo, hi) AS (VALUES
-  (1, 'train', DATE '1995-01-01', DATE '1996-12-31'), (1, 'valid', DATE '1997-01-01', DATE '1997-12-31'), (1, 'test', DATE '1998-01-01', DATE '1998-12-31'),
+  (1::BIGINT, 'train', DATE '1995-01-01', DATE '1996-12-31'), (1, 'valid', DATE '1997-01-01', DATE '1997-12-31'), (1, 'test', DATE '1998-01-01', DATE '1998-12-31'),
   (2, 'train', DATE '1995-01-01', DATE '1997-12-31'), (2, 'valid', DATE '1998-01-01', DATE '1998-12-31'), (2, 'test', DATE '1999-01-01', DATE '1999-12-31'),
   (3, 'train', DATE '1995-01-01', DATE '1998-12-31'), (3, 'valid', DATE '1999-01-01', DATE '1999-12-31'), (3, 'test', DATE '2000-01-01', DATE '2001-12-31')),
 periods(period, lo, hi) AS (VALUES ('p1998', DATE '1998-01-01', DATE '1998-12-31'), ('p1999', DATE '1999-01-01', DATE '1999-12-31'), ('p2000', DATE '2000-01-01', DATE '2001-12-31')),

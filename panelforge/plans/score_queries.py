@@ -115,7 +115,7 @@ def rank_bucket_daily_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT d.fold_id, d.split, s.i AS bucket_index, s.label AS bucket_label, d.date, d.n AS eligible_count, s.lo AS rank_start, s.hi AS rank_end, count(k.stock_code) AS selected_count,
       count(r.value) AS valid_return_count, count(k.stock_code) - count(r.value) AS missing_return_count, CASE WHEN count(r.value) >= 2 THEN avg(r.value) END AS bucket_return
-    FROM days d CROSS JOIN (VALUES (1, 'top', 1, 10), (2, 'next', 11, 30), (3, 'rest', 31, 90)) s(i, label, lo, hi)
+    FROM days d CROSS JOIN (VALUES (1::BIGINT, 'top', 1::BIGINT, 10::BIGINT), (2, 'next', 11, 30), (3, 'rest', 31, 90)) s(i, label, lo, hi)
     LEFT JOIN ranked k ON k.fold_id = d.fold_id AND k.split = d.split AND k.date = d.date AND k.rank BETWEEN s.lo AND s.hi
     LEFT JOIN returns r ON r.date = k.date AND r.stock_code = k.stock_code GROUP BY ALL""",
     "bucket_return",

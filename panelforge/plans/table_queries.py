@@ -270,7 +270,7 @@ members AS (
 quality AS (
   SELECT s.flag, s.index_name, d.date, s.least, s.most, m.quality_status AS source_status, member_count, duplicate_rows, weight_sum,
     CASE WHEN m.quality_status IS NULL THEN 'missing_asof_row' WHEN member_count IS NULL THEN 'missing_partition' ELSE concat_ws(';', CASE WHEN m.quality_status <> 'complete' THEN 'source_quality_status=' || m.quality_status END, CASE WHEN member_count NOT BETWEEN least AND most THEN 'observed_member_count=' || CAST(member_count AS VARCHAR) END, CASE WHEN abs(weight_sum / 100 - 1) > 0.01 THEN 'weight_sum' END) END AS unreliable_reasons
-  FROM (SELECT DISTINCT date FROM panel) d CROSS JOIN (VALUES ('is_csi300', 'CSI300', 1, 100000), ('is_csi500', 'CSI500', 15, 100000)) s(flag, index_name, least, most)
+  FROM (SELECT DISTINCT date FROM panel) d CROSS JOIN (VALUES ('is_csi300', 'CSI300', 1::BIGINT, 100000::BIGINT), ('is_csi500', 'CSI500', 15, 100000)) s(flag, index_name, least, most)
   LEFT JOIN manifest m USING (index_name, date)
   LEFT JOIN (SELECT index_name, date, count(DISTINCT stock_code) AS member_count, count(stock_code) - count(DISTINCT stock_code) AS duplicate_rows, sum(weight) AS weight_sum FROM members GROUP BY ALL) USING (index_name, date)),
 judged AS (SELECT *, unreliable_reasons = '' AS reliable FROM quality)
