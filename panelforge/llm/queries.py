@@ -139,7 +139,7 @@ WITH v AS (
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT q.n AS qn, q.vec_id AS query_id, x.vec_id, x.n, CAST(list_inner_product(q.e, x.e) AS BIGINT) AS score FROM v q JOIN v x ON q.vec_id % 100 = 0 AND q.n <> x.n)
-SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qn ORDER BY score DESC, vec_id, n) AS rank FROM scored) WHERE rank <= 10"""
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qn ORDER BY score DESC, vec_id, n) AS rank FROM scored) WHERE rank <= 10"""
 
 #: The same results in DuckDB SQL, where it can express them.
 ORACLE_SQL: dict[str, str] = {
