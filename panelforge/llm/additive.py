@@ -1,8 +1,7 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A unit vector is approximated by the sum of one entry from each of several codebooks of full
-dimension. The codebooks start as k-means of residuals and are then refit together by least squares,
-on a bounded sample. Encoding is a beam search: the best few partial sums are kept after each
+dimension. Each codebook is a k-means of what those before it leave over, on a bounded sample. Encoding is a beam search: the best few partial sums are kept after each
 codebook. The index stores a byte per codebook and the norm of the sum, so a row's distance to a
 query is read from the query's table of inner products with all entries. The best rows by that
 score are ranked again by the exact cosine of the original vectors.
@@ -20,9 +19,9 @@ from pyspark.sql import functions as F
 from .common import forget, table
 from .vectors import sample_matrix, search_cells, valid_vectors
 
-BOOKS, ENTRIES, BEAM = 16, 256, 4
+BOOKS, ENTRIES, BEAM = 32, 256, 4
 SAMPLE = 8192  # vectors that fit the codebooks at most
-SHORTLIST = 128
+SHORTLIST = 192
 QUERY_BLOCK = 1024
 
 
@@ -43,27 +42,14 @@ def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 6) -
     return centres
 
 
-def fit_codebooks(x: np.ndarray, books: int = BOOKS, entries: int = ENTRIES, beam: int = BEAM, rounds: int = 1, seed: int = 5) -> np.ndarray:
-    """Codebooks (books, entries, dim) for the unit vectors ``x``."""
-    rng, residual = np.random.default_rng(seed), x.copy()
-    out = np.zeros((books, entries, x.shape[1]))
+def fit_codebooks(x: np.ndarray, books: int = BOOKS, entries: int = ENTRIES, seed: int = 5) -> np.ndarray:
+    """Residual codebooks (books, entries, dim) for the unit vectors ``x``."""
+    rng, residual = np.random.default_rng(seed), x.astype(np.float32)
+    out = np.zeros((books, entries, x.shape[1]), np.float32)
     for m in range(books):
         out[m] = _k_means(residual, entries, rng)
-        residual -= out[m][np.argmax(residual @ out[m].T - 0.5 * (out[m] ** 2).sum(axis=1), axis=1)]
-    for _ in range(rounds):
-        codes, _ = encode(x, out, beam)
-        at = codes.astype(int) + entries * np.arange(books)
-        size = books * entries
-        gram, right = np.zeros((size, size)), np.zeros((size, x.shape[1]))
-        for a in range(books):
-            np.add.at(right, at[:, a], x)
-            for b in range(books):
-                np.add.at(gram, (at[:, a], at[:, b]), 1.0)
-        # pulled towards what the entries were, which keeps entries without rows as they are
-        flat = out.reshape(size, -1)
-        gram[np.diag_indices(size)] += 1.0
-        out = np.linalg.solve(gram, right + flat).reshape(out.shape)
-    return out.astype(np.float32)
+        residual = residual - out[m][np.argmax(residual @ out[m].T - 0.5 * (out[m] ** 2).sum(axis=1), axis=1)]
+    return out
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +59,7 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     residual = x[:, None, :].astype(np.float32)
     codes = np.zeros((n, 1, 0), np.uint8)
     for book in books:
-        entries, width = len(book), residual.shape[1]
+        entries = len(book)
         cost = (residual**2).sum(axis=2)[:, :, None] - 2 * (residual @ book.T) + (book**2).sum(axis=1)
         flat = cost.reshape(n, -1)
         keep = min(beam, flat.shape[1])
@@ -81,7 +67,6 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
         parent, entry = best // entries, best % entries
         codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None].repeat(codes.shape[2], axis=2), axis=1), entry[:, :, None].astype(np.uint8)], axis=2)
         residual = np.take_along_axis(residual, parent[:, :, None].repeat(dim, axis=2), axis=1) - book[entry]
-        del width
     first = np.argmin((residual**2).sum(axis=2), axis=1)
     rows = np.arange(n)
     sums = x - residual[rows, first]
@@ -149,7 +134,9 @@ def nearest(
             if not batch.num_rows:
                 continue
             vec = np.array(batch.column(2).flatten()).reshape(batch.num_rows, -1)
-            codes, norms = encode(_units(vec), model.value)
+            units = _units(vec)
+            parts = [encode(units[k : k + 500], model.value) for k in range(0, len(units), 500)]
+            codes, norms = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             raw = vec.astype("<f8")
             yield pa.RecordBatch.from_arrays(
                 [
