@@ -31,6 +31,7 @@ CHUNK = 16_384
 OVERLAP = 512
 PIECES_KEPT = 120_000  # encoded pieces that a task remembers at most
 LONGEST_KEPT = 64  # characters; longer pieces are not remembered
+WIDTHS = {2: "H", 4: "I"}  # bytes of an id, as struct names them
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,16 +42,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """Pieces to packed ids. Remembers short pieces up to a fixed number."""
 
-    _made: dict[tuple[str, str], "Encoder"] = {}
+    _made: dict[tuple[str, str, int], "Encoder"] = {}
 
     @classmethod
-    def of(cls, ranks_path: str, pattern: str) -> "Encoder":
+    def of(cls, ranks_path: str, pattern: str, width: int = 4) -> "Encoder":
         """One for all tasks that a Python worker runs one after the other."""
-        if (ranks_path, pattern) not in cls._made:
-            cls._made = {(ranks_path, pattern): cls(read_ranks(ranks_path), pattern)}
-        return cls._made[ranks_path, pattern]
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        if (ranks_path, pattern, width) not in cls._made:
+            cls._made = {(ranks_path, pattern, width): cls(read_ranks(ranks_path), pattern, width)}
+        return cls._made[ranks_path, pattern, width]
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, width: int = 4):
+        if max(ranks.values()) >= (1 << 8 * width) - 2:  # the two highest are kept for marks
+            raise ValueError(f"ranks do not fit into {width} bytes")
+        self.code = WIDTHS[width]
         self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.seen: dict[str, bytes] = {}
         self.find = regex.compile(pattern).findall
@@ -68,7 +72,7 @@ class Encoder:
             got = seen.get(p)
             if got is None:
                 ids = self.merge(p)
-                got = struct.pack(f"<{len(ids)}I", *ids)
+                got = struct.pack(f"<{len(ids)}{self.code}", *ids)
                 if len(p) <= LONGEST_KEPT:
                     seen[p] = got
             out.append(got)
@@ -81,9 +85,9 @@ class Encoder:
         return self.pack(self.find(text))
 
 
-def _encode_rows(ranks_path: str, pattern: str):
+def _encode_rows(ranks_path: str, pattern: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(ranks_path, pattern)
+        encoder = Encoder.of(ranks_path, pattern, width)
         for batch in batches:
             ids = pa.array([encoder.encode(t or "") for t in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["row", "ids"])
@@ -110,11 +114,11 @@ def _scan_chunks(pattern: str, chunk: int, overlap: int):
     return run
 
 
-def _encode_chunks(ranks_path: str, pattern: str, chunk: int):
+def _encode_chunks(ranks_path: str, pattern: str, chunk: int, width: int):
     """Chunks of a text in order, each with the next one's boundaries in their overlap, to packed ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(ranks_path, pattern)
+        encoder = Encoder.of(ranks_path, pattern, width)
         done: list[bytes] = []  # ids of the text so far
         at, carry = 0, ""  # the place up to which the text is encoded, and the text from there to this chunk
         for batch in batches:
@@ -158,8 +162,9 @@ def encode(
     text_col: str = "text",
     chunk: int = CHUNK,
     overlap: int = OVERLAP,
+    width: int = 4,
 ) -> DataFrame:
-    """Token ids of every text: ``id_col``, ``n_tokens`` long, ``ids`` binary (little-endian unsigned 32-bit).
+    """Token ids of every text: ``id_col``, ``n_tokens`` long, ``ids`` binary (little-endian unsigned, ``width`` bytes each: 2 or 4).
 
     A null text is empty; an empty one has no ids. Rows that repeat an id keep one result each; an
     empty table gives an empty result; other columns are ignored. ``ranks_path`` must be readable on
@@ -169,16 +174,16 @@ def encode(
     rows = docs.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("n")).alias("row"), text.alias("text"))
     size = F.length("text")
     shape = rows.schema["row"].dataType.simpleString()
-    short = rows.where(size <= chunk).mapInArrow(_encode_rows(ranks_path, pattern), f"row {shape}, ids binary")
+    short = rows.where(size <= chunk).mapInArrow(_encode_rows(ranks_path, pattern, width), f"row {shape}, ids binary")
     numbered = rows.where(size > chunk).select("row", "text", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int"))).alias("chunk"))
     part = F.substring(F.col("text"), F.col("chunk") * chunk + 1, F.lit(chunk + overlap))
     cut = numbered.select("row", "chunk", part.alias("text")).repartition(shuffle_width(spark), "row", "chunk")
     scanned = cut.mapInArrow(_scan_chunks(pattern, chunk, overlap), f"row {shape}, chunk int, text string, bounds binary, head array<long>")
     ahead = F.lead("head").over(Window.partitionBy("row").orderBy("chunk"))
     ordered = scanned.select("row", "chunk", "text", "bounds", ahead.alias("ahead"))
-    whole = ordered.mapInArrow(_encode_chunks(ranks_path, pattern, chunk), f"row {shape}, ids binary")
+    whole = ordered.mapInArrow(_encode_chunks(ranks_path, pattern, chunk, width), f"row {shape}, ids binary")
     both = short.unionByName(whole)
-    return both.select(F.col("row.id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    return both.select(F.col("row.id").alias(id_col), (F.octet_length("ids") / width).cast("long").alias("n_tokens"), "ids")
 
 
 def _decode_rows(ranks_path: str):

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import additive, bpe, chat, linededup, minhash, mixing, pivots, shards, toxicity, warc
-from .common import shared_path
+from .common import forget, shared_path, table
 
 #: Of the chain, in this order.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -77,7 +77,11 @@ def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    layout = shards.materialise(_table(spark, sf_dir, "documents"), shared_path(spark, "shards"))
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, width=2)
+    ids, ids_path = table(encoded.select("doc_id", "ids"), "token-ids")  # encoded once, read for the counts and for the sequences
+    layout = shards.materialise(ids, shared_path(spark, "shards"), text_col="ids", width=2)
+    forget(spark, [ids_path])
     return shards.read_shards(spark, layout).select("slot", "shard", "doc_id", "start", "n_docs", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
 
 

@@ -1,14 +1,13 @@
 """Training-order materialisation: token ids as fixed-stride shards in a keyed random order.
 
-Texts become byte ids (0-253 as they are in UTF-8; two bytes that UTF-8 never uses mark the end of a
-text and padding). Each partition of the scan concatenates its texts and cuts sequences of fixed
-length. Sequences have dense numbers: the partition's offset, from a first pass that sums lengths
+Takes any table of binary ids of fixed width, such as that of ``bpe.encode``; the two highest ids of
+the width mark the end of a text and padding. Without ids, a text's UTF-8 bytes are taken (which
+never have the two highest values). Each partition of the scan concatenates its texts and cuts
+sequences of fixed length. Sequences have dense numbers: the partition's offset, from a first pass that sums lengths
 only, plus a running count. A keyed Feistel network with cycle-walking permutes 0..N-1, so every
 number gets a slot of its own without a sort of random numbers. Slots are dealt by range, aligned
 to shards, and sorted; each shard is one file of records of equal length, so slot s is the record
 ``s % per_shard`` of file ``s // per_shard`` and reading can resume anywhere.
-
-Any table of binary ids can be materialised; the texts' bytes are only the default vocabulary.
 """
 
 from __future__ import annotations
@@ -23,7 +22,6 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_width, small_batches
 
-END, PAD = b"\xff", b"\xfe"
 HEADER = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("n_tokens", "<u4"), ("n_docs", "<u4")])
 LENGTH, PER_SHARD = 2048, 4096
 
@@ -62,28 +60,32 @@ class Layout:
     sequences: int
     length: int
     per_shard: int
+    width: int = 1  # bytes of an id
 
     @property
     def stride(self) -> int:
-        return HEADER.itemsize + self.length + 1  # the writer ends a record with a newline
+        return HEADER.itemsize + self.length * self.width + 1  # the writer ends a record with a newline
+
 
+def _cut(offsets: dict[int, int], total: int, key: int, length: int, width: int):
+    size = length * width
+    end_mark, pad = ((1 << 8 * width) - 1).to_bytes(width, "little"), ((1 << 8 * width) - 2).to_bytes(width, "little")
 
-def _cut(offsets: dict[int, int], total: int, key: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Feistel(total, key)
-        held, starts, number = bytearray(), [], None  # starts: (place in held, doc_id, place in the document)
+        held, starts, number = bytearray(), [], None  # starts: (place in held, doc_id, place in the document), places in bytes
 
         def record(n: int) -> bytes:
             inside = [s for s in starts if s[0] < n]
             first = inside[0]
-            head = np.array([(first[1], first[2], n, len(inside))], HEADER).tobytes()
+            head = np.array([(first[1], first[2] // width, n // width, len(inside))], HEADER).tobytes()
             body = bytes(held[:n])
             # what goes on behind the cut
             at, doc, place = inside[-1]
             starts[: len(inside)] = [] if any(s[0] == n for s in starts) or n >= len(held) else [(n, doc, place + n - at)]
             starts[:] = [(p - n, d, q) for p, d, q in starts]
             del held[:n]
-            return head + body + PAD * (length - n)
+            return head + body + pad * ((size - n) // width)
 
         def batch_of(rows: list[bytes]) -> pa.RecordBatch:
             nonlocal number
@@ -97,9 +99,9 @@ def _cut(offsets: dict[int, int], total: int, key: int, length: int):
                 if number is None:
                     number = offsets[part]
                 starts.append((len(held), -1 if doc is None else doc, 0))
-                held += (ids or b"") + END
-                while len(held) >= length:
-                    rows.append(record(length))
+                held += (ids or b"") + end_mark
+                while len(held) >= size:
+                    rows.append(record(size))
             if rows:
                 yield batch_of(rows)
         if held:
@@ -116,9 +118,11 @@ def materialise(
     text_col: str = "text",
     length: int = LENGTH,
     per_shard: int = PER_SHARD,
+    width: int = 1,
 ) -> Layout:
     """Write the ids of all rows of ``docs`` as shards below ``path``, in the order that ``key`` gives.
 
+    ``text_col`` holds packed ids of ``width`` bytes (little-endian), or texts, whose bytes are ids of width 1.
     ``docs`` has to be read from storage (its partitions must be the same in both passes). A null or
     empty text is just its end mark; a null id is stored as -1; repeated rows are all written; an
     empty table has no shards; other columns are ignored. The ids of a text stay in order inside a
@@ -128,20 +132,20 @@ def materialise(
     spark = small_batches(docs.sparkSession)
     ids = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     scan = docs.select(F.shiftright(F.monotonically_increasing_id(), 33).cast("long").alias("part"), F.col(id_col).cast("long").alias("doc"), ids.alias("ids"))
-    sums = scan.groupBy("part").agg(F.sum(F.length("ids") + 1).alias("n")).orderBy("part").collect()  # one row for each partition
+    sums = scan.groupBy("part").agg(F.sum((F.length("ids") / width).cast("long") + 1).alias("n")).orderBy("part").collect()  # one row for each partition
     counts = [-(-r["n"] // length) for r in sums]
     offsets = dict(zip([r["part"] for r in sums], np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(int).tolist() if counts else [], strict=True))
-    layout = Layout(path, sum(counts), length, per_shard)
+    layout = Layout(path, sum(counts), length, per_shard, width)
     shards = max(1, -(-layout.sequences // per_shard))
-    width = min(shuffle_width(spark), shards)
-    made = scan.mapInArrow(_cut(offsets, layout.sequences, key, length), "slot long, record binary") if counts else spark.createDataFrame([], "slot long, record binary")
+    parts = min(shuffle_width(spark), shards)
+    made = scan.mapInArrow(_cut(offsets, layout.sequences, key, length, width), "slot long, record binary") if counts else spark.createDataFrame([], "slot long, record binary")
     placed = made.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
-    dealt = placed.repartitionById(width, F.floor(F.col("shard").cast("long") * width / shards).cast("int")).sortWithinPartitions("shard", "slot")
+    dealt = placed.repartitionById(parts, F.floor(F.col("shard").cast("long") * parts / shards).cast("int")).sortWithinPartitions("shard", "slot")
     dealt.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
     return layout
 
 
-def _read(stride: int, per_shard: int, first: int):
+def _read(stride: int, per_shard: int, first: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -151,7 +155,7 @@ def _read(stride: int, per_shard: int, first: int):
                     part = raw[lo : lo + 512]
                     head = np.ascontiguousarray(part[:, : HEADER.itemsize]).view(HEADER).ravel()
                     body = np.ascontiguousarray(part[:, HEADER.itemsize : -1])
-                    ids = [row[:n].tobytes() for row, n in zip(body, head["n_tokens"].tolist(), strict=True)]
+                    ids = [row[: n * width].tobytes() for row, n in zip(body, head["n_tokens"].tolist(), strict=True)]
                     slots = shard * per_shard + np.arange(lo, lo + len(part))
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -178,4 +182,4 @@ def read_shards(spark: SparkSession, layout: Layout, first: int = 0) -> DataFram
     if not layout.sequences:
         return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").load(layout.path).where(F.col("shard") >= first // layout.per_shard)
-    return files.select(F.col("shard").cast("int"), "content").mapInArrow(_read(layout.stride, layout.per_shard, first), schema)
+    return files.select(F.col("shard").cast("int"), "content").mapInArrow(_read(layout.stride, layout.per_shard, first, layout.width), schema)

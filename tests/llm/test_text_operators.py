@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from panelforge.llm import bpe, chat, linededup, minhash, mixing, shards, toxicity
+from panelforge.llm import bpe, chat, linededup, minhash, mixing, queries, shards, toxicity
 
 DOCS = "doc_id long, text string, source string, id string, key string, row int"
 
@@ -296,6 +296,28 @@ def test_shards_hold_every_id_once_in_a_keyed_order(spark, tmp_path):
     assert [bytes(r.ids) for r in shards.read_shards(spark, other).orderBy("slot").collect()] != [bytes(r.ids) for r in got]
 
 
+def test_shards_of_the_query_hold_token_ids(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    known = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rows = [(i, t, "a") for i, t in enumerate(texts(n=30, words=400))] + [(50, None, "a"), (51, "", "b"), (None, "null id", "b"), (52, "long\n" * 9000, "b"), (3, "again", "c")]
+    frame(spark, rows).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted(x for _, t, _ in rows for x in [*known.encode_ordinary(t or ""), 0xFFFF])
+    assert sum(r.n_tokens for r in queries.op10_training_shards(spark, str(tmp_path)).collect()) == len(want)
+    encoded = bpe.encode(spark.read.parquet(str(tmp_path / "documents.parquet")), path, public_tokenizers.PATTERN, width=2)
+    encoded.select("doc_id", "ids").write.parquet(str(tmp_path / "ids"))
+    layout = shards.materialise(spark.read.parquet(str(tmp_path / "ids")), str(tmp_path / "out"), length=64, per_shard=50, text_col="ids", width=2)
+    got = shards.read_shards(spark, layout).collect()
+    assert sorted(r.slot for r in got) == list(range(layout.sequences))
+    assert sorted(x for r in got for x in np.frombuffer(r.ids, "<u2").tolist()) == want
+    by_id = {i: [*known.encode_ordinary(t or ""), 0xFFFF] for i, t, _ in rows if i not in (3, None)}
+    for r in got:
+        ids = np.frombuffer(r.ids, "<u2").tolist()
+        assert r.n_tokens == len(ids)
+        if r.doc_id in by_id:
+            head = by_id[r.doc_id][r.start :][: r.n_tokens]
+            assert head and ids[: len(head)] == head
+
+
 def test_shards_of_nothing(spark, tmp_path):
     frame(spark, []).write.parquet(str(tmp_path / "in"))
     layout = shards.materialise(spark.read.parquet(str(tmp_path / "in")), str(tmp_path / "out"))
