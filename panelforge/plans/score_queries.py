@@ -460,8 +460,8 @@ def train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     signal = p.select("date", "stock_code", F.col("alpha").alias("value"))
     built = panel.build_panel(p, r, {"alpha_signal": signal}, {"alpha_signal": "identity"}, liquidity=["turnover"])
     c = model.contract(panel.feature_roles(["alpha_signal"], ["turnover"]), "y_raw_fwd")
-    folds = panel.fold_assignments(built.select("date"), market.FOLDS[:1], 1)
-    return model.train_folds(built, folds, c, "y_raw_fwd", params={"maxIter": 3, "maxDepth": 3})["predictions"]
+    folds = panel.fold_assignments(built.select("date"), market.FOLDS, 1)
+    return model.train_folds(built, folds, c, "y_raw_fwd")["predictions"]
 
 
 # ---- diagnosis

@@ -526,3 +526,17 @@ def test_metadata_prefers_the_reference(spark):
     assert got == {"000001": ("bank", "SSE_MAIN", "listing_board_reference"), "300001": ("tech", "STAR", "listing_board_reference")}
     plain = {r.stock_code: r.board for r in readers.static_metadata(stocks, industry).collect()}
     assert plain == {"000001": "SZSE_MAIN", "300001": "CHINEXT"}
+
+
+def test_the_training_query_trains_all_folds_with_the_default_model(spark, monkeypatch):
+    from panelforge.plans import market, score_queries
+
+    seen = []
+
+    def train(built, folds, c, target, factory=model.default_factory, params=None, fold_ids=None):
+        seen.append((sorted(r[0] for r in folds.select("fold_id").distinct().collect()), factory, params, fold_ids))
+        return {"predictions": built}
+
+    monkeypatch.setattr(model, "train_folds", train)
+    score_queries.train_predict(spark, "/root/testdata/sf0.001")
+    assert seen == [([f.fold_id for f in market.FOLDS], model.default_factory, None, None)]
