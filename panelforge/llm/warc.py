@@ -75,19 +75,20 @@ def parse_record(data: bytes, at: int = 0) -> tuple[Record, int]:
     """The record that begins at ``at``, and where it ends. Raises Damaged if any check fails."""
     if data[at : at + 10] not in (b"WARC/1.0\r\n", b"WARC/1.1\r\n"):
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0 or stop - at > 1 << 16:
-        raise Damaged("header without end")
-    head = {}
-    for line in data[at + 10 : stop].decode("utf-8", "replace").split("\r\n"):
-        name, colon, value = line.partition(":")
+    head, pos = {}, at + 10
+    # of any length; a line that is no field ends the search
+    while (stop := data.find(b"\r\n", pos)) != pos:
+        if stop < 0:
+            raise Damaged("header without end")
+        name, colon, value = data[pos:stop].decode("utf-8", "replace").partition(":")
         if not colon:
             raise Damaged("header line without colon")
         head[name.strip().lower()] = value.strip()
+        pos = stop + 2
     length = head.get("content-length", "")
     if not length.isdigit():
         raise Damaged("no content length")
-    begin, end = stop + 4, stop + 4 + int(length)
+    begin, end = stop + 2, stop + 2 + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("record without end")
     block = data[begin:end]

@@ -118,6 +118,16 @@ def test_archives_round_trip(spark, tmp_path, compress):
     assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_archives_keep_pages_with_very_long_urls(spark, tmp_path, compress):
+    rng = random.Random(8)
+    url = "data:," + "".join(rng.choice("abcdefgh0123") for _ in range(100_000))
+    rows = [(1, url, "<p>same</p>"), (2, "http://b", "<p>same</p>"), (3, url + "x", "other")]
+    warc.write_archives(pages(spark, rows), str(tmp_path / "w"), compress=compress)
+    got = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert sorted((r.page_id, r.url, r.gap, r.kind, r.refers_to) for r in got) == [(1, url, None, "response", None), (2, "http://b", None, "revisit", 1), (3, url + "x", None, "response", None)]
+
+
 def members(compress):
     import gzip
 
