@@ -3,8 +3,9 @@
 A unit vector is approximated by the sum of one entry from each of several codebooks of full
 dimension. Each codebook is a k-means of what those before it leave over, on a bounded sample. Encoding is a beam search: the best few partial sums are kept after each
 codebook. The index stores a byte per codebook and the norm of the sum, so a row's distance to a
-query is read from the query's table of inner products with all entries. The best rows by that
-score are ranked again by the exact cosine of the original vectors.
+query is read from the query's table of inner products with all entries. Equal vectors are one row of
+the index, with the smallest ids of those that have it. The best rows by that score are ranked again
+by the exact cosine of the original vectors, each for all of its ids.
 """
 
 from __future__ import annotations
@@ -85,7 +86,6 @@ def _scan(books: np.ndarray, keep: int):
             score = -norms[None, :].repeat(len(q), axis=0)
             for m in range(len(books)):
                 score += 2 * lookup[m][:, codes[:, m]]
-            score[asked["n"][:, None] == block["n"][None, :]] = -np.inf
             s = np.concatenate([best_s, score], axis=1)
             n = np.concatenate([best_n, np.broadcast_to(block["n"], score.shape)], axis=1)
             i = np.concatenate([best_id, np.broadcast_to(block["id"], score.shape)], axis=1)
@@ -118,12 +118,18 @@ def nearest(
     own. Scores are exact, and equal ones go by the smaller id. Vectors that are null, zero, of odd length or hold
     null or non-finite components take no part. Rows that repeat an id are rows of their own, as
     queries and as candidates. With fewer rows than ``k`` all are returned; an empty table gives an empty
-    result; other columns are ignored. Codebooks are fit on at most ``sample`` rows; every row is indexed.
+    result; other columns are ignored. Codebooks are fit on at most ``sample`` vectors; every vector is indexed,
+equal ones once. The shortlist has ``shortlist`` vectors besides the query's own.
     """
     spark = rows.sparkSession
     valid, valid_path = valid_vectors(rows, id_col, vector_col, zero=False)
     schema = f"query_id long, rank int, {id_col} long, score double"
-    x = sample_matrix(valid, sample)
+    # equal vectors tie, so the k + 1 smallest ids (one may be the query's own) are all that can be among the k best
+    first = Window.partitionBy("h", "vec").orderBy("id", "n")
+    few = valid.withColumn("h", F.xxhash64("vec")).withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
+    members = few.groupBy("h", "vec").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("members"))
+    classes, classes_path = table(members.select(F.col("members")[0]["n"].alias("n"), F.col("members")[0]["id"].alias("id"), "vec", "members"), "additive-classes")
+    x = sample_matrix(classes, sample)
     if not len(x):
         return spark.createDataFrame([], schema)
     books = fit_codebooks(_units(x))
@@ -137,36 +143,40 @@ def nearest(
             units = _units(vec)
             parts = [encode(units[k : k + 500], model.value) for k in range(0, len(units), 500)]
             codes, norms = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            raw = vec.astype("<f8")
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
                     pa.array([c.tobytes() for c in codes], pa.binary()),
                     pa.array([np.float32(v).tobytes() for v in norms], pa.binary()),
-                    pa.array([v.tobytes() for v in raw], pa.binary()),
                 ],
-                names=["n", "id", "codes", "norm", "vec"],
+                names=["n", "id", "codes", "norm"],
             )
 
-    index, index_path = table(valid.mapInArrow(encoded, "n long, id long, codes binary, norm binary, vec binary"), "additive-index")
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [np.array(v, "<f8").tobytes() for v in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], names=["n", "id", "vec"])
+
+    index, index_path = table(classes.select("n", "id", "vec").mapInArrow(encoded, "n long, id long, codes binary, norm binary"), "additive-index")
     is_query = F.col("id") % every == 0
     # queries carry their vector, table rows their code
     none = F.lit(b"")
-    asked = index.where(is_query).select("n", "id", none.alias("codes"), none.alias("norm"), "vec")
+    asked = valid.where(is_query).mapInArrow(packed, "n long, id long, vec binary").select("n", "id", none.alias("codes"), none.alias("norm"), "vec")
     held = index.select("n", "id", "codes", "norm", none.alias("vec"))
-    found = search_cells(held, asked, {"codes": "u1", "norm": "<f4", "vec": "<f8"}, _scan(books, shortlist), QUERY_BLOCK)
+    found = search_cells(held, asked, {"codes": "u1", "norm": "<f4", "vec": "<f8"}, _scan(books, shortlist + 1), QUERY_BLOCK)
     pairs = found.select("query_n", "query_id", F.arrays_zip("scores", "ns", "ids").alias("got"))
-    # one row for each query and part of the table, each with at most ``shortlist`` entries
+    # one row for each query and part of the table, each with at most ``shortlist`` + 1 entries
     merged = pairs.groupBy("query_n", "query_id").agg(F.flatten(F.collect_list("got")).alias("got"))
-    short = merged.select("query_n", "query_id", F.slice(F.sort_array("got", asc=False), 1, shortlist).alias("got"))
-    short, short_path = table(short.select("query_n", "query_id", F.explode("got").alias("g")).select("query_n", "query_id", F.col("g.ns").alias("n"), F.col("g.ids").alias("id")), "additive-shortlist")
+    short = merged.select("query_n", "query_id", F.slice(F.sort_array("got", asc=False), 1, shortlist + 1).alias("got"))
+    short, short_path = table(short.select("query_n", "query_id", F.explode("got").alias("g")).select("query_n", "query_id", F.col("g.ns").alias("n")), "additive-shortlist")
     left = valid.select(F.col("n").alias("query_n"), F.col("vec").alias("a"))
-    both = short.join(left, "query_n").join(valid.select("n", F.col("vec").alias("b")), "n")
+    both = short.join(left, "query_n").join(classes.select("n", F.col("vec").alias("b"), "members"), "n")
     dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     score = dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")))
     order = Window.partitionBy("query_n").orderBy(F.desc("score"), "id", "n")
-    ranked = both.select("query_n", "query_id", "n", "id", score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    every_id = both.select("query_n", "query_id", score.alias("score"), F.explode("members").alias("m")).select("query_n", "query_id", "score", "m.id", "m.n")
+    ranked = every_id.where("n <> query_n").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     out, _ = table(ranked.select("query_id", "rank", F.col("id").alias(id_col), "score"), "additive-result")
-    forget(spark, [valid_path, index_path, short_path])
+    forget(spark, [valid_path, classes_path, index_path, short_path])
     return out

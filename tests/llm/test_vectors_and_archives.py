@@ -43,6 +43,22 @@ def test_additive_recall_and_exact_scores(spark):
     assert not {r.vec_id for r in got} & {i for i, _ in ODD}
 
 
+def test_additive_takes_the_smallest_ids_of_a_large_group_and_what_is_near_it(spark):
+    v = vectors(700, 16, seed=3)
+    copy = v[0]
+    near = [(copy + 1e-3 * d).astype(np.float32) for d in np.random.default_rng(1).normal(size=(3, 16))]
+    rows = [(i, copy.tolist()) for i in range(400)] + [(1000 + i, x.tolist()) for i, x in enumerate(v[1:])] + [(5000 + 50 * i, x.tolist()) for i, x in enumerate(near)]
+    random.Random(2).shuffle(rows)
+    got = additive.nearest(frame(spark, rows)).collect()
+    found = lambda q: [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])]
+    for q in range(0, 400, 50):
+        assert found(q) == [i for i in range(6) if i != q][:5]
+    unit = {i: np.array(x, float) / np.linalg.norm(np.array(x, float)) for i, x in rows}
+    for q in (5000, 5050, 5100):
+        near_first = sorted((i for i in unit if i != q), key=lambda i: (-round(float(unit[i] @ unit[q]), 12), i))
+        assert found(q) == near_first[:5]
+
+
 def test_additive_on_few_rows(spark):
     got = additive.nearest(frame(spark, [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])])).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, 1, 1.0), (0, 2, 2, 0.0)]
