@@ -34,9 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    plan = mixing.mix(docs).select("doc_id", F.col("size").alias("_size"), "times").distinct()
-    sized = docs.withColumn("_size", mixing.word_count(F.col("text")))
-    taken = sized.join(plan.where("times > 0").hint("merge"), ["doc_id", "_size"])
+    taken = mixing.mix(docs, keep=docs.columns).where("times > 0")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
 
 

@@ -64,6 +64,7 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     seed: int = 11,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """How often each document is taken: id, ``size`` (words), ``source_size``, ``target`` (of its source),
     ``times`` (whole copies in the mix) and ``taken`` (words, repeats counted). One row per input row.
@@ -72,25 +73,30 @@ def mix(
     A null source is a source of its own, the last. Rows that repeat an id share their random number,
     so those of one size are sampled together or not at all. An empty table gives an empty result;
     other columns are ignored. Reruns agree, as the random numbers are hashes of the ids.
+    Columns named in ``keep`` come along in place of the id; ``docs`` is then read once more for them at the end.
     """
     row = F.xxhash64(F.lit(seed), F.col(id_col))
     # 53 bits, kept off 0 and 1
     u = ((F.shiftrightunsigned(row, 11)).cast("double") + 0.5) / float(1 << 53)
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), u.alias("u"))
-    held, held_path = table(narrow, "mix-sizes")
+    kept = [] if keep is None else [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    rows = docs.select(*kept, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), u.alias("u"))
+    held, held_path = table(rows.select("id", "source", "size", "u"), "mix-sizes")
     sizes = held.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("size").alias("mean_size"))
     totals, totals_path = table(sizes, "mix-sources")
     targets = source_targets(totals.select("source", "source_size"), weights, share, most)
     joined = targets.join(totals.select(F.col("source").alias("s2"), "mean_size"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     plan, plan_path = table(joined, "mix-targets")
-    on = held["source"].eqNullSafe(plan["source"])
-    dealt = held.join(plan, on).select(held["id"], held["size"], "u", "place", "source_size", "target", "copies", "rest", "mean_size")
     part = F.col("rest") / F.greatest(F.col("source_size"), F.lit(1))
     odds = part / (1 - part) * F.sqrt(F.col("size") / F.col("mean_size"))
     ratio = F.col("u") / (1 - F.col("u")) / odds
     # the odds ratio itself is unbounded; this keeps its order and lies in (0, 1)
     key = F.when((F.col("size") > 0) & (F.col("rest") > 0), ratio / (ratio + 1))
-    ranked, ranked_path = table(dealt.withColumn("key", key).drop("u", "mean_size"), "mix-order")
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        dealt = rows.join(plan.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")))
+        return dealt.withColumn("key", key).drop("source", "s2", "u", "mean_size")
+
+    ranked, ranked_path = table(keyed(held), "mix-order")
 
     candidates = ranked.where(F.col("key").isNotNull()).select("place", "key", "size", F.floor(F.col("key") * BINS).alias("bin"))
     state = plan.select("place", F.lit(-1.0).alias("after"), F.col("rest").alias("gap"), F.array().cast("array<struct<after:double,upto:double,gap:double>>").alias("taken"))
@@ -117,10 +123,12 @@ def mix(
         nxt = moved.select("place", cut.alias("after"), (F.col("gap") - words).alias("gap"), F.concat("taken", F.array(step)).alias("taken"))
         state, path = table(nxt, "mix-cuts")
         paths.append(path)
-    chosen = ranked.join(state.select("place", "taken"), "place")
+    # a row's key follows from its own columns and its source's plan, so no join by id brings the columns
+    chosen = (ranked if keep is None else keyed(rows)).join(state.select("place", "taken"), "place")
     k, n = F.col("key"), F.col("size")
     sampled = F.coalesce(F.exists("taken", lambda s: (k > s["after"]) & (k <= s["upto"]) & (n <= s["gap"])), F.lit(False))
     times = F.col("copies") + sampled.cast("long")
-    out, _ = table(chosen.select(F.col("id").alias(id_col), "size", "source_size", "target", times.alias("times"), (times * n).alias("taken")), "mix-result")
+    names = [F.col("id").alias(id_col)] if keep is None else [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
+    out, _ = table(chosen.select(*names, "size", "source_size", "target", times.alias("times"), (times * n).alias("taken")), "mix-result")
     forget(docs.sparkSession, paths)
     return out
