@@ -1,10 +1,16 @@
-"""Checks that are part of the operators: each raises with a small sample of the offending rows."""
+"""Checks that are part of the operators.
+
+``passing``, ``unique`` and ``matched`` return the frame with the check inside its plan: rows that pass go on, the
+first that fails stops the query with its message. They add no job and, where the frame is dealt by the keys or
+a part of them already, no shuffle. The ``assert_`` functions run a job of their own, at once, and are for readers
+and small tables; they raise with a sample of the offending rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,6 +20,28 @@ def require_columns(df: DataFrame, columns: Iterable[str], what: str) -> None:
         raise ValueError(f"{what} is missing columns: {missing}")
 
 
+def _told(keys: Sequence[str]) -> Column:
+    return F.concat_ws(", ", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("null")) for k in keys])
+
+
+def passing(df: DataFrame, condition: Column, message: str, keys: Sequence[str]) -> DataFrame:
+    """``df``; a row that fails ``condition`` (null counts as failing) stops the query, which names its ``keys``."""
+    told = F.concat(F.lit(f"{message}: "), _told(keys))
+    return df.where(F.when(~F.coalesce(condition, F.lit(False)), F.raise_error(told)).otherwise(F.lit(True)))
+
+
+def unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """``df``; rows that repeat ``keys`` stop the query."""
+    counted = df.withColumn("_times", F.count("*").over(Window.partitionBy(*keys)))
+    return passing(counted, F.col("_times") == 1, f"{what} repeats keys {list(keys)}", keys).drop("_times")
+
+
+def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], message: str) -> DataFrame:
+    """The left join of both; a left row without a right one stops the query."""
+    joined = left.join(right.withColumn("_found", F.lit(True)), list(keys), "left")
+    return passing(joined, F.col("_found"), message, keys).drop("_found")
+
+
 def assert_empty(df: DataFrame, message: str) -> None:
     sample = df.limit(10).collect()
     if sample:
@@ -40,27 +68,28 @@ def check_winsor(lower: float, upper: float, z_clip: float) -> None:
         raise ValueError("z_clip must be positive")
 
 
-def assert_index_flags(df: DataFrame, flags: Sequence[str]) -> None:
-    """Flags are 0 or 1, and at most one is set."""
+def valid_index_flags(df: DataFrame, flags: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """``df``; flags other than 0 or 1, or more than one in a row, stop the query."""
     values = [F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in flags]
     bad = F.lit(False)
     total = F.lit(0.0)
     for v in values:
         bad, total = bad | ~v.isin(0.0, 1.0), total + v
-    assert_empty(df.where(bad | (total > 1)), "index flags must be 0 or 1 and must not overlap")
+    return passing(df, ~(bad | (total > 1)), "index flags must be 0 or 1 and must not overlap", keys)
 
 
-def assert_one_hot(df: DataFrame, columns: Sequence[str], what: str) -> None:
+def one_hot_rows(df: DataFrame, columns: Sequence[str], what: str, keys: Sequence[str]) -> DataFrame:
     total = sum((F.col(f"`{c}`") for c in columns), F.lit(0))
-    assert_all(df, total == 1, f"{what} has rows that do not sum to 1")
+    return passing(df, total == 1, f"{what} has rows that do not sum to 1", keys)
 
 
-def assert_consistent(df: DataFrame, pairs: Iterable[tuple[str, str]], tolerance: float = 1e-10) -> None:
-    """Copies of a value agree: both missing, or equal within absolute plus relative tolerance."""
+def consistent(df: DataFrame, pairs: Iterable[tuple[str, str]], keys: Sequence[str], tolerance: float = 1e-10) -> DataFrame:
+    """``df``; copies of a value must agree: both missing, or equal within absolute plus relative tolerance."""
     for a, b in pairs:
         x, y = F.col(a), F.col(b)
         same = (x.isNull() & y.isNull()) | (F.abs(x - y) <= tolerance + tolerance * F.abs(y))
-        assert_all(df, same, f"columns {a} and {b} differ")
+        df = passing(df, same, f"columns {a} and {b} differ", keys)
+    return df
 
 
 def check_periods(periods: Sequence) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import finite
 from ..functions.stats import TINY
-from .nav import SERIES, net_asset_value, summarize_buckets, underwater_runs
+from .nav import SERIES, net_asset_value, summarize_buckets
 
 
 def weighted_mean(summary: DataFrame, metric: str, weight: str = "date_count", by: Sequence[str] = ("split", "score_col")) -> DataFrame:
@@ -24,7 +24,7 @@ def stitched_summary(daily_returns: DataFrame, splits: Sequence[str] = ("test",)
     series = ("bucket_index", "bucket_label")
     one = daily_returns.where(F.col("split").isin(*splits)).withColumn("bucket_return", F.coalesce(finite(F.col("bucket_return")), F.lit(0.0)))
     nav = net_asset_value(one, series)
-    return summarize_buckets(nav, series).join(underwater_runs(nav, series, TINY), list(series))
+    return summarize_buckets(nav, series, TINY)
 
 
 def bucket_style(summary: DataFrame, segment: str, by: Sequence[str] = SERIES) -> DataFrame:

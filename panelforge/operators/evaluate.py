@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.checks import assert_all, assert_consistent, assert_matched, assert_unique
+from ..functions.checks import consistent, matched, passing, unique
 from ..functions.keys import category_label, finite
 from ..functions.stats import annual_ratio, correlation, positive_rate
 from .xsection import average_rank, quantile_bucket
@@ -18,13 +18,11 @@ DAY = ("fold_id", "split", "date")
 def evaluation_frame(predictions: DataFrame, panel: DataFrame, context: Sequence[str], checked: Sequence[str] = ()) -> DataFrame:
     """Predictions with the panel's ``context`` columns; every prediction needs its panel row, and ``checked`` columns must agree."""
     keys = ["date", "stock_code"]
-    assert_unique(panel, keys, "panel")
-    assert_unique(predictions, [*DAY, "stock_code"], "predictions")
-    assert_matched(predictions, panel, keys, "predictions without panel rows")
     copies = [F.col(c).alias(f"_panel_{c}") for c in checked]
-    df = predictions.join(panel.select(*keys, *context, *copies), keys, "left")
-    assert_consistent(df, [(c, f"_panel_{c}") for c in checked])
-    return df.drop(*[f"_panel_{c}" for c in checked])
+    # both checks of repeated rows are dealt as the join is
+    df = matched(predictions, unique(panel.select(*keys, *context, *copies), keys, "panel"), keys, "predictions without panel rows")
+    df = consistent(df, [(c, f"_panel_{c}") for c in checked], keys).drop(*[f"_panel_{c}" for c in checked])
+    return unique(df, [*keys, "fold_id", "split"], "predictions")
 
 
 def long_scores(frame: DataFrame, scores: Sequence[str], target: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -98,11 +96,10 @@ def group_ic(frame: DataFrame, scores: Sequence[str], target: str, dimensions: S
 
 def feature_gain(gains: DataFrame) -> DataFrame:
     """Shares, ranks and cumulative shares inside folds of (fold_id, feature, importance_gain, importance_split)."""
-    assert_unique(gains, ["fold_id", "feature"], "feature gains")
-    df = gains
+    df = unique(gains, ["fold_id", "feature"], "feature gains")
     for c in ("importance_gain", "importance_split"):
         df = df.withColumn(c, F.coalesce(finite(F.col(c)), F.lit(0.0)))
-    assert_all(df, (F.col("importance_gain") >= 0) & (F.col("importance_split") >= 0), "feature gains must not be negative")
+    df = passing(df, (F.col("importance_gain") >= 0) & (F.col("importance_split") >= 0), "feature gains must not be negative", ["fold_id", "feature"])
     w = Window.partitionBy("fold_id")
     order = w.orderBy(F.desc("importance_gain"), "feature").rowsBetween(Window.unboundedPreceding, 0)
     for kind in ("gain", "split"):
@@ -124,9 +121,7 @@ def summarize_feature_gain(gain: DataFrame, roles: DataFrame | None = None) -> D
     )
     if roles is None:
         return out
-    assert_unique(roles, ["feature"], "feature roles")
-    assert_matched(gain.select("feature").distinct(), roles, ["feature"], "features without a role")
-    return out.join(F.broadcast(roles), "feature")  # as many rows as the model has features
+    return matched(out, unique(roles, ["feature"], "feature roles"), ["feature"], "features without a role")
 
 
 def summarize_roles(summary: DataFrame) -> DataFrame:

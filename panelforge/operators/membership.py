@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.checks import assert_empty, assert_unique
+from ..functions.checks import matched, passing, unique
 from ..functions.keys import BOARDS, MAIN_BOARDS, board_segment, finite
 
 KEYS = ["date", "stock_code"]
@@ -55,7 +55,6 @@ def membership_quality(dates: DataFrame, manifest: DataFrame, members: DataFrame
 
     ``manifest`` is (index_name, date, quality_status), ``members`` (index_name, date, stock_code, weight, quality_status).
     """
-    assert_unique(manifest, ["index_name", "date"], "manifest")
     specs = F.array(*[F.struct(F.lit(i.column).alias("flag"), F.lit(i.name).alias("index_name"), F.lit(i.least).alias("least"), F.lit(i.most).alias("most")) for i in indexes])
     frame = dates.select("date").distinct().select("date", F.inline(specs))
     code = F.when(F.col("stock_code") != "", F.col("stock_code"))
@@ -65,7 +64,8 @@ def membership_quality(dates: DataFrame, manifest: DataFrame, members: DataFrame
         F.sum(finite(F.col("weight"))).alias("weight_sum"),
         F.sort_array(F.collect_set(F.trim("quality_status"))).alias("statuses"),
     )
-    df = frame.join(manifest.select("index_name", "date", F.coalesce("quality_status", F.lit("")).alias("source_status")), ["index_name", "date"], "left").join(found, ["index_name", "date"], "left")
+    source = unique(manifest.select("index_name", "date", F.coalesce("quality_status", F.lit("")).alias("source_status")), ["index_name", "date"], "manifest")
+    df = frame.join(source, ["index_name", "date"], "left").join(found, ["index_name", "date"], "left")
     status = F.col("source_status")
     off = F.abs(F.col("weight_sum") / 100 - 1)
     reasons = F.when(status.isNull(), "missing_asof_row").when(F.col("member_count").isNull(), "missing_partition").otherwise(
@@ -83,21 +83,19 @@ def membership_quality(dates: DataFrame, manifest: DataFrame, members: DataFrame
 
 def membership_panel(universe: DataFrame, quality: DataFrame, members: DataFrame, indexes: Sequence[IndexSpec] = INDEXES) -> DataFrame:
     """Per (date, stock_code): a flag and an unknown mark for each index. A date without reliable members is unknown for all stocks."""
-    assert_unique(universe, KEYS, "universe")
     by_date = quality.groupBy("date").pivot("flag", [i.column for i in indexes]).agg(F.first("reliable"))
     known = by_date.select("date", *[F.coalesce(F.col(i.column), F.lit(False)).alias(f"_{i.column}") for i in indexes])
     names = F.create_map(*[F.lit(x) for i in indexes for x in (i.name, i.column)])
     held = members.where(F.col("stock_code") != "").select("date", "stock_code", F.try_element_at(names, F.col("index_name")).alias("flag")).distinct()
     wide = held.groupBy(*KEYS).pivot("flag", [i.column for i in indexes]).agg(F.lit(True))
-    df = universe.select(*KEYS).join(known, "date", "left").join(wide, KEYS, "left")
+    df = unique(universe.select(*KEYS), KEYS, "universe").join(known, "date", "left").join(wide, KEYS, "left")
     reliable = {i.column: F.coalesce(F.col(f"_{i.column}"), F.lit(False)) for i in indexes}
     flags = [(r & F.coalesce(F.col(c), F.lit(False))).alias(c) for c, r in reliable.items()]
     unknown = {c: ~r for c, r in reliable.items()}
     any_unknown = reduce(lambda a, b: a | b, unknown.values())
     out = df.select(*KEYS, *flags, *[u.alias(f"{c}_unknown") for c, u in unknown.items()], any_unknown.alias("index_membership_any_unknown"), (~any_unknown).alias("index_membership_all_known"), F.lit(True).alias("historical_pit_index_membership"))
     total = reduce(lambda a, b: a + b, [F.col(i.column).cast("int") for i in indexes])
-    assert_empty(out.where(total > 1), "reliable index memberships overlap")
-    return out
+    return passing(out, total <= 1, "reliable index memberships overlap", KEYS)
 
 
 def membership_summary(quality: DataFrame) -> DataFrame:
@@ -107,7 +105,7 @@ def membership_summary(quality: DataFrame) -> DataFrame:
 def board_dimension(board: DataFrame) -> DataFrame:
     """Listing boards with their segment and a flag for each; unknown segments are an error."""
     df = board.withColumn("listing_board_segment", board_segment(F.col("listing_board_code"), F.col("exchange_code")))
-    assert_empty(df.where("listing_board_segment = ''"), "listing boards without a segment")
+    df = passing(df, F.coalesce(F.col("listing_board_segment") != "", F.lit(True)), "listing boards without a segment", ["stock_code"])
     seg = F.col("listing_board_segment")
     return df.withColumns({f"is_{s.lower()}": seg == s for s in BOARDS}).withColumn("is_main_board", seg.isin(*MAIN_BOARDS))
 
@@ -116,13 +114,10 @@ def daily_dataset(daily: DataFrame, industry: DataFrame, board: DataFrame, membe
     """Daily metrics with industry and board of the stock and membership of the day; what is ``required`` must match."""
     need = {"industry": True, "board": True, "membership": True} | dict(required or {})
     parts = {"industry": (industry, ["stock_code"]), "board": (board_dimension(board), ["stock_code"]), "membership": (membership, KEYS)}
-    assert_unique(daily, KEYS, "daily metrics")
-    df = daily
+    df = unique(daily, KEYS, "daily metrics")
     for name, (part, keys) in parts.items():
-        assert_unique(part, keys, name)
-        if need[name]:
-            assert_empty(df.select(*keys).join(part.select(*keys), keys, "left_anti"), f"daily rows without {name}")
-        df = df.join(part, keys, "left")
+        part = unique(part, keys, name)
+        df = matched(df, part, keys, f"daily rows without {name}") if need[name] else df.join(part, keys, "left")
     return df
 
 

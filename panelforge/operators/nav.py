@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.checks import assert_all, assert_empty, assert_unique, require_columns
+from ..functions.checks import passing, require_columns, unique
 from ..functions.keys import finite
 from ..functions.stats import YEAR, annual_ratio, annual_vol, positive_rate, t_stat
 
@@ -55,11 +55,11 @@ def rank_scores(predictions: DataFrame, score: str, splits: Sequence[str] | None
         df = df.where(F.col("split").isin(*splits))
     if fold_ids is not None:
         df = df.where(F.col("fold_id").isin(*fold_ids))
-    assert_unique(df, [*DAY, "stock_code"], "predictions")
-    df = df.withColumn(score, finite(F.col(score))).where(F.col(score).isNotNull())
-    by_score = F.col(score).desc() if descending else F.col(score).asc()
+    df = df.withColumn(score, finite(F.col(score)))
+    by_score = F.col(score).desc_nulls_last() if descending else F.col(score).asc_nulls_last()
     w = Window.partitionBy(*DAY)
-    return df.withColumn("rank", F.row_number().over(w.orderBy(by_score, "stock_code"))).withColumn("eligible_count", F.count("*").over(w))
+    df = df.withColumn("rank", F.row_number().over(w.orderBy(by_score, "stock_code"))).withColumn("eligible_count", F.count(score).over(w))
+    return unique(df, [*DAY, "stock_code"], "predictions").where(F.col(score).isNotNull())
 
 
 def _equal_start(k: Column, n: Column, buckets: int) -> Column:
@@ -68,6 +68,10 @@ def _equal_start(k: Column, n: Column, buckets: int) -> Column:
 
 def assign_buckets(ranked: DataFrame, bucket_count: int | None = None, buckets: Sequence[RankBucket] | None = None) -> DataFrame:
     """Adds bucket_index, bucket_label, rank_start and rank_end; rows outside of fixed buckets go."""
+    return _bucketed(ranked, bucket_count, buckets).where("bucket_index is not null")
+
+
+def _bucketed(ranked: DataFrame, bucket_count: int | None, buckets: Sequence[RankBucket] | None) -> DataFrame:
     k = F.col("bucket_index")
     if bucket_count:
         tile = F.ntile(bucket_count).over(Window.partitionBy(*DAY).orderBy("rank"))
@@ -76,12 +80,15 @@ def assign_buckets(ranked: DataFrame, bucket_count: int | None = None, buckets:
     check_rank_buckets(buckets)
     specs = F.array(*[F.struct(F.lit(i).alias("bucket_index"), F.lit(b.label).alias("bucket_label"), F.lit(b.start).alias("rank_start"), F.lit(b.end).alias("rank_end")) for i, b in enumerate(buckets, 1)])
     spec = F.get(F.filter(specs, lambda b: F.col("rank").between(b["rank_start"], b["rank_end"])), 0)
-    return ranked.withColumn("_b", spec).where(F.col("_b").isNotNull()).select("*", "_b.*").drop("_b")
+    return ranked.withColumn("_b", spec).select("*", "_b.*").drop("_b")
 
 
 def bucket_frame(ranked: DataFrame, bucket_count: int | None = None, buckets: Sequence[RankBucket] | None = None) -> DataFrame:
     """Every bucket of every day that has ranked rows, empty ones included, with its rank bounds."""
-    days = ranked.groupBy(*DAY).agg(F.count("*").cast("int").alias("eligible_count"))
+    return _bucket_days(ranked.groupBy(*DAY).agg(F.count("*").cast("int").alias("eligible_count")), bucket_count, buckets)
+
+
+def _bucket_days(days: DataFrame, bucket_count: int | None, buckets: Sequence[RankBucket] | None) -> DataFrame:
     if bucket_count:
         df = days.withColumn("bucket_index", F.explode(F.sequence(F.lit(1), F.lit(bucket_count))))
         k, n = F.col("bucket_index"), F.col("eligible_count")
@@ -95,12 +102,17 @@ def bucket_returns(ranked: DataFrame, returns: DataFrame, bucket_count: int | No
 
     ``returns`` is long (date, stock_code, ``return_col``). A return of -1 or less inside a bucket is an error.
     """
-    assert_unique(returns, ["date", "stock_code"], "returns")
-    chosen = assign_buckets(ranked, bucket_count, buckets).drop("_r")
-    priced = chosen.join(returns.select("date", "stock_code", finite(F.col(return_col)).alias("_r")), ["date", "stock_code"], "left")
-    assert_empty(priced.where("_r <= -1").select("date", "stock_code", "_r"), "bucket returns must be above -1")
-    sums = priced.groupBy(*SERIES, "date").agg(F.count("*").cast("int").alias("selected_count"), F.count("_r").cast("int").alias("valid_return_count"), F.avg("_r").alias("_mean"))
-    whole = bucket_frame(ranked, bucket_count, buckets).join(sums, [*SERIES, "date"], "left")
+    keys = ["date", "stock_code"]
+    prices = unique(returns.select(*keys, finite(F.col(return_col)).alias("_r")), keys, "returns")
+    priced = _bucketed(ranked, bucket_count, buckets).drop("_r").join(prices, keys, "left")
+    priced = passing(priced, F.col("bucket_index").isNull() | F.col("_r").isNull() | (F.col("_r") > -1), "bucket returns must be above -1", keys)
+    # rows outside of fixed buckets (null index) are counted too, so each day is here without ranking twice
+    sums = priced.groupBy(*DAY, "bucket_index").agg(
+        F.first("eligible_count").cast("int").alias("eligible_count"), F.count("*").cast("int").alias("selected_count"), F.count("_r").cast("int").alias("valid_return_count"), F.avg("_r").alias("_mean")
+    )
+    held = F.when(F.col("bucket_index").isNotNull(), F.struct("bucket_index", F.struct("selected_count", "valid_return_count", "_mean")))
+    days = sums.groupBy(*DAY).agg(F.first("eligible_count").alias("eligible_count"), F.map_from_entries(F.collect_list(held)).alias("_sums"))  # an entry per bucket
+    whole = _bucket_days(days, bucket_count, buckets).withColumn("_sum", F.try_element_at("_sums", F.col("bucket_index"))).select("*", "_sum.*")
     selected, valid = F.coalesce("selected_count", F.lit(0)), F.coalesce("valid_return_count", F.lit(0))
     return whole.select(
         *SERIES,
@@ -123,20 +135,25 @@ def net_asset_value(daily: DataFrame, series: Sequence[str] = SERIES) -> DataFra
     return df.withColumn("drawdown", F.col("gross_nav") / F.greatest(F.lit(1.0), F.max("gross_nav").over(w)) - 1)
 
 
-def underwater_runs(nav: DataFrame, series: Sequence[str] = SERIES, tolerance: float = 0.0) -> DataFrame:
-    """Longest run of days below the running high (at least 1) of each series."""
+def _with_runs(nav: DataFrame, series: Sequence[str], tolerance: float) -> DataFrame:
+    """Adds ``_below``: days that the run of days below the running high has in all, on its rows."""
     w = Window.partitionBy(*series).orderBy("date")
     high = F.greatest(F.lit(1.0), F.max("gross_nav").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     df = nav.withColumn("_at_high", F.col("gross_nav") >= high - tolerance)
     df = df.withColumn("_island", F.sum(F.col("_at_high").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = df.groupBy(*series, "_island").agg(F.sum((~F.col("_at_high")).cast("int")).alias("n"))
-    return runs.groupBy(*series).agg(F.max("n").cast("int").alias("longest_underwater_days"))
+    return df.withColumn("_below", F.sum((~F.col("_at_high")).cast("int")).over(Window.partitionBy(*series, "_island")))
+
+
+def underwater_runs(nav: DataFrame, series: Sequence[str] = SERIES, tolerance: float = 0.0) -> DataFrame:
+    """Longest run of days below the running high (at least 1) of each series."""
+    return _with_runs(nav, series, tolerance).groupBy(*series).agg(F.max("_below").cast("int").alias("longest_underwater_days"))
 
 
-def summarize_buckets(nav: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
+def summarize_buckets(nav: DataFrame, series: Sequence[str] = SERIES, tolerance: float = 0.0) -> DataFrame:
+    """Per series: dates, returns, net asset value, risk, counts, and the longest run below the running high less ``tolerance``."""
     r, n = F.col("bucket_return"), F.count("*")
     end = F.max_by("gross_nav", "date")
-    return nav.groupBy(*series).agg(
+    return _with_runs(nav, series, tolerance).groupBy(*series).agg(
         F.min("date").alias("start_date"),
         F.max("date").alias("end_date"),
         n.cast("int").alias("day_count"),
@@ -153,18 +170,18 @@ def summarize_buckets(nav: DataFrame, series: Sequence[str] = SERIES) -> DataFra
         F.avg("valid_return_count").alias("mean_valid"),
         F.min("valid_return_count").cast("int").alias("min_valid"),
         F.sum("missing_return_count").cast("long").alias("missing_sum"),
+        F.max("_below").cast("int").alias("longest_underwater_days"),
     )
 
 
 def attach_features(ranked: DataFrame, features: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Left join of the feature panel; every ranked row needs all ``columns``."""
-    assert_unique(features, ["date", "stock_code"], "feature panel")
-    df = ranked.join(features.select("date", "stock_code", *columns), ["date", "stock_code"], "left")
+    keys = ["date", "stock_code"]
+    df = ranked.join(unique(features.select(*keys, *columns), keys, "feature panel"), keys, "left")
     full = F.lit(True)
     for c in columns:
         full = full & F.col(c).isNotNull()
-    assert_all(df, full, "ranked rows lack composition features")
-    return df
+    return passing(df, full, "ranked rows lack composition features", keys)
 
 
 def constituents(bucketed: DataFrame, buckets: Sequence[int] | None = None) -> DataFrame:
@@ -174,9 +191,8 @@ def constituents(bucketed: DataFrame, buckets: Sequence[int] | None = None) -> D
     return df.select(*SERIES, "date", "stock_code", "rank", F.row_number().over(w.orderBy("rank")).alias("rank_in_bucket"), (F.lit(1.0) / F.count("*").over(w)).alias("weight"))
 
 
-def _shares(df: DataFrame, keys: Sequence[str], category: str, out: str) -> DataFrame:
-    known = df.where(F.col(category).isNotNull())
-    counts = known.groupBy(*keys, category).agg(F.count("*").alias("_n"))
+def _shares(counts: DataFrame, keys: Sequence[str], category: str, out: str) -> DataFrame:
+    counts = counts.where(F.col(category).isNotNull())
     return counts.withColumn(out, F.col("_n") / F.sum("_n").over(Window.partitionBy(*keys))).drop("_n")
 
 
@@ -185,9 +201,11 @@ def category_composition(bucketed: DataFrame, ranked: DataFrame, category: str)
 
     ``bucketed`` and ``ranked`` carry ``category``; categories that a bucket lacks weigh 0 there.
     """
-    universe = _shares(ranked, DAY, category, "universe_weight")
-    frame = bucketed.select(*DAY, "bucket_index", "bucket_label").distinct().join(universe, list(DAY))
-    own = _shares(bucketed, [*DAY, "bucket_index"], category, "bucket_weight")
+    universe = _shares(ranked.groupBy(*DAY, category).agg(F.count("*").alias("_n")), DAY, category, "universe_weight")
+    # one aggregation (its shuffle is reused) gives the buckets that there are and their shares
+    counts = bucketed.groupBy(*DAY, "bucket_index", "bucket_label", category).agg(F.count("*").alias("_n"))
+    frame = counts.select(*DAY, "bucket_index", "bucket_label").distinct().join(universe, list(DAY))
+    own = _shares(counts.drop("bucket_label"), [*DAY, "bucket_index"], category, "bucket_weight")
     df = frame.join(own, [*DAY, "bucket_index", category], "left").withColumn("bucket_weight", F.coalesce("bucket_weight", F.lit(0.0)))
     return df.withColumn("active_weight", F.col("bucket_weight") - F.col("universe_weight"))
 
@@ -235,7 +253,7 @@ def rank_bucket_nav(
         buckets = default_rank_buckets(ranked, bucket_size)
     daily = bucket_returns(ranked, returns, bucket_count, buckets, min_names)
     nav = net_asset_value(daily)
-    out = {"daily_returns": daily, "nav": nav, "summary": summarize_buckets(nav).join(underwater_runs(nav), list(SERIES))}
+    out = {"daily_returns": daily, "nav": nav, "summary": summarize_buckets(nav)}
     if features is not None:
         ranked = attach_features(ranked, features, ["industry", *SIZE_METRICS])
         chosen = assign_buckets(ranked, bucket_count, buckets)

@@ -10,9 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.checks import assert_empty, assert_index_flags, assert_matched, assert_one_hot, assert_unique, check_signal_name, check_winsor, require_columns
+from ..functions.checks import assert_empty, check_signal_name, check_winsor, matched, one_hot_rows, passing, require_columns, unique, valid_index_flags
 from ..functions.keys import INDEX_FLAGS, UNKNOWN_BOARD, UNKNOWN_INDUSTRY, category, finite, index_bucket, parsed_date, stock_code
-from .xsection import add_rank_and_z, add_robust_z, centered_rank, decile
+from .xsection import Feature, add_ranks_and_zs, add_robust_z, centered_rank, decile
 
 KEYS = ("date", "stock_code")
 LIQUIDITY = {"amount_k": "log1p_nonnegative", "turnover": "log1p_nonnegative", "logADV20": "identity", "logAmount20": "identity", "turnover20": "log1p_nonnegative"}
@@ -48,18 +48,29 @@ def date_like_ratio(values: Sequence[str]) -> float:
     return sum(map(looks_like_date, values)) / len(values) if values else 0.0
 
 
-def signal_to_long(wide: DataFrame, value: str, sample: int = 50) -> DataFrame:
-    """A signal matrix in either orientation to (date, stock_code, value); the more date-like axis, if at least half is, holds dates."""
+def date_like(label: Column) -> Column:
+    """``looks_like_date`` of a column: yyyy-MM-dd, yyyyMMdd or yyyy-MM (or with slashes) of the years 1990 to 2100."""
+    digits = F.regexp_replace(F.split(F.trim(label.cast("string")), " ")[0], "/", "-")
+    day = F.coalesce(
+        *[F.when(digits.rlike(f"^{shape}$"), F.try_to_timestamp(digits, F.lit(form))) for shape, form in (("[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", "yyyy-M-d"), ("[0-9]{8}", "yyyyMMdd"), ("[0-9]{4}-[0-9]{1,2}", "yyyy-M"))]
+    )
+    return F.coalesce(F.year(day).between(1990, 2100), F.lit(False))
+
+
+def signal_to_long(wide: DataFrame, value: str) -> DataFrame:
+    """A signal matrix in either orientation to (date, stock_code, value); the more date-like axis, if at least half is, holds dates.
+
+    All row labels count, which takes a pass over that column.
+    """
     key, *codes = wide.columns
-    rows = date_like_ratio([str(r[0]) for r in wide.select(key).limit(sample).collect()])
+    rows = wide.agg(F.avg(date_like(F.col(f"`{key}`")).cast("int"))).first()[0] or 0.0
     columns = date_like_ratio(codes)
     if max(rows, columns) < 0.5 or rows == columns:
         raise ValueError("can't tell which axis of the matrix holds dates")
     other, at = ("stock_code", "date") if rows > columns else ("date", "stock_code")
     df = wide_to_long(wide, key, value, other).withColumnRenamed(key, at)
     out = df.select(parsed_date(F.col("date")).alias("date"), stock_code(F.col("stock_code")).alias("stock_code"), value)
-    assert_unique(out, KEYS, f"signal {value}")
-    return out
+    return unique(out, KEYS, f"signal {value}")
 
 
 # ---- context and signals
@@ -71,8 +82,7 @@ def prepare_context(df: DataFrame, numeric: Sequence[str] = ("market_cap",), fla
     out = out.where(F.col("date").isNotNull() & (F.col("stock_code") != ""))
     out = out.withColumn("industry", F.coalesce(category(F.col("industry")), F.lit(UNKNOWN_INDUSTRY))).withColumn("board", F.coalesce(category(F.col("board")), F.lit(UNKNOWN_BOARD)))
     out = out.withColumns({c: finite(F.col(c)) for c in (*numeric, *flags)})
-    assert_unique(out, KEYS, "context")
-    return out
+    return unique(out, KEYS, "context")
 
 
 def context_valid(flags: Sequence[str] = tuple(INDEX_FLAGS)) -> Column:
@@ -85,10 +95,11 @@ def attach_signals(context: DataFrame, signals: Mapping[str, DataFrame]) -> Data
     for name in signals:
         check_signal_name(name)
     stacked = reduce(DataFrame.unionByName, [s.select(*KEYS, F.lit(n).alias("_n"), finite(F.col("value")).alias("_v")) for n, s in signals.items()])
-    assert_unique(stacked, [*KEYS, "_n"], "signals")
-    wide = stacked.groupBy(*KEYS).pivot("_n", list(signals)).agg(F.first("_v"))
-    wide = wide.select(*KEYS, *[F.col(n).alias(f"{n}_raw") for n in signals])
-    return context.join(wide, list(KEYS), "left")
+    # the counts of rows ride on the aggregation that pivots, so the check costs nothing more
+    own = lambda n: F.col("_n") == n
+    wide = stacked.groupBy(*KEYS).agg(*[F.first(F.when(own(n), F.col("_v")), True).alias(f"{n}_raw") for n in signals], F.greatest(*[F.count_if(own(n)) for n in signals], F.lit(0)).alias("_times"))
+    wide = passing(wide, F.col("_times") <= 1, f"signals repeats keys {list(KEYS)}", KEYS)
+    return context.join(wide.drop("_times"), list(KEYS), "left")
 
 
 def signal_diagnostics(frame: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -118,11 +129,11 @@ def add_features(
     df = add_robust_z(df, "log_mcap", "log_mcap_z", **args).drop("_cap")
     if all(c in df.columns for c in INDEX_FLAGS):
         df = df.withColumn("index_bucket", index_bucket(unknown_index))
-    for c in liquidity:
-        df = add_rank_and_z(df, c, c, LIQUIDITY[c], rank_transformed=True, **args)
-    for name, transform in signals.items():
-        df = add_rank_and_z(df, f"{name}_raw", name, transform, **args)
-    return df
+    return add_ranks_and_zs(df, model_inputs(signals, liquidity), **args)
+
+
+def model_inputs(signals: Mapping[str, str], liquidity: Sequence[str] = ()) -> list[Feature]:
+    return [*[Feature(c, c, LIQUIDITY[c], True) for c in liquidity], *[Feature(f"{n}_raw", n, t) for n, t in signals.items()]]
 
 
 def eligible(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -130,11 +141,15 @@ def eligible(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
     return frame.where(reduce(lambda a, c: a & F.col(c).isNotNull(), columns, F.col("size_decile") >= 0))
 
 
+def inputs_present(features: Sequence[Feature]) -> Column:
+    """Rows that will have all ranks and z-scores, told by their inputs, so that counting them needs no cross-section."""
+    return reduce(lambda a, f: a & f.inside().isNotNull() & F.col(f.source).isNotNull(), features, F.coalesce(F.col("market_cap") > 0, F.lit(False)))
+
+
 def labels(matrix_long: DataFrame, target: str, rank: str) -> DataFrame:
     """Finite labels with their centered rank per date."""
     df = matrix_long.select(*KEYS, finite(F.col("value")).alias(target)).where(F.col(target).isNotNull())
-    assert_unique(df, KEYS, "labels")
-    return df.withColumn(rank, centered_rank(target))
+    return unique(df.withColumn(rank, centered_rank(target)), KEYS, "labels")  # dealt by date already
 
 
 def sample_weights(panel: DataFrame, universe: DataFrame | None = None) -> DataFrame:
@@ -145,14 +160,18 @@ def sample_weights(panel: DataFrame, universe: DataFrame | None = None) -> DataF
     if universe is None:
         n, d = F.count("*").over(Window.partitionBy("date")), panel.agg(F.count("*").alias("_total"), F.countDistinct("date").alias("_dates"))
         return panel.crossJoin(F.broadcast(d)).withColumn("sample_weight", F.col("_total") / (F.col("_dates") * n)).drop("_total", "_dates")  # one row
-    dates = panel.select("date").distinct()
-    assert_matched(dates, universe, ["date"], "panel dates without a feature universe")
-    counts = universe.join(dates, "date", "left_semi").groupBy("date").agg(F.count("*").alias("_n"))
+    counts = matched(panel.select("date").distinct(), universe.groupBy("date").agg(F.count("*").alias("_n")), ["date"], "panel dates without a feature universe")
     total = counts.agg(F.sum("_n").alias("_total"), F.count("*").alias("_dates"))
-    per_date = counts.crossJoin(F.broadcast(total)).select("date", (F.col("_total") / (F.col("_dates") * F.col("_n"))).alias("sample_weight"))
+    per_date = counts.crossJoin(F.broadcast(total)).select("date", (F.col("_total") / (F.col("_dates") * F.col("_n"))).alias("sample_weight"))  # one row
     return panel.join(per_date, "date")
 
 
+def _counted_weights(panel: DataFrame, n: str) -> DataFrame:
+    """``sample_weights`` where column ``n`` holds the universe's rows of the date; the column goes."""
+    total = panel.groupBy("date").agg(F.first(n).alias("_k")).agg(F.sum("_k").alias("_total"), F.count("*").alias("_dates"))
+    return panel.crossJoin(F.broadcast(total)).withColumn("sample_weight", F.col("_total") / (F.col("_dates") * F.col(n))).drop("_total", "_dates", n)  # one row
+
+
 def build_panel(
     context: DataFrame,
     label: DataFrame,
@@ -173,12 +192,10 @@ def build_panel(
     base = attach_signals(prepare_context(context, ("market_cap", *liquidity)), signals).where(context_valid())
     if not universe_first:
         base = base.join(label, list(KEYS))
-    features = add_features(base, transforms, liquidity, *winsor, z_clip)
-    needed = ["mcap_rank", "log_mcap_z", *[f"{n}_{k}" for n in (*transforms, *liquidity) for k in ("rank", "z")]]
-    features = eligible(features, needed)
+    features = add_features(base, transforms, liquidity, *winsor, z_clip).where(inputs_present(model_inputs(transforms, liquidity)))
     if universe_first:
-        panel = features.join(labels(label, target, target_rank), list(KEYS))
-        return sample_weights(panel, features)
+        features = features.withColumn("_universe", F.count("*").over(Window.partitionBy("date")))
+        return _counted_weights(features.join(labels(label, target, target_rank), list(KEYS)), "_universe")
     panel = features.withColumn(target, finite(F.col("value"))).where(F.col(target).isNotNull()).withColumn(target_rank, centered_rank(target)).drop("value")
     return sample_weights(panel)
 
@@ -243,8 +260,7 @@ def embargo_dates(dates: DataFrame, folds: Sequence[Fold], embargo: int) -> Data
 
 def fold_assignments(dates: DataFrame, folds: Sequence[Fold], embargo: int = 0) -> DataFrame:
     """(fold_id, split, date) without embargoed dates; a date may be in one split of a fold only."""
-    df = _in_folds(dates, folds)
-    assert_unique(df, ["fold_id", "date"], "fold assignments")
+    df = unique(_in_folds(dates, folds), ["fold_id", "date"], "fold assignments")
     return df.join(embargo_dates(dates, folds, embargo), ["fold_id", "split", "date"], "left_anti") if embargo else df
 
 
@@ -278,23 +294,20 @@ def one_hot(frame: DataFrame, column: str, prefix: str, missing: str, levels: Se
         levels = [r[0] for r in frame.select(value.alias("v")).distinct().orderBy("v").collect()]  # one row per category
     names = [f"{prefix}__{x}" for x in levels]
     out = frame.select(*KEYS, *[(value == x).cast("tinyint").alias(n) for x, n in zip(levels, names, strict=True)])
-    assert_one_hot(out, names, column)
-    return out
+    return one_hot_rows(out, names, column, KEYS)
 
 
 def index_one_hot(frame: DataFrame, unknown: Sequence[str] = ()) -> DataFrame:
     """One-hot index membership with UNKNOWN_INDEX (any ``unknown`` column set) and NON_INDEX."""
-    assert_index_flags(frame, list(INDEX_FLAGS))
+    frame = valid_index_flags(frame, list(INDEX_FLAGS), KEYS)
     lost = reduce(lambda a, c: a | F.col(c).cast("boolean"), unknown, F.lit(False))
     member = {n: F.col(c).cast("int") == 1 for c, n in INDEX_FLAGS.items()}
     none = reduce(lambda a, b: a & ~b, member.values(), F.lit(True))
     columns = {f"index__{n}": c & ~lost for n, c in member.items()} | {"index__NON_INDEX": none & ~lost, "index__UNKNOWN_INDEX": lost}
     out = frame.select(*KEYS, *[c.cast("tinyint").alias(n) for n, c in columns.items()])
-    assert_one_hot(out, list(columns), "index membership")
-    return out
+    return one_hot_rows(out, list(columns), "index membership", KEYS)
 
 
 def restrict_to_universe(context: DataFrame, universe: DataFrame) -> DataFrame:
-    assert_unique(universe, KEYS, "universe")
-    assert_matched(universe, context, KEYS, "universe rows without context")
-    return context.join(universe.select(*KEYS), list(KEYS), "left_semi")
+    """The context rows of the universe; repeated universe rows, or ones without context, stop the query."""
+    return matched(unique(universe.select(*KEYS), KEYS, "universe"), context, KEYS, "universe rows without context").select(*context.columns)

@@ -9,10 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.checks import assert_matched, assert_unique, check_periods
+from ..functions.checks import check_periods, matched, unique
 from ..functions.keys import finite
 from ..functions.stats import correlation
-from .nav import net_asset_value, rank_scores, summarize_buckets, summarize_composition, underwater_runs
+from .nav import net_asset_value, rank_scores, summarize_buckets, summarize_composition
 from .xsection import average_rank
 
 PERIOD_SERIES = ("period", "bucket_index", "bucket_label")
@@ -49,15 +49,13 @@ def in_periods(df: DataFrame, periods: Sequence[Period], splits: Sequence[str] |
 
 def period_nav(daily_returns: DataFrame, periods: Sequence[Period], splits: Sequence[str] | None = ("test",)) -> DataFrame:
     """Net asset value of each bucket from the start of each period; folds are ignored, so dates must not repeat."""
-    df = in_periods(daily_returns, periods, splits)
-    assert_unique(df, ["period", "bucket_index", "date"], "period returns (without folds)")
-    return net_asset_value(df, PERIOD_SERIES)
+    nav = net_asset_value(in_periods(daily_returns, periods, splits), PERIOD_SERIES)
+    return unique(nav, ["period", "bucket_index", "date"], "period returns (without folds)")
 
 
 def period_summary(daily_returns: DataFrame, periods: Sequence[Period], splits: Sequence[str] | None = ("test",)) -> DataFrame:
-    nav = period_nav(daily_returns, periods, splits)
-    empty = nav.groupBy(*PERIOD_SERIES).agg(F.count_if(F.col("nav_stale_flag")).cast("int").alias("empty_day_count"))
-    return summarize_buckets(nav, PERIOD_SERIES).join(underwater_runs(nav, PERIOD_SERIES), list(PERIOD_SERIES)).join(empty, list(PERIOD_SERIES))
+    summary = summarize_buckets(period_nav(daily_returns, periods, splits), PERIOD_SERIES)
+    return summary.withColumn("empty_day_count", F.col("day_count") - F.col("valid_day_count"))
 
 
 def requested_metrics(summary: DataFrame) -> DataFrame:
@@ -76,7 +74,7 @@ def requested_metrics(summary: DataFrame) -> DataFrame:
 
 def period_industry_composition(industry_daily: DataFrame, periods: Sequence[Period], splits: Sequence[str] | None = ("test",)) -> DataFrame:
     df = in_periods(industry_daily, periods, splits)
-    assert_unique(df, ["period", "bucket_index", "industry", "date"], "period industry rows (without folds)")
+    df = unique(df, ["period", "bucket_index", "industry", "date"], "period industry rows (without folds)")
     return summarize_composition(df, "industry", keys=PERIOD_SERIES)
 
 
@@ -92,11 +90,10 @@ def top_industry_preferences(summary: DataFrame, buckets: Sequence[int] = (1,),
 def daily_alignment(reference: DataFrame, candidate: DataFrame, reference_col: str, candidate_col: str, bucket_count: int = 31, splits: Sequence[str] | None = ("test",)) -> DataFrame:
     """Per fold, split and date: Spearman correlation of candidate and reference, and how many of the top names (a bucket's size) they share."""
     keys = ["date", "stock_code"]
-    assert_unique(reference, keys, "reference")
-    df = rank_scores(candidate, candidate_col, splits).drop("rank", "eligible_count")
-    assert_matched(df, reference, keys, "candidate rows without a reference")
+    known = unique(reference.select(*keys, finite(F.col(reference_col)).alias("r")), keys, "reference")
     day = ["fold_id", "split", "date"]
-    df = df.select(*day, "stock_code", F.col(candidate_col).alias("c")).join(reference.select(*keys, finite(F.col(reference_col)).alias("r")), keys, "left").where("r is not null")
+    df = rank_scores(candidate, candidate_col, splits).select(*day, "stock_code", F.col(candidate_col).alias("c"))
+    df = matched(df, known, keys, "candidate rows without a reference").where("r is not null")
     w = Window.partitionBy(*day)
     k = F.ceil(F.count("*").over(w) / bucket_count)
     df = df.withColumn("_top_c", F.row_number().over(w.orderBy(F.desc("c"), "stock_code")) <= k).withColumn("_top_r", F.row_number().over(w.orderBy(F.desc("r"), "stock_code")) <= k)
@@ -125,8 +122,7 @@ def stitch(predictions: DataFrame, segments: Sequence[Segment], score: str, fold
     for s in segments:
         hit = hit | ((F.col("fold_id") == s.fold_id) & (F.col("split") == s.split) & F.col("date").between(F.lit(s.start), F.lit(s.end)))
     out = predictions.where(hit).select(F.lit(fold_id).alias("fold_id"), F.lit(split).alias("split"), "date", "stock_code", F.col(score), F.col("fold_id").alias("source_fold_id"), F.col("split").alias("source_split"))
-    assert_unique(out, ["date", "stock_code"], "stitched predictions")
-    return out
+    return unique(out, ["date", "stock_code"], "stitched predictions")
 
 
 def source_segments(ranges: dict[int, dict[str, tuple[dt.date, dt.date]]]) -> list[Segment]:
@@ -140,12 +136,11 @@ def compare_signals(panel: DataFrame, template: DataFrame, returns: DataFrame, s
     from .nav import DAY, assign_buckets
 
     keys = ["date", "stock_code"]
-    assert_matched(template, panel, keys, "template rows without panel rows")
     missing = sorted(set(signals.values()) - set(panel.columns))
     if missing:
         raise ValueError(f"signal columns are missing: {missing}")
     cols = [finite(F.col(c)).alias(i) for i, c in signals.items()]
-    df = template.select(*DAY, "stock_code").where(F.col("split").isin(*splits)).join(panel.select(*keys, *cols), keys)
+    df = matched(template.select(*DAY, "stock_code"), panel.select(*keys, *cols), keys, "template rows without panel rows").where(F.col("split").isin(*splits))
     long = df.unpivot([*DAY, "stock_code"], list(signals), "signal_id", "score").where("score is not null")
     # a fold of its own for each signal lets one plan rank them all
     keyed = long.withColumn("fold_id", F.concat_ws("|", "signal_id", F.col("fold_id").cast("string")))
@@ -155,7 +150,5 @@ def compare_signals(panel: DataFrame, template: DataFrame, returns: DataFrame, s
     daily = priced.groupBy(*DAY, "signal_id", "bucket_index", "bucket_label").agg(F.count("*").alias("selected_count"), F.count("_r").alias("valid_return_count"), F.avg("_r").alias("_m"))
     daily = daily.withColumn("bucket_return", F.when(F.col("valid_return_count") >= min_names, F.col("_m"))).withColumn("missing_return_count", F.col("selected_count") - F.col("valid_return_count"))
     series = ("signal_id", *PERIOD_SERIES)
-    within = in_periods(daily, periods, splits)
-    assert_unique(within, [*series, "date"], "period returns (without folds)")
-    nav = net_asset_value(within, series)
-    return summarize_buckets(nav, series).join(underwater_runs(nav, series), list(series))
+    nav = unique(net_asset_value(in_periods(daily, periods, splits), series), [*series, "date"], "period returns (without folds)")
+    return summarize_buckets(nav, series)

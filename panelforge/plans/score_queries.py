@@ -421,7 +421,7 @@ def neutralize_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def neutralization_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, r, _ = _market(spark, sf_dir)
-    return neutralize.neutralization_diagnostics(neutralize.neutralize(r, p, neutralize.EXACT))
+    return neutralize.neutralize_tables(r, p, neutralize.EXACT)["diagnostics"]
 
 
 @query()

@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from panelforge.functions import checks, keys
@@ -149,11 +150,11 @@ def test_composition_and_constituents(spark):
     assert (bank.mean_bucket, bank.mean_universe, bank.mean_active, bank.positive_rate) == (0.75, 0.5, 0.25, 0.5)
     assert out["size_summary"].where("metric = 'mcap_rank' and bucket_index = 1").first().mean_active == 0.25
     assert {(x.stock_code, x.weight) for x in out["constituents"].where("bucket_index = 1").collect()} == {("000001", 0.5), ("000002", 0.5)}
-    with pytest.raises(ValueError, match="lack composition"):
-        nav.rank_bucket_nav(p, r, "s", features=features.where(F.col("stock_code") != "000001"), bucket_count=2)
-    with pytest.raises(ValueError, match="repeats keys"):
-        nav.rank_bucket_nav(p.union(p), r, "s", bucket_count=2)
-    with pytest.raises(ValueError, match="above -1"):
+    with pytest.raises(PySparkException, match="lack composition"):
+        nav.rank_bucket_nav(p, r, "s", features=features.where(F.col("stock_code") != "000001"), bucket_count=2)["industry_daily"].collect()
+    with pytest.raises(PySparkException, match="repeats keys"):
+        nav.rank_bucket_nav(p.union(p), r, "s", bucket_count=2)["nav"].collect()
+    with pytest.raises(PySparkException, match="above -1"):
         nav.rank_bucket_nav(p, prices(spark, [[-1.0] * 4] * 2), "s", bucket_count=2)["nav"].collect()
 
 
@@ -168,8 +169,8 @@ def test_periods_restart(spark):
     assert out["p1", 1].longest_underwater_days == 1
     assert (out["p2", 1].final_nav, out["p2", 1].longest_underwater_days) == (pytest.approx(1.1025), 0)
     assert (out["p2", 2].final_nav, out["p2", 2].valid_day_count, out["p2", 2].empty_day_count) == (pytest.approx(1.02), 1, 1)
-    with pytest.raises(ValueError, match="repeats keys"):
-        periods.period_summary(daily.union(daily.withColumn("fold_id", F.lit(2))), spans)
+    with pytest.raises(PySparkException, match="repeats keys"):
+        periods.period_summary(daily.union(daily.withColumn("fold_id", F.lit(2))), spans).collect()
     with pytest.raises(ValueError, match="overlap"):
         checks.check_periods([spans[0], periods.Period("x", days[1], days[2])])
 
@@ -187,8 +188,8 @@ def test_stitching(spark):
     segments = periods.source_segments({1: {"train": (D[0], D[0]), "valid": (D[1], D[1]), "test": (D[2], D[2])}, 2: {"train": (D[0], D[1]), "test": (D[3], D[3])}})
     out = periods.stitch(p, segments, "s").orderBy("date").collect()
     assert [(r.date, r.source_fold_id) for r in out] == [(D[0], 1), (D[1], 1), (D[2], 1), (D[3], 2)]
-    with pytest.raises(ValueError, match="repeats keys"):
-        periods.stitch(p.union(p), segments, "s")
+    with pytest.raises(PySparkException, match="repeats keys"):
+        periods.stitch(p.union(p), segments, "s").collect()
     with pytest.raises(ValueError, match="overlap"):
         periods.stitch(p, [*segments, periods.Segment(2, "train", D[0], D[1])], "s")
 
@@ -217,16 +218,21 @@ def test_feature_gain_shares(spark):
     summary = evaluate.summarize_feature_gain(shares, roles)
     assert summary.where("feature = 'a'").first().mean_gain_share == 0.375
     assert {r.role: r.top_feature for r in evaluate.summarize_roles(summary).collect()} == {"signal": "a", "context": "b"}
-    with pytest.raises(ValueError, match="repeats keys"):
-        evaluate.summarize_feature_gain(shares, roles.union(roles))
+    with pytest.raises(PySparkException, match="repeats keys"):
+        evaluate.summarize_feature_gain(shares, roles.union(roles)).collect()
 
 
 def test_inconsistent_copies_are_rejected(spark):
     p = predictions(spark, [[1.0] * 4] * 2).withColumn("y", F.lit(1.0))
     good = p.select("date", "stock_code", F.lit(1.0).alias("y"), F.lit("i").alias("industry"))
     assert evaluate.evaluation_frame(p, good, ["industry"], ["y"]).count() == 8
-    with pytest.raises(ValueError, match="differ"):
-        evaluate.evaluation_frame(p, good.withColumn("y", F.lit(1.1)), ["industry"], ["y"])
+    with pytest.raises(PySparkException, match="differ"):
+        evaluate.evaluation_frame(p, good.withColumn("y", F.lit(1.1)), ["industry"], ["y"]).collect()
+    with pytest.raises(PySparkException, match="without panel rows"):
+        evaluate.evaluation_frame(p, good.limit(0), ["industry"]).collect()
+    for twice in ((p.union(p), good), (p, good.union(good))):
+        with pytest.raises(PySparkException, match="repeats keys"):
+            evaluate.evaluation_frame(*twice, ["industry"]).collect()
 
 
 # ---- panels and folds
@@ -247,8 +253,10 @@ def test_universe_before_labels(spark):
     assert out.agg(F.sum("sample_weight")).first()[0] == pytest.approx(7.0, abs=0.01)
     after = panel.build_panel(context(spark), label, {"alpha": signal}, {"alpha": "identity"}, universe_first=False)
     assert {round(r[0], 9) for r in after.groupBy("date").agg(F.sum("sample_weight")).select(F.col("sum(sample_weight)")).collect()} == {3.5}
-    with pytest.raises(ValueError, match="repeats keys"):
-        panel.build_panel(context(spark).union(context(spark)), label, {"alpha": signal}, {"alpha": "identity"})
+    with pytest.raises(PySparkException, match="repeats keys"):
+        panel.build_panel(context(spark).union(context(spark)), label, {"alpha": signal}, {"alpha": "identity"}).collect()
+    with pytest.raises(PySparkException, match="signals repeats keys"):
+        panel.build_panel(context(spark), label, {"alpha": signal.union(signal)}, {"alpha": "identity"}).collect()
 
 
 def test_folds_and_embargo(spark):
@@ -258,8 +266,8 @@ def test_folds_and_embargo(spark):
     assert {s for s, d in whole if d == D[3]} == {"train"} and len(whole) == 8
     short = {(r.split, r.date) for r in panel.fold_assignments(dates, [fold], 2).collect()}
     assert whole - short == {("train", D[2]), ("train", D[3]), ("valid", D[4]), ("valid", D[5])}
-    with pytest.raises(ValueError, match="repeats keys"):
-        panel.fold_assignments(dates, [panel.Fold(1, (D[0], D[4]), (D[4], D[5]), (D[6], D[7]))])
+    with pytest.raises(PySparkException, match="repeats keys"):
+        panel.fold_assignments(dates, [panel.Fold(1, (D[0], D[4]), (D[4], D[5]), (D[6], D[7]))]).collect()
     with pytest.raises(ValueError, match="before test"):
         panel.assert_fold_order(panel.fold_assignments(dates, [panel.Fold(1, (D[4], D[5]), (D[0], D[1]), (D[6], D[7]))]))
 
@@ -271,8 +279,8 @@ def test_one_hots_and_constituents(spark):
     hot = panel.index_one_hot(c.withColumn("u", F.col("stock_code") == "600003"), ["u"]).where(F.col("date") == D[0]).orderBy("stock_code").collect()
     assert [r.index__UNKNOWN_INDEX for r in hot] == [0, 0, 1, 0] and hot[0].index__CSI300 == 1
     assert panel.index_constituents(c).count() == 6
-    with pytest.raises(ValueError, match="overlap"):
-        panel.index_one_hot(c.withColumn("is_csi500", F.lit(1)))
+    with pytest.raises(PySparkException, match="overlap"):
+        panel.index_one_hot(c.withColumn("is_csi500", F.lit(1))).collect()
 
 
 def test_signal_orientation(spark):
@@ -352,8 +360,8 @@ def test_daily_dataset_needs_matches(spark):
     for k in ("industry", "membership"):
         args = {"industry": industry, "board": board, "membership": flags}
         args[k] = args[k].limit(0)
-        with pytest.raises(ValueError, match=f"without {k}"):
-            membership.daily_dataset(daily, *args.values())
+        with pytest.raises(PySparkException, match=f"without {k}"):
+            membership.daily_dataset(daily, *args.values()).collect()
         assert membership.daily_dataset(daily, *args.values(), required={k: False}).count() == 1
 
 
@@ -389,6 +397,41 @@ def test_neutralisation_skips_and_winsorises(spark):
     assert reasons(values, e.where(F.col("date") == D[0])) == {"missing_exposure_date", None}
     assert reasons(values, e, least_rows=100) == {"too_few_valid_observations"}
     assert reasons(values.where(F.col("stock_code") < "000005"), e, least_rows=1) == {"too_few_observations_for_design"}
+    # a date needs more rows than columns and buffer: 40 rows, and the design's columns
+    columns = neutralize.neutralize(values, e).first().n_columns
+    assert reasons(values, e, column_buffer=39 - columns) == {None}
+    assert reasons(values, e, column_buffer=40 - columns) == {"too_few_observations_for_design"}
+    for bad in ({"ridge": -1.0}, {"least_rows": 0}, {"column_buffer": -1}, {"winsor": (0.5, 0.5)}, {"winsor": (None, 0.0)}, {"eps": 0.0}):
+        with pytest.raises(ValueError, match="must"):
+            neutralize.NeutralizeConfig(**bad)
+    with pytest.raises(PySparkException, match="repeats keys"):
+        neutralize.neutralize(values.union(values), e).collect()
+
+
+def test_neutralisation_diagnostics(spark):
+    e = exposures(spark)
+    values = e.select("date", "stock_code", F.when(F.col("stock_code") != "000003", F.col("value")).alias("value"))
+    exact = {r.date: r for r in neutralize.neutralize_tables(values, e, neutralize.EXACT)["diagnostics"].collect()}
+    assert set(exact) == {r.date for r in e.select("date").distinct().collect()}
+    for r in exact.values():
+        assert (r.n_total, r.n_valid_return, r.n_valid_exposure, r.n_used, r.missing_exposure_count) == (40, 39, 40, 39, 0)
+        assert not r.skipped and r.skipped_reason is None and r.method == "lstsq" and r.neutralization_type == "exact_neutralization"
+        assert "size_rank_norm" in r.continuous_columns_used.split(",")
+        assert max(abs(r.residual_weighted_mean), r.max_abs_industry_mean_after, r.max_abs_board_mean_after, r.max_abs_continuous_exposure_after) < 1e-10
+        assert 0 <= r.r2 <= 1 and r.residual_weighted_std > 0
+    ridge = neutralize.neutralize_tables(values, e, neutralize.NeutralizeConfig(ridge=10.0))["diagnostics"].collect()
+    assert all(r.method == "solve" and r.max_abs_industry_mean_after > 1e-3 for r in ridge)
+    none = neutralize.neutralize_tables(values.withColumn("value", F.lit(None).cast("double")), e)["diagnostics"].first()
+    assert (none.skipped_reason, none.n_valid_return, none.n_valid_exposure) == ("too_few_valid_observations", 0, 40)
+    one = neutralize.neutralization_summary(neutralize.neutralize_tables(values, e, neutralize.NeutralizeConfig(start=D[1]))["diagnostics"]).first()
+    assert (one.date_count, one.processed_date_count, one.skipped_date_count) == (len(exact), len(exact) - 1, 1)
+    marked = neutralize.signal_neutralization_diagnostics({"s": values}, e, ["s"])
+    kinds = {r.input_kind: r for r in neutralize.kind_summary(marked).collect()}
+    assert set(kinds) == {"value", "rank"} and all(r.max_abs_board_mean_after < 1e-10 for r in kinds.values())
+    with pytest.raises(ValueError, match="missing"):
+        neutralize.signal_neutralization_diagnostics({"s": values}, e, ["t"])
+    x, w = np.array([1.0, 2.0, 4.0]), np.array([0.5, 0.25, 0.25])
+    assert neutralize.weighted_std(x) == pytest.approx(x.std()) and neutralize.weighted_std(x, w) == pytest.approx(1.5**0.5) and neutralize.weighted_std(x * 0, w) == 0.0
 
 
 def test_risk_r2_matches_numpy(spark):
@@ -443,6 +486,33 @@ def test_models_see_no_test_rows(spark):
         model.monotone_signals(c, ["sig"], ["sig"])
 
 
+def test_constraints_reach_the_factory_and_models_are_kept(spark, tmp_path):
+    rows = [(d, c, float(k), "ab"[k % 2], 0.1 * k, 1.0) for d in D for k, c in enumerate(CODES)]
+    p = spark.createDataFrame(rows, "date date, stock_code string, a_neutralized_z double, industry string, y_fwd double, sample_weight double")
+    folds = panel.fold_assignments(p.select("date"), [panel.Fold(1, (D[0], D[3]), (D[4], D[5]), (D[6], D[7]))])
+    roles = {"signal_features": ["a_neutralized_z"], "categorical_context": ["industry"], "continuous_context": [], "targets": ["y_fwd"], "keys": ["date", "stock_code"], "weights": ["sample_weight"]}
+    plain = model.contract(roles, "y_fwd")
+    bound = model.contract(roles, "y_fwd", model.neutralized_signals(plain))
+    seen = []
+    model.train_folds(p, folds, bound, "y_fwd", lambda **k: seen.append(k) or Recorder(**k), {"depth": 3})
+    assert seen == [{"depth": 3, "monotone": {"a_neutralized_z": 1}}]
+    with pytest.raises(ValueError, match="can't enforce"):
+        model.train_folds(p, folds, bound, "y_fwd")
+    told = model.constraint_summary(bound)
+    assert told["enabled"] and told["constrained_features"] == ["a_neutralized_z"] and told["constraints_by_feature"] == {"a_neutralized_z": 1, "industry": 0}
+    out = model.train_folds(p, folds, plain, "y_fwd", params={"maxIter": 2, "maxDepth": 2})
+    gains = {r.feature: r for r in out["importance"].collect()}
+    assert gains["a_neutralized_z"].importance_split == sum((t.numNodes - 1) // 2 for t in out["models"][1].trees)
+    model.save_models(spark, out["models"], plain, str(tmp_path / "m"))
+    models, again = model.load_models(spark, str(tmp_path / "m"))
+    assert again == plain and models[1].toDebugString == out["models"][1].toDebugString
+    before = out["predictions"].count()
+    out["release"]()
+    assert out["predictions"].count() == before
+    with pytest.raises(PySparkException, match="labels must be finite"):
+        model.train_folds(p.withColumn("y_fwd", F.lit(None).cast("double")), folds, plain, "y_fwd", Recorder)
+
+
 def test_extremes_are_classified(spark):
     days = [dt.date(2024, 1, 1) + dt.timedelta(days=k) for k in range(40)]
     calendar = spark.createDataFrame([(d,) for d in days], "date date")
