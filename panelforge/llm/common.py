@@ -6,17 +6,23 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+SALTS = 32  # parts into which the rows of a key are split
+_made: list[str] = []  # paths below the shared folder that are not deleted yet
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that setting is absent (tests on one
-    machine) is a temporary folder made and remembered in the session.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that setting is absent and Spark runs on one
+    machine (tests) is a temporary folder made and remembered in the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = spark.conf.get("panelforge.shared.dir", None)
         if not root:
             root = "file://" + tempfile.mkdtemp(prefix="panelforge-")
@@ -26,7 +32,8 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/panelforge/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_root(spark)}/panelforge/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -42,6 +49,40 @@ def forget(spark: SparkSession, paths: Iterable[str]) -> None:
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+        if p in _made:
+            _made.remove(p)
+
+
+def made() -> list[str]:
+    """What this session still has in the shared folder, oldest first: the tables behind results that operators returned."""
+    return list(_made)
+
+
+def clear(spark: SparkSession, before: Iterable[str] = ()) -> None:
+    """Delete all that ``made`` lists except ``before``: call it when the results are written or collected."""
+    keep = set(before)
+    forget(spark, [p for p in _made if p not in keep])
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many ``_`` behind it as it takes to differ from the names in ``taken`` (case ignored, as Spark does)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def with_least(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``rows`` with ``least`` (the smallest ``value`` among those of equal ``keys``) and ``times`` (how many they are).
+
+    A key may hold a third of all rows, so its rows are dealt in ``SALTS`` parts for aggregating and joining; only
+    the parts' sums meet. ``rows`` is read twice.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)))
+    parts = salted.groupBy(*keys, "_salt").agg(F.min(value).alias("_least"), F.count("*").alias("_times"))
+    whole = Window.partitionBy(*keys)
+    found = parts.select(*keys, "_salt", F.min("_least").over(whole).alias("least"), F.sum("_times").over(whole).alias("times"))
+    return salted.join(found, [*keys, "_salt"]).drop("_salt")
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -3,8 +3,8 @@ r"""Line deduplication across documents, with DataFrame functions only.
 Lines are keyed by two 64-bit hashes. The table of long lines (hashes, document, position; no text) is
 dealt by range of hash and document salt and sorted by document and position, so each task streams
 through the occurrences of a hash, largest document first, and passes on one row for each document.
-The salt splits a line that a third of all documents hold. Pre-aggregated counts of these rows tell
-which keys are frequent and which document keeps them. The result is, for each document that loses
+The salt splits a line that a third of all documents hold, here and where the occurrences meet their keeper.
+Pre-aggregated counts of these rows tell which keys are frequent and which document keeps them. The result is, for each document that loses
 lines, a bitmap of its lines in run-length form; texts are read again only to apply it.
 """
 
@@ -15,10 +15,9 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, shuffle_width, table
+from .common import SALTS, forget, free_name, shuffle_width, table
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
-SALTS = 32  # parts into which a hash's occurrences are split
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -60,14 +59,16 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     long = exploded.where(F.char_length("line") >= min_chars)
     hashed = long.select("key", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
     seen, seen_path = table(hashed, "line-hashes")
-    salted = seen.select("h1", "h2", F.col("key.id").alias("id"), "pos").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    dealt = salted.repartitionByRange(shuffle_width(spark), "h1", "salt")
+    salt = F.pmod(F.xxhash64("key.id"), F.lit(SALTS)).alias("salt")
+    dealt = seen.select("h1", "h2", F.col("key.id").alias("id"), "pos", salt).repartitionByRange(shuffle_width(spark), "h1", "salt")
     stream = Window.partitionBy("h1", "h2", "salt").orderBy(F.col("id").desc(), "pos")
     before = F.lag("id").over(stream)
     firsts = dealt.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("id")))
-    frequent = firsts.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    kept, kept_path = table(frequent.select("h1", "h2", "keeper"), "line-keepers")
-    lost = seen.join(kept, ["h1", "h2"]).where(F.col("key.id") != F.col("keeper"))
+    parts = firsts.groupBy("h1", "h2", "salt").agg(F.count("*").alias("n"), F.max("id").alias("most"))
+    whole = Window.partitionBy("h1", "h2")  # at most a row for each salt
+    totals = parts.select("h1", "h2", "salt", F.sum("n").over(whole).alias("n_docs"), F.max("most").over(whole).alias("keeper"))
+    kept, kept_path = table(totals.where(F.col("n_docs") >= min_docs).drop("n_docs"), "line-keepers")
+    lost = seen.withColumn("salt", salt).join(kept, ["h1", "h2", "salt"]).where(F.col("key.id") != F.col("keeper"))
     by_doc = lost.groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
     out, _ = table(by_doc.select("key", _runs(F.col("positions")).alias("dropped")), "line-bitmaps")
     forget(spark, [seen_path, kept_path])
@@ -78,18 +79,21 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     """``docs`` with the kept text, and ``n_lines`` and ``n_dropped`` as further columns.
 
     A text that loses nothing stays as it is, null included. The bitmaps grow with the input, so
-    they are joined by shuffling at every size.
+    they are joined by shuffling at every size. Columns of ``docs`` keep their names; where one is named
+    ``n_lines`` or ``n_dropped`` already, the new column has ``_`` behind its name.
     """
-    marked = docs.withColumn("_key", _row_key(id_col, text_col)).join(bitmaps.select(F.col("key").alias("_key"), F.col("dropped").alias("_dropped")).hint("merge"), "_key", "left")
-    lines = _lines(F.col(text_col).cast("string"))
-    lost = F.flatten(F.transform("_dropped", lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
-    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")
-    counted = marked.withColumn("_lines", lines)
-    n_dropped = F.coalesce(F.aggregate("_dropped", F.lit(0), lambda n, r: n + r["length"]), F.lit(0))
-    text = F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(kept)
+    # the columns of docs travel under numbers, so no name of theirs can clash
+    text_at = docs.columns.index(text_col)
+    own = docs.select(_row_key(id_col, text_col).alias("key"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    text = F.col(f"c{text_at}")
+    counted = own.join(bitmaps.select("key", "dropped").hint("merge"), "key", "left").withColumn("lines", _lines(text.cast("string")))
+    lost = F.flatten(F.transform("dropped", lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), lost)
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n")
+    n_dropped = F.coalesce(F.aggregate("dropped", F.lit(0), lambda n, r: n + r["length"]), F.lit(0))
+    changed = F.when(F.col("dropped").isNull(), text).otherwise(kept)
     return counted.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.size("_lines").cast("long").alias("n_lines"),
-        n_dropped.cast("long").alias("n_dropped"),
+        *[(changed if i == text_at else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)],
+        F.size("lines").cast("long").alias(free_name("n_lines", docs.columns)),
+        n_dropped.cast("long").alias(free_name("n_dropped", docs.columns)),
     )
