@@ -25,9 +25,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, small_batches, table
+from .common import forget, small_batches, table, with_least
 
 RECORDS_PER_FILE = 1000
+SMALL_RECORD = 1 << 18  # bytes of payload and url up to which a file has that many; half as many for each doubling
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ZSTD, GZIP = b"\x28\xb5\x2f\xfd", b"\x1f\x8b\x08"
@@ -190,6 +191,9 @@ def write_archives(
 ) -> None:
     """A record for every row of ``pages``, in files below ``path`` of at most ``per_file`` records.
 
+    Readers take a file whole, so files are bounded by bytes too: pages of more than ``SMALL_RECORD`` bytes are
+    written apart, by size, with fewer to a file (down to one), in a pass for each doubling that occurs.
+
     The payload is the html in UTF-8 (null: empty). Of pages with equal payloads of at least
     ``least_bytes`` bytes the smallest id is a response and the others are revisits that refer to it;
     smaller ones are all responses. Rows that repeat the smallest id are all responses. A page
@@ -197,12 +201,19 @@ def write_archives(
     """
     spark, payload = small_batches(pages.sparkSession), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    digests, digest_path = table(rows.where(F.col("page").isNotNull() & (F.length("payload") >= least_bytes)).select("page", F.sha1("payload").alias("sha1")), "warc-digests")
-    firsts = digests.groupBy("sha1").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
-    again, again_path = table(digests.join(firsts, "sha1").where("page <> first").distinct(), "warc-revisits")
-    marked = rows.withColumn("sha1", F.sha1("payload")).join(again.hint("merge"), ["page", "sha1"], "left").select("page", "url", "payload", "first")
-    made = marked.mapInArrow(_records(compress), "value binary").select(F.col("value").cast("string"))
-    made.write.option("maxRecordsPerFile", per_file).option("lineSep", "\n").text(path)
+    size = F.length("payload") + F.coalesce(F.octet_length("url"), F.lit(0))
+    doublings = F.greatest(F.ceil(F.log2(F.greatest(size, F.lit(1)) / SMALL_RECORD)), F.lit(0)).cast("int")
+    may_refer = F.col("page").isNotNull() & (F.length("payload") >= least_bytes)
+    digests, digest_path = table(rows.select(F.when(may_refer, F.col("page")).alias("page"), F.sha1("payload").alias("sha1"), doublings.alias("doublings")), "warc-digests")
+    known = digests.where("page is not null").select("page", "sha1")
+    firsts = with_least(known, ["sha1"], "page").where("page <> least")
+    again, again_path = table(firsts.select("page", "sha1", F.col("least").alias("first")).distinct(), "warc-revisits")
+    present = sorted(r[0] for r in digests.select("doublings").distinct().collect())  # a row for each doubling, 31 at most
+    for k in present or [0]:
+        of_size = rows.where(doublings == k) if len(present) > 1 else rows
+        marked = of_size.withColumn("sha1", F.sha1("payload")).join(again.hint("merge"), ["page", "sha1"], "left").select("page", "url", "payload", "first")
+        made = marked.mapInArrow(_records(compress), "value binary").select(F.col("value").cast("string"))
+        made.write.option("maxRecordsPerFile", max(1, per_file >> k)).option("lineSep", "\n").text(f"{path}/size-{k}")
     forget(spark, [digest_path, again_path])
 
 
