@@ -7,9 +7,10 @@ documents have larger odds (with the square root of their size). The sample ends
 reach the rest of the target, so its size is fixed and not a matter of chance.
 
 No source is ever sorted as a whole. The order's key is cut into equal bins, pre-aggregated sums of
-the bins show in which one the end lies, and only that bin is walked through. What the last
+the bins show in which one the end lies, that bin is cut again in the same way, and only the bin
+within it is walked through: one in ``BINS`` squared of a source's documents. What the last
 document would have overshot is filled from the documents behind it that are small enough, in
-further rounds of the same kind.
+``ROUNDS`` rounds of the same kind; less than a document's size is left of the target where any is.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, table
+from .common import forget, free_name, table
 
 BINS = 4096
 ROUNDS = 3
@@ -55,6 +56,13 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     return found.select("source", "source_size", "place", "target", copies.alias("copies"), (F.col("target") - copies * F.col("source_size")).alias("rest"))
 
 
+def repeat_rows(docs: DataFrame, **options: object) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as ``mix`` takes it, with the columns of ``docs`` and no others."""
+    times = free_name("times", docs.columns)
+    taken = mix(docs, keep=docs.columns, **options).where(F.col(times) > 0)
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(times)).drop(times)
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -73,12 +81,13 @@ def mix(
     A null source is a source of its own, the last. Rows that repeat an id share their random number,
     so those of one size are sampled together or not at all. An empty table gives an empty result;
     other columns are ignored. Reruns agree, as the random numbers are hashes of the ids.
-    Columns named in ``keep`` come along in place of the id; ``docs`` is then read once more for them at the end.
+    Columns named in ``keep`` come along in place of the id; ``docs`` is then read once more for them at the end. Where
+    one of them is named like a column of the result, the latter has ``_`` behind its name.
     """
     row = F.xxhash64(F.lit(seed), F.col(id_col))
     # 53 bits, kept off 0 and 1
     u = ((F.shiftrightunsigned(row, 11)).cast("double") + 0.5) / float(1 << 53)
-    kept = [] if keep is None else [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    kept = [] if keep is None else [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
     rows = docs.select(*kept, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), u.alias("u"))
     held, held_path = table(rows.select("id", "source", "size", "u"), "mix-sizes")
     sizes = held.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("size").alias("mean_size"))
@@ -98,15 +107,25 @@ def mix(
 
     ranked, ranked_path = table(keyed(held), "mix-order")
 
-    candidates = ranked.where(F.col("key").isNotNull()).select("place", "key", "size", F.floor(F.col("key") * BINS).alias("bin"))
+    fine = F.floor(F.col("key") * (BINS * BINS))
+    candidates = ranked.where(F.col("key").isNotNull()).select("place", "key", "size", F.floor(fine / BINS).alias("bin"), fine.alias("fine"))
+
+    def edges(sums: DataFrame, at: str, before: Column) -> DataFrame:
+        """Per source of sums (place, ``at``, gap, words): the bin in which the words pass the gap, and the words before it."""
+        upto = before + F.sum("words").over(Window.partitionBy("place").orderBy(at))
+        over = sums.withColumn("upto", upto).where(F.col("upto") > F.col("gap"))
+        return over.groupBy("place").agg(F.min_by(F.struct(F.col(at).alias("bin"), (F.col("upto") - F.col("words")).alias("before")), at).alias("edge"))
+
     state = plan.select("place", F.lit(-1.0).alias("after"), F.col("rest").alias("gap"), F.array().cast("array<struct<after:double,upto:double,gap:double>>").alias("taken"))
     paths = [held_path, totals_path, plan_path, ranked_path]
     for _ in range(ROUNDS):
         fits = candidates.join(state, "place").where((F.col("key") > F.col("after")) & (F.col("size") <= F.col("gap")))
         bins = fits.groupBy("place", "bin", "gap").agg(F.sum("size").alias("words"))
-        upto = F.sum("words").over(Window.partitionBy("place").orderBy("bin"))
-        edge = bins.withColumn("upto", upto).where(F.col("upto") > F.col("gap")).groupBy("place").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("words")).alias("before")), "bin").alias("edge"))
-        ends = fits.join(edge, "place").where(F.col("bin") == F.col("edge.bin"))
+        coarse = edges(bins, "bin", F.lit(0))
+        inside = fits.join(coarse, "place").where(F.col("bin") == F.col("edge.bin"))
+        parts = inside.groupBy("place", "fine", "gap", F.col("edge.before").alias("earlier")).agg(F.sum("size").alias("words"))
+        edge = edges(parts, "fine", F.col("earlier"))
+        ends = fits.join(edge, "place").where(F.col("fine") == F.col("edge.bin"))
         walk = ends.withColumn("upto", F.col("edge.before") + F.sum("size").over(Window.partitionBy("place").orderBy("key")))
         last = walk.groupBy("place").agg(
             F.max(F.when(F.col("upto") <= F.col("gap"), F.col("key"))).alias("last_key"),
@@ -117,7 +136,7 @@ def mix(
         moved = state.join(all_words, "place", "left").join(last, "place", "left")
         # without an edge all candidates fit; without a last key the bin's first document is too large
         whole = F.col("edge").isNull()
-        cut = F.when(whole, 2.0).otherwise(F.coalesce("last_key", F.col("edge.bin") / float(BINS) - 1e-18))
+        cut = F.when(whole, 2.0).otherwise(F.coalesce("last_key", F.col("edge.bin") / float(BINS * BINS) - 1e-18))
         words = F.when(whole, F.coalesce("all_words", F.lit(0))).otherwise(F.coalesce("last_words", "edge.before"))
         step = F.struct(F.col("after"), cut.alias("upto"), F.col("gap"))
         nxt = moved.select("place", cut.alias("after"), (F.col("gap") - words).alias("gap"), F.concat("taken", F.array(step)).alias("taken"))
@@ -128,7 +147,10 @@ def mix(
     k, n = F.col("key"), F.col("size")
     sampled = F.coalesce(F.exists("taken", lambda s: (k > s["after"]) & (k <= s["upto"]) & (n <= s["gap"])), F.lit(False))
     times = F.col("copies") + sampled.cast("long")
-    names = [F.col("id").alias(id_col)] if keep is None else [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
-    out, _ = table(chosen.select(*names, "size", "source_size", "target", times.alias("times"), (times * n).alias("taken")), "mix-result")
+    names = {id_col: F.col("id")} if keep is None else {c: F.col(f"k{i}") for i, c in enumerate(keep)}
+    counted = chosen.withColumn("times", times).withColumn("taken", F.col("times") * n)
+    # named last, as a kept column may be named like one of those above
+    results = [F.col(a).alias(free_name(a, names)) for a in ("size", "source_size", "target", "times", "taken")]
+    out, _ = table(counted.select(*[c.alias(a) for a, c in names.items()], *results), "mix-result")
     forget(docs.sparkSession, paths)
     return out
