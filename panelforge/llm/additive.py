@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A unit vector is approximated by the sum of one entry from each of several codebooks of full
-dimension. Each codebook is a k-means of what those before it leave over, on a bounded sample. Encoding is a beam search: the best few partial sums are kept after each
-codebook. The index stores a byte per codebook and the norm of the sum, so a row's distance to a
+dimension. Each codebook is a k-means of what those before it leave over, on a bounded sample. Encoding
+is a beam search: the best few partial sums are kept after each codebook. The index stores a byte per codebook and the norm of the sum, so a row's distance to a
 query is read from the query's table of inner products with all entries. Equal vectors are one row of
 the index, with the smallest ids of those that have it. The best rows by that score are ranked again
 by the exact cosine of the original vectors, each for all of its ids.
@@ -14,16 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, table
-from .vectors import sample_matrix, search_cells, valid_vectors
+from .vectors import sample_matrix, search_parts, valid_vectors
 
 BOOKS, ENTRIES, BEAM = 32, 256, 4
 SAMPLE = 8192  # vectors that fit the codebooks at most
 SHORTLIST = 192
-QUERY_BLOCK = 1024
+PART_ROWS = 1 << 18  # index rows (a byte per codebook each) that a task holds
+SCANNED = 4096  # index rows scored at once
+QUERY_BLOCK = 256
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -74,33 +76,41 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return codes[rows, first], (sums**2).sum(axis=1)
 
 
-def _scan(books: np.ndarray, keep: int):
-    def scan(asked: dict):
-        q = _units(asked["vec"]).astype(np.float32)
-        lookup = np.einsum("qd,med->mqe", q, books.astype(np.float32), optimize=True)
-        best_s = np.full((len(q), 0), -np.inf, np.float32)
-        best_n, best_id = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.int64)
-        block = yield
-        while block is not None:
-            codes, norms = block["codes"], block["norm"].ravel()
-            score = -norms[None, :].repeat(len(q), axis=0)
-            for m in range(len(books)):
-                score += 2 * lookup[m][:, codes[:, m]]
-            s = np.concatenate([best_s, score], axis=1)
-            n = np.concatenate([best_n, np.broadcast_to(block["n"], score.shape)], axis=1)
-            i = np.concatenate([best_id, np.broadcast_to(block["id"], score.shape)], axis=1)
-            if s.shape[1] > keep:
-                top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-                s, n, i = (np.take_along_axis(a, top, axis=1) for a in (s, n, i))
-            best_s, best_n, best_id = s, n, i
-            block = yield
-        out = []
-        for s, n, i in zip(best_s, best_n, best_id, strict=True):
-            real = np.isfinite(s)
-            out.append((n[real], i[real], s[real].astype(float)))
-        yield out
-
-    return scan
+def _search(books: np.ndarray, keep: int):
+    """For ``search_parts``: the ``keep`` best rows of a part by 2 q.x - |x|^2, x the sum that a row's codes stand for."""
+
+    def prepared(part: dict[str, np.ndarray]):
+        def find(asked: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            q = _units(asked["vec"]).astype(np.float32)
+            lookup = 2 * np.einsum("qd,med->mqe", q, books, optimize=True)
+            best, at = np.empty((len(q), 0), np.float32), np.empty((len(q), 0), np.int64)
+            for lo in range(0, len(part["n"]), SCANNED):
+                codes = part["codes"][lo : lo + SCANNED]
+                score = np.repeat(-part["norm"][lo : lo + SCANNED, 0][None], len(q), axis=0)
+                for m in range(len(books)):
+                    score += lookup[m][:, codes[:, m]]
+                here = np.broadcast_to(np.arange(lo, lo + len(codes)), score.shape)
+                if score.shape[1] > keep:
+                    top = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
+                    score, here = np.take_along_axis(score, top, axis=1), np.take_along_axis(here, top, axis=1)
+                best, at = np.concatenate([best, score], axis=1), np.concatenate([at, here], axis=1)
+                if best.shape[1] > keep:
+                    top = np.argpartition(-best, keep - 1, axis=1)[:, :keep]
+                    best, at = np.take_along_axis(best, top, axis=1), np.take_along_axis(at, top, axis=1)
+            return [(part["n"][a], part["id"][a], s.astype(float)) for a, s in zip(at, best, strict=True)]
+
+        return find
+
+    return prepared
+
+
+def _scaled(vec: Column) -> Column:
+    """``vec``, if its components are so large or small that their squares could overflow or vanish times the power of two
+    that brings the largest near 1, which is exact. In two factors, as the power itself may be out of range."""
+    largest = F.array_max(F.transform(vec, F.abs))
+    power = -F.floor(F.log2(largest))
+    half = F.floor(power / 2)
+    return F.when(largest.between(1e-100, 1e100), vec).otherwise(F.transform(vec, lambda x: x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half)))
 
 
 def nearest(
@@ -118,8 +128,9 @@ def nearest(
     own. Scores are exact, and equal ones go by the smaller id. Vectors that are null, zero, of odd length or hold
     null or non-finite components take no part. Rows that repeat an id are rows of their own, as
     queries and as candidates. With fewer rows than ``k`` all are returned; an empty table gives an empty
-    result; other columns are ignored. Codebooks are fit on at most ``sample`` vectors; every vector is indexed,
-equal ones once. The shortlist has ``shortlist`` vectors besides the query's own.
+    result; other columns are ignored. Components may be as small or large as a double can be. Codebooks are fit on at
+    most ``sample`` vectors; every vector is indexed, equal ones once. The shortlist has ``shortlist`` vectors besides the
+    query's own.
     """
     spark = rows.sparkSession
     valid, valid_path = valid_vectors(rows, id_col, vector_col, zero=False)
@@ -164,16 +175,17 @@ equal ones once. The shortlist has ``shortlist`` vectors besides the query's own
     none = F.lit(b"")
     asked = valid.where(is_query).mapInArrow(packed, "n long, id long, vec binary").select("n", "id", none.alias("codes"), none.alias("norm"), "vec")
     held = index.select("n", "id", "codes", "norm", none.alias("vec"))
-    found = search_cells(held, asked, {"codes": "u1", "norm": "<f4", "vec": "<f8"}, _scan(books, shortlist + 1), QUERY_BLOCK)
+    found = search_parts(held, asked, {"codes": "u1", "norm": "<f4", "vec": "<f8"}, _search(books, shortlist + 1), PART_ROWS, QUERY_BLOCK)
     pairs = found.select("query_n", "query_id", F.arrays_zip("scores", "ns", "ids").alias("got"))
     # one row for each query and part of the table, each with at most ``shortlist`` + 1 entries
     merged = pairs.groupBy("query_n", "query_id").agg(F.flatten(F.collect_list("got")).alias("got"))
     short = merged.select("query_n", "query_id", F.slice(F.sort_array("got", asc=False), 1, shortlist + 1).alias("got"))
     short, short_path = table(short.select("query_n", "query_id", F.explode("got").alias("g")).select("query_n", "query_id", F.col("g.ns").alias("n")), "additive-shortlist")
-    left = valid.select(F.col("n").alias("query_n"), F.col("vec").alias("a"))
-    both = short.join(left, "query_n").join(classes.select("n", F.col("vec").alias("b"), "members"), "n")
     dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    score = dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")))
+    left = valid.where(is_query).select(F.col("n").alias("query_n"), _scaled(F.col("vec")).alias("a")).withColumn("length_a", F.sqrt(dot("a", "a")))
+    right = classes.select("n", _scaled(F.col("vec")).alias("b"), "members").withColumn("length_b", F.sqrt(dot("b", "b")))
+    both = short.join(left, "query_n").join(right, "n")
+    score = dot("a", "b") / (F.col("length_a") * F.col("length_b"))
     order = Window.partitionBy("query_n").orderBy(F.desc("score"), "id", "n")
     every_id = both.select("query_n", "query_id", score.alias("score"), F.explode("members").alias("m")).select("query_n", "query_id", "score", "m.id", "m.n")
     ranked = every_id.where("n <> query_n").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -9,7 +9,7 @@ bounds until the next bound is below the k-th best score; the rest can't get in.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, table
-from .vectors import sample_matrix, search_cells, valid_vectors
+from .vectors import sample_matrix, search_parts, valid_vectors
 
 PIVOTS = 24
 SAMPLE = 2048  # vectors from which pivots are chosen at most
-QUERY_BLOCK = 512
-STEP = 128  # rows evaluated at once
+PART_ROWS = 1 << 16  # rows (with their distances) that a task holds
+QUERY_BLOCK = 256
+STEP = 128  # rows evaluated at first; twice as many each time after
 
 
 def choose_pivots(x: np.ndarray, count: int) -> np.ndarray:
@@ -35,40 +36,54 @@ def choose_pivots(x: np.ndarray, count: int) -> np.ndarray:
     return x[chosen]
 
 
-def _scan(k: int, radius2: float):
-    """``radius2``: squared norm of the sphere. Bounds get slack for rounding, so elimination stays exact."""
-
-    def scan(asked: dict):
-        q, to = asked["vec"], asked["far"]
-        q2 = (q.astype(float) ** 2).sum(axis=1)
-        top = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)) for _ in q]  # n, id, score
-        block = yield
-        while block is not None:
-            x, far = block["vec"], block["far"]
-            gap = np.zeros((len(q), len(x)))
-            for p in range(far.shape[1]):
-                np.maximum(gap, np.abs(to[:, p, None] - far[None, :, p]), out=gap)
-            slack = 1e-9 * (radius2 + q2) + 1
-            bound = (q2[:, None] + radius2 - gap**2) / 2 + slack[:, None]
-            exact = np.abs(q).max(initial=0).astype(float) * np.abs(x).max(initial=0) * q.shape[1] < 2**52
+def _search(k: int, radius2: float, evaluated: Callable[[int, int], None] | None = None):
+    """For ``search_parts``. ``radius2``: squared norm of the sphere. Bounds get slack for rounding, so elimination stays exact.
+
+    ``evaluated`` is told how many rows of how many each query looked at.
+    """
+
+    def prepared(part: dict[str, np.ndarray]):
+        x, far = part["vec"], np.ascontiguousarray(part["far"].T)
+        widest = np.abs(x).max(initial=0).astype(float)
+
+        def find(asked: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            q, out = asked["vec"], []
+            q2 = (q.astype(float) ** 2).sum(axis=1)
+            exact = np.abs(q).max(initial=0).astype(float) * widest * q.shape[1] < 2**52
             xs, qs = (x.astype(float), q.astype(float)) if exact else (x, q)
             for j in range(len(q)):
-                order = np.argsort(-bound[j], kind="stable")
-                n, i, s = top[j]
-                for lo in range(0, len(order), STEP):
-                    at = order[lo : lo + STEP]
-                    if len(s) >= k and bound[j, at[0]] < s[-1]:
-                        break
-                    at = at[block["n"][at] != asked["n"][j]]
-                    n, i = np.concatenate([n, block["n"][at]]), np.concatenate([i, block["id"][at]])
+                gap = np.abs(far[0] - asked["far"][j, 0])
+                for p in range(1, len(far)):
+                    np.maximum(gap, np.abs(far[p] - asked["far"][j, p]), out=gap)
+                bound = (q2[j] + radius2 - gap**2) / 2 + 1e-9 * (radius2 + q2[j]) + 1
+                n, i, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+                rounds, left = 0, np.arange(len(x))
+                while len(left):
+                    # the next rows in the order of their bounds; the others are not put in order
+                    step = min(len(left), STEP << min(rounds, 8))
+                    first = np.argpartition(-bound[left], step - 1)[:step] if step < len(left) else np.arange(len(left))
+                    at = left[first]
+                    if len(s) >= k:
+                        at = at[bound[at] >= s[-1]]
+                        if not len(at):
+                            break
+                    rounds += 1
+                    if evaluated:
+                        evaluated(len(at), len(x) if rounds == 1 else 0)
+                    at = at[part["n"][at] != asked["n"][j]]
+                    n, i = np.concatenate([n, part["n"][at]]), np.concatenate([i, part["id"][at]])
                     s = np.concatenate([s, (xs[at] @ qs[j]).astype(np.int64)])
                     best = np.lexsort((n, i, -s))[:k]
                     n, i, s = n[best], i[best], s[best]
-                top[j] = n, i, s
-            block = yield
-        yield top
+                    left = np.delete(left, first)
+                    if len(s) >= k:  # what can't get in is never looked at again
+                        left = left[bound[left] >= s[-1]]
+                out.append((n, i, s))
+            return out
+
+        return find
 
-    return scan
+    return prepared
 
 
 def top_products(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, scale: float = 1024.0) -> DataFrame:
@@ -78,7 +93,8 @@ def top_products(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     ``every``; candidates are all rows but the query's own; equal scores go by the smaller id.
     Vectors that are null, empty, of odd length or hold null or non-finite components take no part. Rows that
     repeat an id are rows of their own. With fewer rows than ``k`` all are returned; an empty table gives an
-    empty result; other columns are ignored. Scores have to fit 64 bits.
+    empty result; other columns are ignored. Whole numbers are exact in doubles up to 2^53 only, so vectors whose
+    product with themselves is larger stop the query.
     """
     spark = rows.sparkSession
     held, path = valid_vectors(rows, id_col, vector_col, zero=True)
@@ -87,6 +103,8 @@ def top_products(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     radius2 = whole.agg(F.max(square)).first()[0]
     if radius2 is None:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
+    if radius2 >= 2**53:
+        raise ValueError(f"a vector's product with itself is {radius2:g}, which is more than 2^53")
     sample = sample_matrix(whole, SAMPLE)
 
     def lifted(x: np.ndarray) -> np.ndarray:
@@ -110,7 +128,7 @@ def top_products(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
     index, index_path = table(whole.mapInArrow(distances, "n long, id long, vec binary, far binary, as_query binary"), "pivot-table")
     asked = index.where(F.col("id") % every == 0).select("n", "id", "vec", F.col("as_query").alias("far"))
-    found = search_cells(index.select("n", "id", "vec", "far"), asked, {"vec": "<i8", "far": "<f8"}, _scan(k, float(radius2)), QUERY_BLOCK)
+    found = search_parts(index.select("n", "id", "vec", "far"), asked, {"vec": "<i8", "far": "<f8"}, _search(k, float(radius2)), PART_ROWS, QUERY_BLOCK)
     each = found.select("query_n", "query_id", F.explode(F.arrays_zip("scores", "ns", "ids")).alias("g"))
     order = Window.partitionBy("query_n").orderBy(F.desc("score"), "id", "n")
     flat = each.select("query_n", "query_id", F.col("g.ns").alias("n"), F.col("g.ids").alias("id"), F.col("g.scores").cast("long").alias("score"))

@@ -1,8 +1,8 @@
-"""Shared parts of the vector searches: rows that take part, and blocks of queries against all rows.
+"""Shared parts of the vector searches: rows that take part, and parts of the index against blocks of queries.
 
-A search is cut into cells. A cell has one part of the table (dealt by hash) and one block of
-queries; it is a key like any other, so Spark shuffles and places the cells. Inside a cell the
-queries come first and stay in memory (at most a block), then the table's rows stream past.
+The index is dealt by hash into parts of bounded size. A part is a key like any other, so Spark shuffles and places
+it; its rows come first and stay in memory, then all queries stream past in blocks. The index is copied
+once, and the queries, a fiftieth or less of the rows, once for each part.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_width, table
 
-ROWS = 2048  # table rows that a cell looks at together
+LEAST_ROWS = 4096  # of a part of the index, but for tables of fewer
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str, zero: bool) -> tuple[DataFrame, str]:
@@ -43,78 +43,52 @@ def sample_matrix(rows: DataFrame, most: int) -> np.ndarray:
     return np.array([r["vec"] for r in got], dtype=float)
 
 
-Scan = Callable[[list[dict], Iterator[list[dict]]], Iterator[dict]]
+def search_parts(index: DataFrame, queries: DataFrame, columns: dict[str, str], search: Callable, part_rows: int, block: int) -> DataFrame:
+    """Run ``search`` on every part of the index and every block of queries.
 
-
-def search_cells(index: DataFrame, queries: DataFrame, columns: dict[str, str], scan: Callable, block: int) -> DataFrame:
-    """Run ``scan`` in every cell.
-
-    ``index`` and ``queries`` have ``n``, ``id`` and the binary columns named in ``columns``. ``scan(queries, blocks)``
-    gets the arrays of the cell's queries and an iterator over arrays of up to ``ROWS`` table rows, and returns for each query
-    (ns, ids, scores) of its best rows. Result: query_n, query_id, ns, ids, scores.
+    ``index`` and ``queries`` have ``n``, ``id`` and the binary columns of fixed length named in ``columns`` (with their
+    numpy types); a column that one side lacks is empty there. The index is dealt by hash into parts of about ``part_rows``
+    rows, or fewer (not below ``LEAST_ROWS``) if tasks would idle, each copied to its task once; the queries go to every part. ``search(part)`` gets a part's arrays and returns a
+    function from the arrays of at most ``block`` queries to (ns, ids, scores) of the best rows of each.
+    Result: query_n, query_id, ns, ids, scores; one row for each query and part.
     """
     spark = index.sparkSession
-    n_queries = queries.count()
-    blocks, parts = max(1, -(-n_queries // block)), shuffle_width(spark)
+    rows = index.count()
+    parts = max(1, -(-rows // part_rows), min(shuffle_width(spark), -(-rows // LEAST_ROWS)))
     names = list(columns)
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int").alias("q"), spread(parts).alias("p"), F.lit(0).alias("kind"), "n", "id", *names)
-    x = index.select(spread(blocks).alias("q"), F.pmod(F.xxhash64("n"), F.lit(parts)).cast("int").alias("p"), F.lit(1).alias("kind"), "n", "id", *names)
-    cells = q.unionByName(x).repartition(parts, "q", "p").sortWithinPartitions("q", "p", "kind", "n")
+    side = lambda df, part, kind: df.select(part.alias("p"), F.lit(kind).alias("kind"), "n", "id", *names)
+    held = side(index, F.pmod(F.xxhash64("n"), F.lit(parts)).cast("int"), 0)
+    asked = side(queries, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), 1)
+    dealt = held.unionByName(asked).repartitionById(parts, "p").sortWithinPartitions("p", "kind", "n")
+
+    def arrays(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        out = {n: np.concatenate([b.column(n).to_numpy() for b in batches]) for n in ("n", "id")}
+        for name, kind in columns.items():
+            raw = b"".join(x for b in batches for x in b.column(name).to_pylist())
+            out[name] = np.frombuffer(raw, kind).reshape(len(out["n"]), -1)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, asked, rows = None, [], []
-        state = None
-
-        def arrays(got: list) -> dict[str, np.ndarray]:
-            out = {"n": np.array([r[0] for r in got], np.int64), "id": np.array([r[1] for r in got], np.int64)}
-            for k, name in enumerate(names):
-                raw = b"".join(r[2 + k] for r in got)
-                out[name] = np.frombuffer(raw, columns[name]).reshape(len(got), -1)
-            return out
-
-        def feed() -> None:
-            nonlocal state, rows
-            if rows and asked:
-                if state is None:
-                    state = scan(arrays(asked))
-                    next(state)
-                state.send(arrays(rows))
-            rows = []
-
-        def finish() -> pa.RecordBatch | None:
-            nonlocal state
-            feed()
-            if state is None:
-                return None
-            best = state.send(None)
-            state = None
-            ns, ids, scores = zip(*best, strict=True)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in asked], pa.int64()),
-                    pa.array([r[1] for r in asked], pa.int64()),
-                    pa.array([a.tolist() for a in ns], pa.list_(pa.int64())),
-                    pa.array([a.tolist() for a in ids], pa.list_(pa.int64())),
-                    pa.array([a.tolist() for a in scores], pa.list_(pa.float64())),
-                ],
-                names=["query_n", "query_id", "ns", "ids", "scores"],
-            )
-
+        part, rows, find = None, [], None
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for q_, p_, kind, *row in zip(*cols, strict=True):
-                if (q_, p_) != cell:
-                    if (out := finish()) is not None:
-                        yield out
-                    cell, asked = (q_, p_), []
-                if kind == 0:
-                    asked.append(row)
-                else:
-                    rows.append(row)
-                    if len(rows) >= ROWS:
-                        feed()
-        if (out := finish()) is not None:
-            yield out
-
-    return cells.mapInArrow(run, "query_n long, query_id long, ns array<long>, ids array<long>, scores array<double>")
+            p, kind = batch.column("p").to_numpy(), batch.column("kind").to_numpy()
+            turns = [0, *(np.flatnonzero((np.diff(p) != 0) | (np.diff(kind) != 0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(turns, turns[1:], strict=False):
+                if lo == hi:
+                    continue
+                if p[lo] != part:
+                    part, rows, find = p[lo], [], None
+                if kind[lo] == 0:
+                    rows.append(batch.slice(lo, hi - lo))
+                    continue
+                if find is None:
+                    if not rows:
+                        continue
+                    find, rows = search(arrays(rows)), rows[:1]  # the arrays hold what the batches held
+                for at in range(lo, hi, block):
+                    q = arrays([batch.slice(at, min(block, hi - at))])
+                    ns, ids, scores = zip(*find(q), strict=True)
+                    lists = lambda xs, t: pa.array([x.tolist() for x in xs], pa.list_(t))
+                    yield pa.RecordBatch.from_arrays([pa.array(q["n"]), pa.array(q["id"]), lists(ns, pa.int64()), lists(ids, pa.int64()), lists(scores, pa.float64())], names=["query_n", "query_id", "ns", "ids", "scores"])
+
+    return dealt.mapInArrow(run, "query_n long, query_id long, ns array<long>, ids array<long>, scores array<double>")
