@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, shuffle_width, small_batches, table
+from .common import forget, shuffle_width, small_batches, table, with_least
 from .components import connected_components
 
 CIRCLE = 1 << 20  # places of the circle on which the permutations act
@@ -235,18 +235,20 @@ def near_duplicates(
     if not repeated.isEmpty():
         one_text = lambda df: df.join(repeated, "id", "left").where("valid_hash is null or valid_hash = text_hash").drop("valid_hash")
         full = one_text(full)
-    classes = full.groupBy("fingerprint").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    copies = full.select("id", "fingerprint").join(classes.where("copies > 1"), "fingerprint").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    reps = full.select("id", "fingerprint", "n_shingles", "bands").join(classes.select("fingerprint", F.col("rep").alias("id")), ["fingerprint", "id"], "left_semi")
+    same = with_least(full.select("id", "fingerprint"), ["fingerprint"], "id").where("id <> least")
+    copies, copy_path = table(same.select(F.col("id").alias("a"), F.col("least").alias("b")), "minhash-copies")
+    reps = full.select("id", "n_shingles", "bands").join(copies.select(F.col("a").alias("id")), "id", "left_anti")
     exploded = reps.select("id", "n_shingles", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("members")).where("least <> most")
     buckets, bucket_path = table(exploded.join(shared.select("bucket", "members"), "bucket").select("bucket", "id", "n_shingles", "members"), "minhash-buckets")
     # documents at the centre of a group share its fullest buckets; they make the best leaders
     central = buckets.groupBy("id").agg(F.sum("members").alias("central"))
-    texts_of = one_text(hashed.where("id is not null").join(buckets.select("id").distinct(), "id", "left_semi"))
+    # a repeated id may have a text without words beside those with words, which alone decide its links
+    worded = hashed.where(F.col("id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    texts_of = one_text(worded.join(buckets.select("id").distinct(), "id", "left_semi"))
     texts, text_path = table(texts_of.dropDuplicates(["id"]).select("id", "text"), "minhash-texts")
 
-    paths = [repeat_path, bucket_path, text_path, feat_path]
+    paths = [repeat_path, copy_path, bucket_path, text_path, feat_path]
 
     def close_enough(x: str, y: str):
         return F.least(x, y) * 100 >= F.greatest(x, y) * percent

@@ -67,13 +67,13 @@ class Layout:
         return HEADER.itemsize + self.length * self.width + 1  # the writer ends a record with a newline
 
 
-def _cut(offsets: dict[int, int], total: int, key: int, length: int, width: int):
+def _cut(offsets: dict[int, int], counts: dict[int, int], total: int, key: int, length: int, width: int):
     size = length * width
     end_mark, pad = ((1 << 8 * width) - 1).to_bytes(width, "little"), ((1 << 8 * width) - 2).to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Feistel(total, key)
-        held, starts, number = bytearray(), [], None  # starts: (place in held, doc_id, place in the document), places in bytes
+        held, starts, number, mine = bytearray(), [], None, None  # starts: (place in held, doc_id, place in the document), places in bytes
 
         def record(n: int) -> bytes:
             inside = [s for s in starts if s[0] < n]
@@ -97,7 +97,9 @@ def _cut(offsets: dict[int, int], total: int, key: int, length: int, width: int)
             rows = []
             for part, doc, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if number is None:
-                    number = offsets[part]
+                    number, mine = offsets.get(part), part
+                if number is None or part != mine:
+                    raise ValueError(f"partition {part} is not as the first pass read it")
                 starts.append((len(held), -1 if doc is None else doc, 0))
                 held += (ids or b"") + end_mark
                 while len(held) >= size:
@@ -106,6 +108,8 @@ def _cut(offsets: dict[int, int], total: int, key: int, length: int, width: int)
                 yield batch_of(rows)
         if held:
             yield batch_of([record(len(held))])
+        if number is not None and number != offsets[mine] + counts[mine]:  # other sequences than were numbered: slots would overlap or be missing
+            raise ValueError(f"partition {mine} gave {number - offsets[mine]} sequences, and {counts[mine]} when the first pass read it")
 
     return run
 
@@ -123,7 +127,8 @@ def materialise(
     """Write the ids of all rows of ``docs`` as shards below ``path``, in the order that ``key`` gives.
 
     ``text_col`` holds packed ids of ``width`` bytes (little-endian), or texts, whose bytes are ids of width 1.
-    ``docs`` has to be read from storage (its partitions must be the same in both passes). A null or
+    ``docs`` has to be read from storage: its partitions must be the same in both passes. One that gives another number of
+    sequences than the first pass counted stops the job, rather than leave slots doubled or empty. A null or
     empty text is just its end mark; a null id is stored as -1; repeated rows are all written; an
     empty table has no shards; other columns are ignored. The ids of a text stay in order inside a
     sequence, and its header tells the first document, where in it the sequence starts, how many ids
@@ -134,11 +139,12 @@ def materialise(
     scan = docs.select(F.shiftright(F.monotonically_increasing_id(), 33).cast("long").alias("part"), F.col(id_col).cast("long").alias("doc"), ids.alias("ids"))
     sums = scan.groupBy("part").agg(F.sum((F.length("ids") / width).cast("long") + 1).alias("n")).orderBy("part").collect()  # one row for each partition
     counts = [-(-r["n"] // length) for r in sums]
-    offsets = dict(zip([r["part"] for r in sums], np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(int).tolist() if counts else [], strict=True))
+    parts_read = [r["part"] for r in sums]
+    offsets = dict(zip(parts_read, np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(int).tolist() if counts else [], strict=True))
     layout = Layout(path, sum(counts), length, per_shard, width)
     shards = max(1, -(-layout.sequences // per_shard))
     parts = min(shuffle_width(spark), shards)
-    made = scan.mapInArrow(_cut(offsets, layout.sequences, key, length, width), "slot long, record binary") if counts else spark.createDataFrame([], "slot long, record binary")
+    made = scan.mapInArrow(_cut(offsets, dict(zip(parts_read, counts, strict=True)), layout.sequences, key, length, width), "slot long, record binary") if counts else spark.createDataFrame([], "slot long, record binary")
     placed = made.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
     dealt = placed.repartitionById(parts, F.floor(F.col("shard").cast("long") * parts / shards).cast("int")).sortWithinPartitions("shard", "slot")
     dealt.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import free_name, small_batches, table
 
 BUCKETS = 1 << 18  # hashed words
 SURE = 6.0  # standard deviations from which a word counts in full
@@ -92,7 +92,7 @@ def score_linear(w: np.ndarray, docs: list[np.ndarray], dense: np.ndarray) -> np
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap below the probability from which counting rows as positive gives the best F1."""
+    """The middle of the gap below the probability from which counting rows as positive gives the best F1, held within 0.1 and 0.9."""
     if not len(p) or not y.sum():
         return 0.5
     order = np.argsort(-p, kind="stable")
@@ -155,7 +155,10 @@ def fit_chain(labelled: DataFrame, text_col: str, categories: Sequence[str], fol
 
 
 def score_chain(docs: DataFrame, chain: Sequence[np.ndarray], categories: Sequence[str], text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns and ``p_<category>`` for each, one row per row of ``docs``. Null and empty texts have no words."""
+    """The ``keep`` columns and ``p_<category>`` for each, one row per row of ``docs``. Null and empty texts have no words.
+
+    Kept columns keep their names; where one is named like a score, the score has ``_`` behind its name.
+    """
     model = docs.sparkSession.sparkContext.broadcast([np.asarray(w) for w in chain])  # of a size that the number of categories fixes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,11 +170,11 @@ def score_chain(docs: DataFrame, chain: Sequence[np.ndarray], categories: Sequen
                 dense[:, k] = score_linear(w, words, dense[:, :k])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(dense[:, k]) for k in range(len(weights))]], names=names)
 
-    rows = docs.select(F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    rows = docs.select(F.col(text_col).cast("string").alias("_text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
     names = [*[f"k{i}" for i in range(len(keep))], *[f"p{k}" for k in range(len(categories))]]
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
     scored = rows.mapInArrow(run, ", ".join([*kinds, *[f"p{k} double" for k in range(len(categories))]]))
-    return scored.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"p{k}").alias(f"p_{c}") for k, c in enumerate(categories)])
+    return scored.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"p{k}").alias(free_name(f"p_{c}", keep)) for k, c in enumerate(categories)])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,12 +205,15 @@ def classify(
     ``categories`` maps names to SQL expressions over ``labels`` that give 0 or 1, in the order of the chain.
     Labels without a document and documents without a label are fine; null flags count as 0; null
     and empty texts have no words, so the intercepts decide. Rows that repeat an id are each scored.
-    Columns named in ``keep`` come along (default: the id). Without ``threshold`` the one with the best out-of-fold F1 decides. Without any label all
-    probabilities are 0.5, and nothing counts as the target.
+    Columns named in ``keep`` come along (default: the id) under their names; where one is named like a column of the
+    result, the latter has ``_`` behind its name. Without ``threshold`` the one with the best out-of-fold F1 decides,
+    held within 0.1 and 0.9, as few rows place it badly. Without any label all probabilities are 0.5, and nothing
+    counts as the target.
     """
     small_batches(docs.sparkSession)
     train = labelled_sample(docs, labels, categories, sample, id_col, text_col)
     chain, best = fit_chain(train, "text", list(categories), folds)
-    scored = score_chain(docs, chain, list(categories), text_col, [id_col] if keep is None else keep)
+    kept = [id_col] if keep is None else list(keep)
+    scored = score_chain(docs, chain, list(categories), text_col, kept)
     limit = best[list(categories).index(target)] if threshold is None else threshold
-    return scored.withColumn(f"is_{target}", F.col(f"p_{target}") > limit)
+    return scored.withColumn(free_name(f"is_{target}", kept), F.col(free_name(f"p_{target}", kept)) > limit)

@@ -102,6 +102,45 @@ def test_pivot_bounds_eliminate_rows():
     gap = np.abs(far(q, p)[:, None, :] - far(lift(v), p)[None]).max(axis=2)
     bound = ((v[:5] ** 2).sum(axis=1)[:, None] + radius2 - gap**2) / 2
     assert (bound + 1e-3 >= v[:5] @ v.T).all()
+    # the search evaluates a part of the rows only, and misses none
+    seen = []
+    part = {"n": np.arange(600), "id": np.arange(600), "vec": v.astype(np.int64), "far": far(lift(v), p)}
+    asked = {"n": np.arange(5), "id": np.arange(5), "vec": v[:5].astype(np.int64), "far": far(q, p)}
+    found = pivots._search(10, float(radius2), lambda looked, of: seen.append((looked, of)))(part)(asked)
+    for j, (n, _, s) in enumerate(found):
+        score = (v @ v[j]).astype(int)
+        want = [k for k in np.lexsort((np.arange(600), -score)) if k != j][:10]
+        assert n.tolist() == want and s.tolist() == score[want].tolist()
+    assert sum(of for _, of in seen) == 5 * 600
+    assert sum(looked for looked, _ in seen) < 0.7 * 5 * 600
+
+
+def test_searches_of_many_parts_and_blocks(spark, monkeypatch):
+    for module in (additive, pivots):
+        monkeypatch.setattr(module, "PART_ROWS", 100)
+        monkeypatch.setattr(module, "QUERY_BLOCK", 3)
+    test_additive_recall_and_exact_scores(spark)
+    test_pivot_search_is_exact(spark)
+
+
+def test_cosines_of_tiny_and_huge_vectors(spark):
+    v = vectors(200, 8, seed=4).astype(float)
+    scales = [1e-200, 1e200, 1.0, 1e-310, 1e300]
+    rows = [(i, (x / np.abs(x).max() * scales[i % 5]).tolist()) for i, x in enumerate(v)]
+    got = additive.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10).collect()
+    unit = np.array([x / np.abs(x).max() for _, x in ((i, np.array(x)) for i, x in rows)])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for q in range(0, 200, 10):
+        score = unit @ unit[q]
+        want = [k for k in np.lexsort((np.arange(200), -score)) if k != q][:5]
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.vec_id for r in mine] == want
+        assert all(r.score == pytest.approx(score[r.vec_id], rel=1e-6) for r in mine)
+
+
+def test_products_that_no_double_holds_stop_the_query(spark):
+    with pytest.raises(ValueError, match="2\\^53"):
+        pivots.top_products(frame(spark, [(0, [1e30, 1.0]), (1, [1.0, 1.0])]))
 
 
 # ---- archives
