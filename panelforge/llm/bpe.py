@@ -9,7 +9,7 @@ merged by rank. Where neighbours share no boundary (a pre-token longer than the
 chunk is scanned again from the last safe place before it.
 
 Texts of one chunk need no stitching and are encoded where they are read; only longer ones are
-shuffled. A task keeps the ids of the pieces it has met, and has tiktoken merge a new one.
+shuffled. A task keeps the ids of the pieces of longer ones that it has met, and has tiktoken merge a new one.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, width: int = 4):
         if max(ranks.values()) >= (1 << 8 * width) - 2:  # the two highest are kept for marks
             raise ValueError(f"ranks do not fit into {width} bytes")
-        self.code = WIDTHS[width]
+        self.width, self.code = width, WIDTHS[width]
         self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.seen: dict[str, bytes] = {}
         self.find = regex.compile(pattern).findall
@@ -82,7 +82,8 @@ class Encoder:
         return np.fromiter(map(len, self.find(text)), dtype=np.int64)
 
     def encode(self, text: str) -> bytes:
-        return self.pack(self.find(text))
+        """A text of one chunk: its pieces are found and merged in one pass of tiktoken."""
+        return np.array(self.merge(text), f"<u{self.width}").tobytes()
 
 
 def _encode_rows(ranks_path: str, pattern: str, width: int):

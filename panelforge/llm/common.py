@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SALTS = 32  # parts into which the rows of a key are split
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # delete a query's shuffle files when it is done
 _made: list[str] = []  # paths below the shared folder that are not deleted yet
 
 
@@ -37,9 +38,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a Parquet table in the shared folder and read it again, which cuts its lineage."""
+    """Write ``df`` as a Parquet table in the shared folder and read it again, which cuts its lineage.
+
+    What it shuffled on the way is deleted at once, not when the driver happens to collect garbage.
+    """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -5,8 +5,8 @@ the width mark the end of a text and padding. Without ids, a text's UTF-8 bytes
 never have the two highest values). Each partition of the scan concatenates its texts and cuts
 sequences of fixed length. Sequences have dense numbers: the partition's offset, from a first pass that sums lengths
 only, plus a running count. A keyed Feistel network with cycle-walking permutes 0..N-1, so every
-number gets a slot of its own without a sort of random numbers. Slots are dealt by range, aligned
-to shards, and sorted; each shard is one file of records of equal length, so slot s is the record
+number gets a slot of its own without a sort of random numbers. Slots are dealt by range (compressed on the
+way), aligned to shards, and sorted; each shard is one file of records of equal length, so slot s is the record
 ``s % per_shard`` of file ``s // per_shard`` and reading can resume anywhere.
 """
 
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def _cut(offsets: dict[int, int], counts: dict[int, int], total: int, key: int,
     end_mark, pad = ((1 << 8 * width) - 1).to_bytes(width, "little"), ((1 << 8 * width) - 2).to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Feistel(total, key)
+        order, pack = Feistel(total, key), zstandard.ZstdCompressor(level=1).compress
         held, starts, number, mine = bytearray(), [], None, None  # starts: (place in held, doc_id, place in the document), places in bytes
 
         def record(n: int) -> bytes:
@@ -91,7 +92,7 @@ def _cut(offsets: dict[int, int], counts: dict[int, int], total: int, key: int,
             nonlocal number
             slots = order(np.arange(number, number + len(rows)))
             number += len(rows)
-            return pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(rows, pa.binary())], names=["slot", "record"])
+            return pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array([pack(r) for r in rows], pa.binary())], names=["slot", "record"])
 
         for batch in batches:
             rows = []
@@ -114,6 +115,12 @@ def _cut(offsets: dict[int, int], counts: dict[int, int], total: int, key: int,
     return run
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        yield batch.set_column(2, "record", pa.array([unpack(r) for r in batch.column(2).to_pylist()], pa.binary()))
+
+
 def materialise(
     docs: DataFrame,
     path: str,
@@ -146,8 +153,9 @@ def materialise(
     parts = min(shuffle_width(spark), shards)
     made = scan.mapInArrow(_cut(offsets, dict(zip(parts_read, counts, strict=True)), layout.sequences, key, length, width), "slot long, record binary") if counts else spark.createDataFrame([], "slot long, record binary")
     placed = made.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
-    dealt = placed.repartitionById(parts, F.floor(F.col("shard").cast("long") * parts / shards).cast("int")).sortWithinPartitions("shard", "slot")
-    dealt.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+    dealt = placed.repartitionById(parts, F.floor(F.col("shard").cast("long") * parts / shards).cast("int"))
+    ordered = dealt.select("shard", "slot", "record").mapInArrow(_unpacked, "shard int, slot long, record binary").sortWithinPartitions("shard", "slot")
+    ordered.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
     return layout
 
 
