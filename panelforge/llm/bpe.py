@@ -3,13 +3,13 @@ r"""Byte-level BPE encoding and decoding of whole texts.
 Encoding follows overlapping chunks. A text is cut into chunks of ``CHUNK`` characters, each with
 ``OVERLAP`` more behind it. All chunks are pre-tokenised independently, a chunk's first cut being a
 guess. The pattern looks only ahead, so once two neighbours share one boundary inside their overlap,
-their boundaries agree from there on: that place joins them. A chunk owns the pieces between the
+their boundaries agree from there on (and it looks behind a piece only to see whether white space ends): that place joins them. A chunk owns the pieces between the
 place where it joins its predecessor and the place where its successor joins it. Pieces are then
 merged by rank. Where neighbours share no boundary (a pre-token longer than the overlap), the later
 chunk is scanned again from the last safe place before it.
 
 Texts of one chunk need no stitching and are encoded where they are read; only longer ones are
-shuffled. A task keeps the ids of the pieces of longer ones that it has met, and has tiktoken merge a new one.
+shuffled. Merging, within a piece, is tiktoken's.
 """
 
 from __future__ import annotations
@@ -78,11 +78,19 @@ class Encoder:
             out.append(got)
         return b"".join(out)
 
+    def between(self, text: str, edges: list[int]) -> bytes:
+        """The pieces of ``text`` between the places ``edges``. Up to the last one that is no white space tiktoken finds
+        the same pieces again; how white space at an end is cut depends on what follows, so it goes piece by piece."""
+        k = len(edges) - 1
+        while k > 0 and text[edges[k - 1] : edges[k]].isspace():
+            k -= 1
+        return self.encode(text[edges[0] : edges[k]]) + self.pack([text[a:b] for a, b in zip(edges[k:], edges[k + 1 :], strict=False)])
+
     def lengths(self, text: str) -> np.ndarray:
         return np.fromiter(map(len, self.find(text)), dtype=np.int64)
 
     def encode(self, text: str) -> bytes:
-        """A text of one chunk: its pieces are found and merged in one pass of tiktoken."""
+        """A text whose pieces are not known: they are found and merged in one pass of tiktoken."""
         return np.array(self.merge(text), f"<u{self.width}").tobytes()
 
 
@@ -124,7 +132,7 @@ def _encode_chunks(ranks_path: str, pattern: str, chunk: int, width: int):
         at, carry = 0, ""  # the place up to which the text is encoded, and the text from there to this chunk
         for batch in batches:
             rows, out = [], []
-            for j, (k, text, bounds, ahead) in enumerate( zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True)):
+            for j, (k, text, bounds, ahead) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True)):
                 if k == 0:
                     at, carry, done = 0, "", []
                 base = k * chunk
@@ -143,7 +151,7 @@ def _encode_chunks(ranks_path: str, pattern: str, chunk: int, width: int):
                     joins = np.isin(cut[:-1], ahead).nonzero()[0]
                     stop = int(joins[0]) if len(joins) else max(0, len(cut) - 2)
                 edges = (cut[: stop + 1] - start).tolist()
-                done.append(encoder.pack([whole[a:b] for a, b in zip(edges, edges[1:], strict=False)]))
+                done.append(encoder.between(whole, edges))
                 at = int(cut[stop])
                 carry = whole[at - start : base + chunk - start] if at < base + chunk else ""
                 if ahead is None:
