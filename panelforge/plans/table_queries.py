@@ -420,12 +420,12 @@ def daily_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT horizon, count(*) AS n, median(e) AS median_error, quantile_cont(e, 0.9) AS p90_error, quantile_cont(e, 0.99) AS p99_error, count(*) FILTER (e < 0.0001) AS within_basis, count(*) FILTER (e < 0.0001) / count(*) AS within_basis_rate FROM (
       SELECT h AS horizon, abs(c2.market_cap / c.market_cap - 1 - value) AS e FROM returns JOIN (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY date) AS pos FROM panel) c USING (date, stock_code)
-      CROSS JOIN range(1, 7) t(h) JOIN (SELECT stock_code, market_cap, row_number() OVER (PARTITION BY stock_code ORDER BY date) AS pos FROM panel) c2 ON c2.stock_code = returns.stock_code AND c2.pos = c.pos + h WHERE value IS NOT NULL) GROUP BY horizon""",
+      CROSS JOIN range(1, 31) t(h) JOIN (SELECT stock_code, market_cap, row_number() OVER (PARTITION BY stock_code ORDER BY date) AS pos FROM panel) c2 ON c2.stock_code = returns.stock_code AND c2.pos = c.pos + h WHERE value IS NOT NULL) GROUP BY horizon""",
     "median_error p90_error p99_error within_basis_rate",
 )
 def horizon_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = market.panel(spark, sf_dir)
-    return quality.horizon_errors(market.returns(p), p.select("date", "stock_code", F.col("market_cap").alias("close")), longest=6, sample=None)
+    return quality.horizon_errors(market.returns(p), p.select("date", "stock_code", F.col("market_cap").alias("close")), sample=None)
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
