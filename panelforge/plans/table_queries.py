@@ -91,7 +91,19 @@ def alpha_feature_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alpha_panel(spark, sf_dir).select("date", "stock_code", "alpha_signal_rank", "alpha_signal_z", "turnover_rank", "turnover_z", "log_mcap_z", "mcap_rank", "size_decile", "index_bucket", "y_raw_fwd", "y_raw_rank_label", "sample_weight")
 
 
-@query()
+@query(
+    f"""SELECT * EXCLUDE (n_date, n_panel, n_dates), n_panel / (n_dates * n_date) AS sample_weight FROM (
+      SELECT *, {_rank("y_raw_fwd")} AS y_raw_rank_label, count(*) OVER (PARTITION BY date) AS n_date, count(*) OVER () AS n_panel, (SELECT count(DISTINCT date) FROM held) AS n_dates FROM held)""",
+    "market_cap volume amount_k turnover alpha placeholder_raw log_mcap mcap_rank log_mcap_z placeholder_rank placeholder_z y_raw_fwd y_raw_rank_label sample_weight",
+    f"""labelled AS (SELECT p.*, value, ln(market_cap) AS lc FROM panel p JOIN returns USING (date, stock_code)),{_z('labelled', 'alpha', 'placeholder')},{_z('placeholder', 'lc', 'log_mcap')},
+    sized AS (SELECT *, {_rank("alpha")} AS placeholder_rank, {_rank("market_cap")} AS mcap_rank,
+      CAST(ceil(10.0 * row_number() OVER (PARTITION BY date ORDER BY market_cap, stock_code) / count(*) OVER (PARTITION BY date)) - 1 AS BIGINT) AS size_decile,
+      CASE WHEN is_csi300 = 1 THEN 'CSI300' WHEN is_csi500 = 1 THEN 'CSI500' WHEN is_csi1000 = 1 THEN 'CSI1000' WHEN is_csi2000 = 1 THEN 'CSI2000' ELSE 'NON_INDEX' END AS index_bucket FROM log_mcap),
+    held AS (
+      SELECT date, stock_code, industry, board, CAST(is_csi300 AS DOUBLE) AS is_csi300, CAST(is_csi500 AS DOUBLE) AS is_csi500, CAST(is_csi1000 AS DOUBLE) AS is_csi1000, CAST(is_csi2000 AS DOUBLE) AS is_csi2000,
+        market_cap, volume, amount_k, turnover, alpha, alpha AS placeholder_raw, lc AS log_mcap, mcap_rank, size_decile, log_mcap_z, index_bucket, placeholder_rank, placeholder_z, value AS y_raw_fwd FROM sized WHERE value IS NOT NULL)""",
+    6,
+)
 def placeholder_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-sections taken after the labels are joined."""
     p = market.panel(spark, sf_dir)
@@ -99,7 +111,10 @@ def placeholder_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.build_panel(p, market.returns(p), {"placeholder": signal}, {"placeholder": "identity"}, universe_first=False)
 
 
-@query()
+@query(
+    """SELECT signal, count(*) AS rows, count(*) - count(v) AS missing, count(DISTINCT date) FILTER (v IS NOT NULL) AS dates
+    FROM (SELECT date, unnest(['a_raw', 'v_raw']) AS signal, unnest([alpha, CASE WHEN volume > 100 THEN volume END]) AS v FROM panel) GROUP BY signal"""
+)
 def alpha_signal_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = market.panel(spark, sf_dir)
     frame = panel.attach_signals(p, {"a": p.select("date", "stock_code", F.col("alpha").alias("value")), "v": p.where("volume > 100").select("date", "stock_code", F.col("volume").alias("value"))})
@@ -128,10 +143,13 @@ def index_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.panel(spark, sf_dir).select("date", "stock_code", keys.index_bucket("UNKNOWN_INDEX").alias("bucket"))
 
 
-@query()
+BOARDS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
+@query("SELECT date, stock_code, " + ", ".join(f"CAST(board = '{b}' AS BIGINT) AS \"board__{b}\"" for b in BOARDS) + " FROM panel")
 def board_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns depend on the data, so rows are checked in place: each sums to 1."""
-    return panel.one_hot(market.panel(spark, sf_dir), "board", "board", keys.UNKNOWN_BOARD)
+    """A row whose board is none of these, or that does not sum to 1, stops the query."""
+    return panel.one_hot(market.panel(spark, sf_dir), "board", "board", keys.UNKNOWN_BOARD, BOARDS)
 
 
 @query("SELECT date, stock_code, CAST(is_csi300 AS BIGINT) AS index__CSI300, CAST(is_csi500 AS BIGINT) AS index__CSI500, CAST(is_csi1000 AS BIGINT) AS index__CSI1000, CAST(is_csi2000 AS BIGINT) AS index__CSI2000, CAST(is_csi300 + is_csi500 + is_csi1000 + is_csi2000 = 0 AS BIGINT) AS index__NON_INDEX, CAST(0 AS BIGINT) AS index__UNKNOWN_INDEX FROM panel")
@@ -180,9 +198,10 @@ def board_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("s_suppkey", "b.*")
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1998-01-01')")
 def anti_join_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = market.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an order since 1998 (all have older ones)."""
+    orders = market.table(spark, sf_dir, "orders").where(F.to_date("o_orderdate") >= dt.date(1998, 1, 1)).select(F.col("o_custkey").alias("c_custkey"))
     return market.table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
 
 
@@ -438,13 +457,56 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.extreme_evidence(market.returns(p), history, _calendar(spark, sf_dir), stocks, 0.45)
 
 
-@query()
+EXTREMES = f"""{DAILY.rstrip()},
+days AS (SELECT date, row_number() OVER (ORDER BY date) AS day_pos FROM calendar),
+history AS (
+  SELECT stock_code, date AS d, close, row_number() OVER w - 1 AS pos, close / lag(close) OVER w - 1 AS close_ret, greatest(day_pos - lag(day_pos) OVER w - 1, 0) AS gap_before
+  FROM daily LEFT JOIN days USING (date) WINDOW w AS (PARTITION BY stock_code ORDER BY date)),
+cases AS (SELECT date AS label_date, stock_code, value AS return_y, CASE WHEN CAST(stock_code AS INT) % 3 = 0 THEN DATE '1995-06-01' END AS listed, CASE WHEN CAST(stock_code AS INT) % 7 = 0 THEN DATE '2001-06-01' END AS delisted FROM returns WHERE abs(value) > 0.45),
+bases AS (SELECT label_date, stock_code, min(pos) AS base_pos FROM cases JOIN history USING (stock_code) WHERE d >= label_date GROUP BY ALL),
+events AS (
+  SELECT * FROM (
+    SELECT b.label_date, b.stock_code, h.d AS event_date, h.pos, h.close_ret, h.gap_before, CASE WHEN z.close <> 0 THEN h.close / z.close - 1 END AS cum_ret,
+      row_number() OVER (PARTITION BY b.label_date, b.stock_code ORDER BY coalesce(abs(h.close_ret), -1) DESC, h.pos) AS k
+    FROM bases b JOIN history z ON z.stock_code = b.stock_code AND z.pos = b.base_pos JOIN history h ON h.stock_code = b.stock_code AND h.pos BETWEEN b.base_pos AND b.base_pos + 5) WHERE k = 1),
+flagged AS (
+  SELECT *, list_filter([
+    CASE WHEN pos <= 5 THEN 'new_listing_first_days' WHEN pos <= 60 THEN 'recent_listing_first_60_trading_days' END,
+    CASE WHEN label_date < listed AND listed - label_date BETWEEN 1 AND 10 THEN 'label_shifted_before_listing_event' END,
+    CASE WHEN delisted - event_date BETWEEN -5 AND 90 THEN 'delisting_period_or_pre_delisting_trade' END,
+    CASE WHEN gap_before >= 20 THEN 'resumption_after_long_suspension' WHEN gap_before >= 5 THEN 'resumption_after_short_suspension' END,
+    CASE WHEN (coalesce(abs(close_ret) >= 0.4, false) OR coalesce(abs(cum_ret) >= 0.4, false)) AND abs(close_ret) * 100 < 20 THEN 'unadjusted_price_discontinuity_ex_rights_or_corporate_action'
+      WHEN abs(close_ret) * 100 >= 50 THEN 'single_day_raw_price_jump_over_50pct' WHEN abs(close_ret) * 100 >= 20 THEN 'single_day_raw_price_jump_20_to_50pct' END,
+    CASE WHEN coalesce(abs(close_ret - return_y) < 0.02, false) OR coalesce(abs(cum_ret - return_y) < 0.02, false) THEN 'label_matches_local_raw_move' END], lambda x: x IS NOT NULL) AS flags,
+    stock_code IN (SELECT stock_code FROM history) AS has_history
+  FROM cases LEFT JOIN events USING (label_date, stock_code)),
+ruled AS (
+  SELECT *, CASE
+    WHEN NOT has_history THEN 'missing_local_daily_history' WHEN pos IS NULL THEN 'pre_listing_or_no_trading_record_on_label_date' WHEN len(flags) = 0 THEN 'unexplained_by_local_daily_metadata'
+    WHEN list_contains(flags, 'delisting_period_or_pre_delisting_trade') AND list_has_any(flags, ['single_day_raw_price_jump_over_50pct', 'resumption_after_long_suspension', 'resumption_after_short_suspension']) THEN 'delisting_or_resumption_extreme_trade'
+    WHEN list_has_all(flags, ['new_listing_first_days', 'label_shifted_before_listing_event']) THEN 'new_listing_label_shift'
+    WHEN list_contains(flags, 'new_listing_first_days') THEN 'new_listing_first_days'
+    WHEN list_contains(flags, 'unadjusted_price_discontinuity_ex_rights_or_corporate_action') THEN 'corporate_action_unadjusted_price_discontinuity'
+    WHEN list_contains(flags, 'resumption_after_long_suspension') THEN 'resumption_after_long_suspension' WHEN list_contains(flags, 'resumption_after_short_suspension') THEN 'resumption_after_short_suspension'
+    WHEN list_contains(flags, 'single_day_raw_price_jump_over_50pct') THEN 'large_raw_price_move' ELSE flags[1] END AS primary_cause FROM flagged),
+classified AS (
+  SELECT label_date, stock_code, return_y, event_date, close_ret AS event_close_ret, gap_before, cum_ret, primary_cause,
+    CASE WHEN primary_cause IN ('missing_local_daily_history', 'pre_listing_or_no_trading_record_on_label_date', 'unexplained_by_local_daily_metadata', 'delisting_or_resumption_extreme_trade', 'corporate_action_unadjusted_price_discontinuity') THEN 'High' ELSE 'Medium' END AS severity,
+    concat_ws('; ', nullif(array_to_string(flags, '; '), ''), CASE WHEN event_date <> label_date THEN 'event on ' || event_date || ', label on ' || label_date END) AS explanation FROM ruled)
+"""
+
+
+@query("SELECT * FROM classified", "return_y event_close_ret cum_ret", EXTREMES)
 def extreme_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = quality.classify_extremes(_evidence(spark, sf_dir))
     return df.select("label_date", "stock_code", "return_y", "event_date", "event_close_ret", "gap_before", "cum_ret", "primary_cause", "severity", "explanation")
 
 
-@query()
+@query(
+    "SELECT primary_cause, severity, count(*) AS cases, avg(abs(return_y)) AS mean_abs, median(abs(return_y)) AS median_abs, max(abs(return_y)) AS max_abs FROM classified GROUP BY ALL",
+    "mean_abs median_abs max_abs",
+    EXTREMES,
+)
 def extreme_cause_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cause_counts(quality.classify_extremes(_evidence(spark, sf_dir)))
 
