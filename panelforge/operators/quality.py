@@ -118,11 +118,16 @@ def extreme_evidence(returns: DataFrame, history: DataFrame, calendar: DataFrame
         F.greatest(F.col("day_pos") - F.lag("day_pos").over(w) - 1, F.lit(0)).alias("gap_before"),
         F.greatest(F.lead("day_pos").over(w) - F.col("day_pos") - 1, F.lit(0)).alias("gap_after"),
     ).withColumn("close_ret", F.col("_rel") - 1)
-    starts = cases.join(h.select("stock_code", "d", "pos", "close"), "stock_code").where("d >= label_date")
-    starts = starts.groupBy("label_date", "stock_code").agg(F.min(F.struct("pos", F.col("d").alias("base_date"), F.col("close").alias("base_close"))).alias("b")).select("label_date", "stock_code", "b.*")
-    near = starts.withColumnRenamed("pos", "base_pos").join(h, "stock_code").where(F.col("pos").between(F.col("base_pos"), F.col("base_pos") + event_window))
-    event = near.groupBy("label_date", "stock_code", "base_date", "base_close").agg(
-        F.max(F.struct(F.coalesce(F.abs(F.col("close_ret")), F.lit(-1.0)).alias("size"), (-F.col("pos")).alias("first"), F.col("d").alias("event_date"), F.col("close").alias("event_close"), "pct", "close_ret", "pos", "prev_date", "next_date", "gap_before", "gap_after")).alias("e")
+    # the rows before a label date are counted in one window over cases and history, so both joins are by equality
+    seen = h.select("stock_code", F.col("d").alias("label_date"), F.lit(1).alias("_row")).unionByName(cases.select("stock_code", "label_date", F.lit(0).alias("_row")))
+    before = F.sum("_row").over(Window.partitionBy("stock_code").orderBy("label_date", "_row").rowsBetween(Window.unboundedPreceding, 0))
+    starts = seen.withColumn("base_pos", before).where("_row = 0").select("stock_code", "label_date", "base_pos", F.explode(F.sequence(F.col("base_pos"), F.col("base_pos") + event_window)).alias("pos"))
+    near = starts.join(h.withColumn("pos", F.col("pos").cast("long")), ["stock_code", "pos"])
+    at_base = lambda c: F.first(F.when(F.col("pos") == F.col("base_pos"), F.col(c)), True)
+    event = near.groupBy("label_date", "stock_code").agg(
+        at_base("d").alias("base_date"),
+        at_base("close").alias("base_close"),
+        F.max(F.struct(F.coalesce(F.abs(F.col("close_ret")), F.lit(-1.0)).alias("size"), (-F.col("pos")).alias("first"), F.col("d").alias("event_date"), F.col("close").alias("event_close"), "pct", "close_ret", "pos", "prev_date", "next_date", "gap_before", "gap_after")).alias("e"),
     )
     event = event.select("label_date", "stock_code", "base_date", "base_close", "e.event_date", "e.event_close", F.col("e.pct").alias("event_pct"), F.col("e.close_ret").alias("event_close_ret"), F.col("e.pos").alias("rows_since_first"), "e.prev_date", "e.next_date", "e.gap_before", "e.gap_after")
     known = history.select("stock_code").distinct().withColumn("has_history", F.lit(True))

@@ -234,14 +234,19 @@ def trade_date_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ADJUST = f"""{DAILY.rstrip()},
 factors AS (SELECT date, stock_code, CASE WHEN CAST(stock_code AS INT) % 13 = 0 AND day(date) = 7 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) + (CAST(stock_code AS INT) + day(date)) % 3 * CAST(0.15 AS DOUBLE) END AS factor FROM daily),
-near AS (SELECT *, list(factor) OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS before, list(factor) OVER (w ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS after FROM factors WINDOW w AS (PARTITION BY stock_code ORDER BY date)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY date) AS pos FROM factors),
 raw AS (SELECT d.date, d.stock_code, d.turnover - 0.05 AS value FROM daily d),
 matched AS (
-  SELECT r.date AS signal_date, r.stock_code, t.buy_date, t.sell_date, r.value AS return_raw, b.factor AS factor_buy, s.factor AS factor_sell, b.before, s.after,
+  SELECT r.date AS signal_date, r.stock_code, t.buy_date, t.sell_date, r.value AS return_raw, b.factor AS factor_buy, s.factor AS factor_sell, b.pos AS buy_pos, s.pos AS sell_pos,
     CASE WHEN b.factor > 0 AND s.factor > 0 THEN s.factor / b.factor END AS factor_ratio
-  FROM raw r LEFT JOIN trades t USING (date) LEFT JOIN near b ON b.stock_code = r.stock_code AND b.date = t.buy_date LEFT JOIN near s ON s.stock_code = r.stock_code AND s.date = t.sell_date),
+  FROM raw r LEFT JOIN trades t USING (date) LEFT JOIN numbered b ON b.stock_code = r.stock_code AND b.date = t.buy_date LEFT JOIN numbered s ON s.stock_code = r.stock_code AND s.date = t.sell_date),
+jumps AS (SELECT stock_code, signal_date, factor_buy, factor_sell, unnest(range(1, 11)) AS k, buy_pos, sell_pos FROM matched WHERE abs(factor_ratio - 1) > 0.2),
+reversals AS (
+  SELECT DISTINCT stock_code, signal_date, true AS reverses FROM (
+    SELECT j.stock_code, signal_date FROM jumps j JOIN numbered n ON n.stock_code = j.stock_code AND n.pos = buy_pos - k WHERE n.factor <> 0 AND abs(n.factor / factor_sell - 1) <= 0.02
+    UNION ALL SELECT j.stock_code, signal_date FROM jumps j JOIN numbered n ON n.stock_code = j.stock_code AND n.pos = sell_pos + k WHERE n.factor <> 0 AND abs(n.factor / factor_buy - 1) <= 0.02)),
 judged AS (SELECT *, (1 + return_raw) * factor_ratio - 1 AS candidate, coalesce(abs(factor_ratio - 1) > 0.02, false) AS jump_flag, coalesce(abs(factor_ratio - 1) > 0.2, false) AS large_jump_flag,
-    coalesce(abs(factor_ratio - 1) > 0.2 AND (len(list_filter(before, lambda v: v <> 0 AND abs(v / factor_sell - 1) <= 0.02)) > 0 OR len(list_filter(after, lambda v: v <> 0 AND abs(v / factor_buy - 1) <= 0.02)) > 0), false) AS suspicious_flag FROM matched),
+    coalesce(reverses, false) AS suspicious_flag FROM matched LEFT JOIN reversals USING (stock_code, signal_date)),
 adjusted AS (
   SELECT signal_date, stock_code, buy_date, sell_date, return_raw, factor_buy, factor_sell, factor_ratio, candidate, jump_flag, large_jump_flag, suspicious_flag,
     CASE WHEN factor_ratio IS NULL THEN NULL WHEN abs(factor_ratio - 1) <= 1e-12 OR suspicious_flag THEN return_raw ELSE candidate END AS return_adjusted,
