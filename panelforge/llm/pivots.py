@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, table
-from .vectors import sample_matrix, search_parts, valid_vectors
+from .vectors import products, sample_matrix, search_parts, valid_vectors
 
 PIVOTS = 24
 SAMPLE = 2048  # vectors from which pivots are chosen at most
@@ -44,13 +44,10 @@ def _search(k: int, radius2: float, evaluated: Callable[[int, int], None] | None
 
     def prepared(part: dict[str, np.ndarray]):
         x, far = part["vec"], np.ascontiguousarray(part["far"].T)
-        widest = np.abs(x).max(initial=0).astype(float)
 
         def find(asked: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             q, out = asked["vec"], []
-            q2 = (q.astype(float) ** 2).sum(axis=1)
-            exact = np.abs(q).max(initial=0).astype(float) * widest * q.shape[1] < 2**52
-            xs, qs = (x.astype(float), q.astype(float)) if exact else (x, q)
+            q2 = (q**2).sum(axis=1)
             for j in range(len(q)):
                 gap = np.abs(far[0] - asked["far"][j, 0])
                 for p in range(1, len(far)):
@@ -72,7 +69,7 @@ def _search(k: int, radius2: float, evaluated: Callable[[int, int], None] | None
                         evaluated(len(at), len(x) if rounds == 1 else 0)
                     at = at[part["n"][at] != asked["n"][j]]
                     n, i = np.concatenate([n, part["n"][at]]), np.concatenate([i, part["id"][at]])
-                    s = np.concatenate([s, (xs[at] @ qs[j]).astype(np.int64)])
+                    s = np.concatenate([s, products(x[at], q[j])])
                     best = np.lexsort((n, i, -s))[:k]
                     n, i, s = n[best], i[best], s[best]
                     left = np.delete(left, first)
@@ -93,18 +90,18 @@ def top_products(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     ``every``; candidates are all rows but the query's own; equal scores go by the smaller id.
     Vectors that are null, empty, of odd length or hold null or non-finite components take no part. Rows that
     repeat an id are rows of their own. With fewer rows than ``k`` all are returned; an empty table gives an
-    empty result; other columns are ignored. Whole numbers are exact in doubles up to 2^53 only, so vectors whose
-    product with themselves is larger stop the query.
+    empty result; other columns are ignored. Scores are exact; those beyond a long count as its largest value or that negated.
+    Rows of a scaled length from 1e150 on take no part either.
     """
     spark = rows.sparkSession
     held, path = valid_vectors(rows, id_col, vector_col, zero=True)
-    whole = held.withColumn("vec", F.transform("vec", lambda x: F.floor(x * scale).cast("double")))
+    # doubles from 2^53 on are whole already, and floor() gives longs
+    floor = lambda x: F.when(F.abs(x) < 2**53, F.floor(x).cast("double")).otherwise(x)
     square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    whole = held.withColumn("vec", F.transform("vec", lambda x: floor(x * scale))).where(square < 1e300)
     radius2 = whole.agg(F.max(square)).first()[0]
     if radius2 is None:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
-    if radius2 >= 2**53:
-        raise ValueError(f"a vector's product with itself is {radius2:g}, which is more than 2^53")
     sample = sample_matrix(whole, SAMPLE)
 
     def lifted(x: np.ndarray) -> np.ndarray:
@@ -120,7 +117,7 @@ def top_products(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
             as_row = np.sqrt(((lifted(x)[:, None, :] - pivots[None]) ** 2).sum(axis=2))
             flat = np.concatenate([x, np.zeros((len(x), 1))], axis=1)  # queries are not lifted
             as_query = np.sqrt(((flat[:, None, :] - pivots[None]) ** 2).sum(axis=2))
-            raw = x.astype("<i8")
+            raw = x.astype("<f8")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *[pa.array([r.tobytes() for r in a], pa.binary()) for a in (raw, as_row.astype("<f8"), as_query.astype("<f8"))]],
                 names=["n", "id", "vec", "far", "as_query"],
@@ -128,10 +125,10 @@ def top_products(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
     index, index_path = table(whole.mapInArrow(distances, "n long, id long, vec binary, far binary, as_query binary"), "pivot-table")
     asked = index.where(F.col("id") % every == 0).select("n", "id", "vec", F.col("as_query").alias("far"))
-    found = search_parts(index.select("n", "id", "vec", "far"), asked, {"vec": "<i8", "far": "<f8"}, _search(k, float(radius2)), PART_ROWS, QUERY_BLOCK)
+    found = search_parts(index.select("n", "id", "vec", "far"), asked, {"vec": "<f8", "far": "<f8"}, _search(k, float(radius2)), PART_ROWS, QUERY_BLOCK, "long")
     each = found.select("query_n", "query_id", F.explode(F.arrays_zip("scores", "ns", "ids")).alias("g"))
     order = Window.partitionBy("query_n").orderBy(F.desc("score"), "id", "n")
-    flat = each.select("query_n", "query_id", F.col("g.ns").alias("n"), F.col("g.ids").alias("id"), F.col("g.scores").cast("long").alias("score"))
+    flat = each.select("query_n", "query_id", F.col("g.ns").alias("n"), F.col("g.ids").alias("id"), F.col("g.scores").alias("score"))
     ranked = flat.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     out, _ = table(ranked.select("query_id", "rank", F.col("id").alias(id_col), "score"), "pivot-result")
     forget(spark, [path, index_path])

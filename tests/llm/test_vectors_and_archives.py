@@ -138,9 +138,9 @@ def test_cosines_of_tiny_and_huge_vectors(spark):
         assert all(r.score == pytest.approx(score[r.vec_id], rel=1e-6) for r in mine)
 
 
-def test_products_that_no_double_holds_stop_the_query(spark):
-    with pytest.raises(ValueError, match="2\\^53"):
-        pivots.top_products(frame(spark, [(0, [1e30, 1.0]), (1, [1.0, 1.0])]))
+def test_products_beyond_a_long_count_as_its_largest(spark):
+    got = pivots.top_products(frame(spark, [(0, [1e30, 1.0]), (1, [1.0, 1.0]), (100, [-1e30, 1.0])])).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1, 1, 2**63 - 1), (0, 2, 100, -(2**63) + 1), (100, 1, 1, -(2**63) + 1), (100, 2, 0, -(2**63) + 1)]
 
 
 # ---- archives
