@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive, bpe, chat, linededup, minhash, mixing, pivots, shards, toxicity, warc
+from . import additive, alignment, bpe, chat, linededup, minhash, mixing, negatives, packing, pivots, shards, tokenfiles, toxicity, warc
 from .common import forget, shared_path, table
 
 #: Of the chain, in this order.
@@ -86,7 +86,43 @@ def op10_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.read_shards(spark, layout).select("slot", "shard", "doc_id", "start", "n_docs", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_warc_salvage, op4_minhash_near_dedup, op5_byte_bpe, op6_pareto_mix, op7_additive_ann, op8_chat_format, op9_pivot_topk, op10_training_shards)}
+def op11_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bin_count")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    aligned = alignment.align(_table(spark, sf_dir, "documents"), a, public_tokenizers.PATTERN, b)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    sizes = (tokenfiles.byte_level(a, public_tokenizers.PATTERN, False).size, tokenfiles.sentence_pieces(b).size)
+    scored = alignment.score_links(aligned.withColumn("groups_sha256", digest).drop("groups"), *sizes)
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_line_dedup,
+        op3_warc_salvage,
+        op4_minhash_near_dedup,
+        op5_byte_bpe,
+        op6_pareto_mix,
+        op7_additive_ann,
+        op8_chat_format,
+        op9_pivot_topk,
+        op10_training_shards,
+        op11_harmonic_packing,
+        op12_token_alignment,
+        op13_hard_negatives,
+    )
+}
 
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -146,6 +182,18 @@ scored AS (
   SELECT q.n AS qn, q.vec_id AS query_id, x.vec_id, x.n, CAST(list_inner_product(q.e, x.e) AS BIGINT) AS score FROM v q JOIN v x ON q.vec_id % 100 = 0 AND q.n <> x.n)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qn ORDER BY score DESC, vec_id, n) AS rank FROM scored) WHERE rank <= 10"""
 
+_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS n, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.n AS an, a.vec_id AS anchor_id, x.n, x.vec_id, a.label = x.label AS same, CAST(list_inner_product(a.e, x.e) AS BIGINT) AS score FROM v a JOIN v x ON a.vec_id % 100 = 0 AND a.n <> x.n),
+positives AS (SELECT an, anchor_id, n AS pn, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY an ORDER BY score DESC, vec_id, n) AS r FROM scored WHERE same) WHERE r <= 5),
+found AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.an, pn ORDER BY score DESC, vec_id, s.n) AS r
+  FROM positives p JOIN scored s ON s.an = p.an AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM found WHERE r <= 5"""
+
 #: The same results in DuckDB SQL, where it can express them.
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": _LINES,
@@ -153,4 +201,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_minhash_near_dedup": _NEAR,
     "op8_chat_format": _chat_sql(),
     "op9_pivot_topk": _PRODUCTS,
+    "op13_hard_negatives": _NEGATIVES,
 }
