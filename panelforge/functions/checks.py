@@ -2,7 +2,8 @@
 
 ``passing``, ``unique`` and ``matched`` return the frame with the check inside its plan: rows that pass go on, the
 first that fails stops the query with its message. They add no job and, where the frame is dealt by the keys or
-a part of them already, no shuffle. The ``assert_`` functions run a job of their own, at once, and are for readers
+a part of them already, no shuffle. The optimiser leaves them where they are written: it moves no predicate that is not
+deterministic, so a check above a join sees the rows that the join lets through and no others, and later filters stay above it. The ``assert_`` functions run a job of their own, at once, and are for readers
 and small tables; they raise with a sample of the offending rows.
 """
 
@@ -27,7 +28,8 @@ def _told(keys: Sequence[str]) -> Column:
 def passing(df: DataFrame, condition: Column, message: str, keys: Sequence[str]) -> DataFrame:
     """``df``; a row that fails ``condition`` (null counts as failing) stops the query, which names its ``keys``."""
     told = F.concat(F.lit(f"{message}: "), _told(keys))
-    return df.where(F.when(~F.coalesce(condition, F.lit(False)), F.raise_error(told)).otherwise(F.lit(True)))
+    here = F.spark_partition_id() >= 0  # always true, and not deterministic in the optimiser's eyes
+    return df.where(F.when(here & ~F.coalesce(condition, F.lit(False)), F.raise_error(told)).otherwise(F.lit(True)))
 
 
 def unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:

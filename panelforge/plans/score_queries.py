@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -438,6 +440,74 @@ def risk_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neutralize.summarize_r2(daily)
 
 
+WITHIN_INDUSTRY = f"""
+given AS (SELECT date, stock_code, industry, board, value AS y, market_cap FROM returns JOIN panel USING (date, stock_code) WHERE value IS NOT NULL AND market_cap > 0),
+sized AS (SELECT *, (rank() OVER (PARTITION BY date ORDER BY market_cap) + (count(*) OVER (PARTITION BY date, market_cap) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY date) - 0.5 AS x, count(*) OVER (PARTITION BY date) AS n FROM given),
+designs AS (SELECT date, any_value(n) AS n, count(DISTINCT industry) + count(DISTINCT board) - 1 + CAST(stddev_pop(x) > 1e-12 AS INT) AS k FROM sized GROUP BY date),
+centred AS (SELECT *, y - avg(y) OVER (PARTITION BY date, industry) AS yc, x - avg(x) OVER (PARTITION BY date, industry) AS xc FROM sized),
+slopes AS (SELECT date, coalesce(sum(xc * yc) / nullif(sum(xc * xc), 0), 0) AS b FROM centred GROUP BY date),
+solved AS (SELECT *, yc - b * xc AS e FROM centred JOIN slopes USING (date) JOIN (SELECT date, k FROM designs WHERE n >= 30 AND n > k + 10) USING (date))"""
+
+
+@query(
+    """SELECT r.date, r.stock_code, r.value AS y, e AS residual, CASE WHEN e IS NOT NULL THEN 'lstsq' END AS method,
+      CASE WHEN coalesce(n, 0) < 30 THEN 'too_few_valid_observations' WHEN n <= k + 10 THEN 'too_few_observations_for_design' END AS skipped_reason
+    FROM returns r LEFT JOIN designs USING (date) LEFT JOIN (SELECT date, stock_code, e FROM solved) s ON s.date = r.date AND s.stock_code = r.stock_code WHERE r.value IS NOT NULL""",
+    "y residual",
+    WITHIN_INDUSTRY,
+    6,
+)
+def neutralize_within_industry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact residuals on industries, boards and size: boards hold whole industries, so SQL has them by means within an industry."""
+    p, r, _ = _market(spark, sf_dir)
+    return neutralize.neutralize(r, p, replace(neutralize.EXACT, flags=())).select("date", "stock_code", "y", "residual", F.when(F.col("residual").isNotNull(), F.col("method")).alias("method"), "skipped_reason")
+
+
+@query(
+    """SELECT date, count(*) AS n_total, count(value) AS n_valid_return, CASE WHEN coalesce(any_value(n), 0) < 30 THEN 'too_few_valid_observations' WHEN any_value(n) <= any_value(k) + 10 THEN 'too_few_observations_for_design' END AS skipped_reason,
+      CASE WHEN any_value(n) >= 30 THEN any_value(k) ELSE 0 END AS n_columns, any_value(m) AS return_weighted_mean, any_value(sd) AS residual_weighted_std, any_value(r2) AS r2, any_value(zero) AS residual_weighted_mean, any_value(zero) AS max_abs_industry_mean_after, any_value(zero) AS max_abs_board_mean_after, any_value(zero) AS max_abs_continuous_exposure_after
+    FROM returns LEFT JOIN designs USING (date) LEFT JOIN (SELECT date, avg(y) AS m, stddev_pop(e) AS sd, 1 - avg(e * e) / var_pop(y) AS r2, 0.0 AS zero FROM solved GROUP BY date) USING (date) GROUP BY date""",
+    "return_weighted_mean residual_weighted_std r2 residual_weighted_mean max_abs_industry_mean_after max_abs_board_mean_after max_abs_continuous_exposure_after",
+    WITHIN_INDUSTRY,
+    6,
+)
+def neutralization_day_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the diagnostics of exact residuals promise by date: counts, reasons to skip, the design, and nothing left in any group."""
+    p, r, _ = _market(spark, sf_dir)
+    told = neutralize.neutralize_tables(r, p, replace(neutralize.EXACT, flags=()))["diagnostics"]
+    left = ["residual_weighted_mean", "max_abs_industry_mean_after", "max_abs_board_mean_after", "max_abs_continuous_exposure_after"]
+    return told.select("date", "n_total", "n_valid_return", "skipped_reason", "n_columns", "return_weighted_mean", "residual_weighted_std", "r2", *[F.round(F.abs(c), 9).alias(c) for c in left])
+
+
+@query(
+    """SELECT count(*) AS date_count, count(*) FILTER (done) AS processed_date_count, count(*) FILTER (NOT done) AS skipped_date_count, min(date) AS date_min, max(date) AS date_max, 'exact_neutralization' AS neutralization_type
+    FROM (SELECT date, coalesce(any_value(n) >= 30 AND any_value(n) > any_value(k) + 10, false) AS done FROM returns LEFT JOIN designs USING (date) GROUP BY date)""",
+    "",
+    WITHIN_INDUSTRY,
+)
+def neutralization_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, r, _ = _market(spark, sf_dir)
+    told = neutralize.neutralization_summary(neutralize.neutralize_tables(r, p, replace(neutralize.EXACT, flags=()))["diagnostics"])
+    return told.drop("max_abs_industry_mean_after", "max_abs_board_mean_after", "max_abs_continuous_exposure_after")
+
+
+@query(
+    f"""SELECT 'alpha' AS score_col, count(r2) AS date_count, avg(r2) AS mean_r2, median(r2) AS median_r2, quantile_cont(r2, 0.9) AS p90_r2, avg(1 - (1 - r2) * (n - 1) / (n - k)) AS mean_adj_r2 FROM (
+      SELECT date, n, k, 1 - e2 / t2 AS r2 FROM (SELECT date, any_value(n) AS n, any_value(k) AS k, sum((yc - b * xc) ** 2) AS e2, any_value(vt) * any_value(n) AS t2 FROM alpha_centred JOIN alpha_slopes USING (date) GROUP BY date) WHERE t2 > 1e-12 AND n > k)""",
+    "mean_r2 median_r2 p90_r2 mean_adj_r2",
+    """
+alpha_ranked AS (SELECT date, industry, alpha AS y, (rank() OVER (PARTITION BY date ORDER BY market_cap) + (count(*) OVER (PARTITION BY date, market_cap) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY date) - 0.5 AS x FROM panel),
+alpha_centred AS (SELECT date, y - avg(y) OVER i AS yc, x - avg(x) OVER i AS xc, count(*) OVER d AS n, var_pop(y) OVER d AS vt, (SELECT count(DISTINCT industry) FROM alpha_ranked a WHERE a.date = r.date) + 1 AS k FROM alpha_ranked r WINDOW i AS (PARTITION BY date, industry), d AS (PARTITION BY date)),
+alpha_slopes AS (SELECT date, coalesce(sum(xc * yc) / nullif(sum(xc * xc), 0), 0) AS b FROM alpha_centred GROUP BY date)""",
+    6,
+)
+def risk_r2_of_industry_and_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _features(market.panel(spark, sf_dir))
+    daily, _ = neutralize.risk_r2(p, ["alpha"], ["industry"], ["mcap_rank"])
+    enough = daily.where("n_obs > 0 and adj_r2 is not null and not isnan(adj_r2)")
+    return neutralize.summarize_r2(enough)
+
+
 @query(
     f"""SELECT date, count(*) AS n_obs, {_corr("alpha", "value")} AS ic, {_corr("rs", "rt")} AS rank_ic,
       CASE WHEN count(*) >= 10 AND min(alpha) < max(alpha) THEN avg(value) FILTER (q = 10) - avg(value) FILTER (q = 1) END AS decile_spread FROM (
@@ -452,16 +522,58 @@ def decile_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neutralize.decile_performance(p.join(r, ["date", "stock_code"]), "alpha", "value")
 
 
+#: Trees of the registered trainings; all other parameters are the defaults.
+TREES = {"n_estimators": 20}
+
+
 @query()
 def train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All folds with the default model, whose neutralised signals are held monotone."""
     from ..operators import model
 
     p, r, _ = _market(spark, sf_dir)
-    signal = p.select("date", "stock_code", F.col("alpha").alias("value"))
-    built = panel.build_panel(p, r, {"alpha_signal": signal}, {"alpha_signal": "identity"}, liquidity=["turnover"])
-    c = model.contract(panel.feature_roles(["alpha_signal"], ["turnover"]), "y_raw_fwd")
+    residual = neutralize.neutralize_signal(p.select("date", "stock_code", F.col("alpha").alias("value")), p)["value"]
+    signal = {"alpha_neutralized": residual.select("date", "stock_code", F.col("residual").alias("value"))}
+    built = panel.build_panel(p, r, signal, {"alpha_neutralized": "identity"}, liquidity=["turnover"])
+    roles = panel.feature_roles([*signal], ["turnover"])
+    c = model.contract(roles, "y_raw_fwd", model.neutralized_signals(model.contract(roles, "y_raw_fwd")))
     folds = panel.fold_assignments(built.select("date"), market.FOLDS, 1)
-    return model.train_folds(built, folds, c, "y_raw_fwd")["predictions"]
+    return model.train_folds(built, folds, c, "y_raw_fwd", params=TREES)["predictions"]
+
+
+SPLITS = """
+rows_ AS (
+  SELECT turnover, volume, dense_rank() OVER (ORDER BY industry) - 1 AS industry, value AS y, 1.0 + CAST(stock_code AS INT) % 3 AS w FROM panel JOIN returns USING (date, stock_code) WHERE value IS NOT NULL),
+graded AS (SELECT *, greatest(least((SELECT sum(w * y) / sum(w) FROM rows_) - y, 0.1), -0.1) * w AS g FROM rows_),
+long_ AS (SELECT feature, x, g, w FROM graded UNPIVOT (x FOR feature IN (turnover, volume))),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY x) AS rn, count(*) OVER (PARTITION BY feature) AS n FROM long_),
+edges AS (SELECT DISTINCT feature, x AS edge FROM ordered WHERE rn IN (SELECT greatest(CAST(ceil(k / 255.0::DOUBLE * n) AS BIGINT), 1) FROM range(1, 255) t(k))),
+binned AS (SELECT o.feature, coalesce(e.edge, 1e300) AS bin, g, w FROM ordered o ASOF LEFT JOIN edges e ON o.feature = e.feature AND o.x <= e.edge),
+sums AS (
+  SELECT feature, bin, 2.0 AS l2, sum(g) AS g, sum(w) AS h, count(*) AS n FROM binned GROUP BY ALL
+  UNION ALL SELECT 'industry', sum(g) / (sum(w) + 15), 5.0, sum(g), sum(w), count(*) FROM graded GROUP BY industry HAVING count(*) >= 15),
+lefts AS (
+  SELECT feature, l2, row_number() OVER o AS position, sum(n) OVER o AS n, sum(g) OVER o AS g, sum(h) OVER o AS h FROM sums WINDOW o AS (PARTITION BY feature ORDER BY bin)),
+total AS (SELECT sum(g) AS g, sum(w) AS h, count(*) AS n FROM graded)"""
+
+
+@query(
+    """SELECT feature, position, CAST(l.n AS BIGINT) AS left_rows, l.g ** 2 / (l.h + l2) + (t.g - l.g) ** 2 / (t.h - l.h + l2) - t.g ** 2 / (t.h + 2.0) AS gain
+    FROM lefts l, total t WHERE l.n >= 500 AND t.n - l.n >= 500""",
+    "gain",
+    SPLITS,
+    6,
+)
+def first_split_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gain of every candidate split of a first tree: Huber slopes over all labelled rows, numbers by bins, industries as sets."""
+    from ..operators import boosting
+
+    p, r, _ = _market(spark, sf_dir)
+    levels = [x[0] for x in p.select("industry").distinct().orderBy("industry").collect()]  # a row for each industry
+    code = F.element_at(F.create_map(*[F.lit(x) for k, v in enumerate(levels) for x in (v, float(k))]), F.col("industry"))
+    rows = p.withColumn("industry", code).join(r.where("value is not null"), ["date", "stock_code"])
+    weight = 1.0 + F.col("stock_code").cast("int") % 3
+    return boosting.root_gains(rows, ["turnover", "volume", "industry"], F.col("value"), weight, {"industry": len(levels)}, alpha=0.1)
 
 
 # ---- diagnosis

@@ -91,6 +91,38 @@ def alpha_feature_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alpha_panel(spark, sf_dir).select("date", "stock_code", "alpha_signal_rank", "alpha_signal_z", "turnover_rank", "turnover_z", "log_mcap_z", "mcap_rank", "size_decile", "index_bucket", "y_raw_fwd", "y_raw_rank_label", "sample_weight")
 
 
+@query(
+    """SELECT fold_id, split, count(*) AS row_count, count(DISTINCT date) AS date_count, min(date) AS start_date, max(date) AS end_date, 0 AS without_prediction, 0 AS wrong_margins, true AS stopped_at_best
+    FROM labelled JOIN folds USING (date) GROUP BY ALL""",
+    "",
+    f"""{ALPHA},
+    known AS (SELECT * FROM returns WHERE value IS NOT NULL),
+    labelled AS (SELECT date, stock_code FROM turnover JOIN known USING (date, stock_code) WHERE alpha > 0)""",
+)
+def training_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invariants of a training of all folds: rows and dates of each split, a prediction for every row, margins that are differences, and a
+    valid loss of the predictions that is the one at which training stopped."""
+    from ..operators import model
+    from ..operators.boosting import Settings
+
+    built = _alpha_panel(spark, sf_dir)
+    roles = panel.feature_roles(["alpha_signal"], ["turnover"])
+    plain = model.contract(roles, "y_raw_fwd")
+    c = model.contract(roles, "y_raw_fwd", model.monotone_signals(plain, all_signals=True))
+    out = model.train_folds(built, panel.fold_assignments(built.select("date"), market.FOLDS), c, "y_raw_fwd", params={"n_estimators": 8}, predicted=("train", "valid", "test"))
+    alpha, size = Settings().alpha, F.abs(F.col("pred_direct") - F.col("y_true"))
+    loss = F.when(size <= alpha, size * size / 2).otherwise(alpha * (size - alpha / 2))
+    known = spark.createDataFrame([(f, m.losses[m.best_iteration]) for f, m in out["models"].items()], "fold_id long, best_loss double")
+    off = F.abs(F.col("score_marginal") - (F.col("pred_direct") - F.col("pred_context_only"))) > 1e-12
+    told = out["predictions"].groupBy("fold_id", "split").agg(
+        F.count("*").alias("n"), F.count_if(F.col("pred_direct").isNull()).alias("without_prediction"), F.count_if(off).alias("wrong_margins"), (F.sum(loss * F.col("sample_weight")) / F.sum("sample_weight")).alias("loss")
+    )
+    both = out["folds"].join(told, ["fold_id", "split"]).join(known, "fold_id").where("n = row_count")
+    at_best = (F.col("split") != "valid") | (F.abs(F.col("loss") - F.col("best_loss")) < 1e-7)
+    return both.select("fold_id", "split", "row_count", "date_count", "start_date", "end_date", "without_prediction", "wrong_margins", at_best.alias("stopped_at_best"))
+
+
+
 @query(
     f"""SELECT * EXCLUDE (n_date, n_panel, n_dates), n_panel / (n_dates * n_date) AS sample_weight FROM (
       SELECT *, {_rank("y_raw_fwd")} AS y_raw_rank_label, count(*) OVER (PARTITION BY date) AS n_date, count(*) OVER () AS n_panel, (SELECT count(DISTINCT date) FROM held) AS n_dates FROM held)""",

@@ -497,18 +497,16 @@ def test_constraints_reach_the_factory_and_models_are_kept(spark, tmp_path):
     model.train_folds(p, folds, bound, "y_fwd", lambda **k: seen.append(k) or Recorder(**k), {"depth": 3})
     assert seen == [{"depth": 3, "monotone": {"a_neutralized_z": 1}}]
     with pytest.raises(ValueError, match="can't enforce"):
-        model.train_folds(p, folds, bound, "y_fwd")
+        model.train_folds(p, folds, bound, "y_fwd", model.spark_factory)
     told = model.constraint_summary(bound)
     assert told["enabled"] and told["constrained_features"] == ["a_neutralized_z"] and told["constraints_by_feature"] == {"a_neutralized_z": 1, "industry": 0}
-    out = model.train_folds(p, folds, plain, "y_fwd", params={"maxIter": 2, "maxDepth": 2})
+    out = model.train_folds(p, folds, plain, "y_fwd", model.spark_factory, {"maxIter": 2, "maxDepth": 2})
     gains = {r.feature: r for r in out["importance"].collect()}
     assert gains["a_neutralized_z"].importance_split == sum((t.numNodes - 1) // 2 for t in out["models"][1].trees)
     model.save_models(spark, out["models"], plain, str(tmp_path / "m"))
     models, again = model.load_models(spark, str(tmp_path / "m"))
     assert again == plain and models[1].toDebugString == out["models"][1].toDebugString
-    before = out["predictions"].count()
-    out["release"]()
-    assert out["predictions"].count() == before
+    assert out["predictions"].count() == 4 * len(CODES)
     with pytest.raises(PySparkException, match="labels must be finite"):
         model.train_folds(p.withColumn("y_fwd", F.lit(None).cast("double")), folds, plain, "y_fwd", Recorder)
 
@@ -604,9 +602,9 @@ def test_the_training_query_trains_all_folds_with_the_default_model(spark, monke
     seen = []
 
     def train(built, folds, c, target, factory=model.default_factory, params=None, fold_ids=None):
-        seen.append((sorted(r[0] for r in folds.select("fold_id").distinct().collect()), factory, params, fold_ids))
+        seen.append((sorted(r[0] for r in folds.select("fold_id").distinct().collect()), factory, c.monotone, fold_ids))
         return {"predictions": built}
 
     monkeypatch.setattr(model, "train_folds", train)
     score_queries.train_predict(spark, "/root/testdata/sf0.001")
-    assert seen == [([f.fold_id for f in market.FOLDS], model.default_factory, None, None)]
+    assert seen == [([f.fold_id for f in market.FOLDS], model.default_factory, {"alpha_neutralized_rank": 1, "alpha_neutralized_z": 1}, None)]
