@@ -32,6 +32,12 @@ def passing(df: DataFrame, condition: Column, message: str, keys: Sequence[str])
     return df.where(F.when(here & ~F.coalesce(condition, F.lit(False)), F.raise_error(told)).otherwise(F.lit(True)))
 
 
+def alongside(df: DataFrame, told: DataFrame, condition: Column, message: str, keys: Sequence[str]) -> DataFrame:
+    """``df``; a row of ``told``, another frame, that fails ``condition`` stops the query. For what rows alone can't tell, such as missing ones."""
+    none = passing(told, condition, message, keys).where(F.spark_partition_id() < 0)  # read, and then left out
+    return df.unionByName(none.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]))
+
+
 def unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
     """``df``; rows that repeat ``keys`` stop the query."""
     counted = df.withColumn("_times", F.count("*").over(Window.partitionBy(*keys)))

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.checks import matched, passing, unique
+from ..functions.checks import alongside, matched, passing, unique
 from ..functions.keys import BOARDS, MAIN_BOARDS, board_segment, finite
 
 KEYS = ["date", "stock_code"]
@@ -111,14 +111,30 @@ def board_dimension(board: DataFrame) -> DataFrame:
 
 
 def daily_dataset(daily: DataFrame, industry: DataFrame, board: DataFrame, membership: DataFrame, required: Mapping[str, bool] | None = None) -> DataFrame:
-    """Daily metrics with industry and board of the stock and membership of the day; what is ``required`` must match."""
+    """Daily metrics with industry and board of the stock and membership of the day; what is ``required`` must match.
+
+    Keys that repeat in any input, metrics that are infinite or NaN, membership flags that contradict each other and an empty
+    result stop the query.
+    """
     need = {"industry": True, "board": True, "membership": True} | dict(required or {})
     parts = {"industry": (industry, ["stock_code"]), "board": (board_dimension(board), ["stock_code"]), "membership": (membership, KEYS)}
     df = unique(daily, KEYS, "daily metrics")
     for name, (part, keys) in parts.items():
         part = unique(part, keys, name)
         df = matched(df, part, keys, f"daily rows without {name}") if need[name] else df.join(part, keys, "left")
-    return df
+    return valid_dataset(df, [c for c, t in daily.dtypes if t in ("float", "double")])
+
+
+def valid_dataset(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """``df``; what ``daily_dataset`` must not hold stops the query."""
+    for c in metrics:
+        x = F.col(f"`{c}`")
+        df = passing(df, x.isNull() | (~F.isnan(x) & (F.abs(x) < float("inf"))), f"{c} must be finite or null", KEYS)
+    if {"index_membership_any_unknown", "index_membership_all_known"} <= set(df.columns):
+        unknown, known = F.col("index_membership_any_unknown"), F.col("index_membership_all_known")
+        df = passing(df, unknown.isNull() | known.isNull() | (unknown != known), "membership flags contradict each other", KEYS)
+    rows = df.select(F.lit(1).alias("_one")).limit(1).agg(F.count("*").alias("rows"))
+    return alongside(df, rows, F.col("rows") > 0, "the dataset is empty", ["rows"])
 
 
 def date_counts(df: DataFrame, nullable: Sequence[str]) -> DataFrame:

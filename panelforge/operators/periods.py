@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.checks import check_periods, matched, unique
+from ..functions.checks import alongside, check_periods, matched, passing, require_columns, unique
 from ..functions.keys import finite
 from ..functions.stats import correlation
-from .nav import net_asset_value, rank_scores, summarize_buckets, summarize_composition
+from .nav import DAY, bucket_returns, net_asset_value, rank_scores, summarize_buckets, summarize_composition
 from .xsection import average_rank
 
 PERIOD_SERIES = ("period", "bucket_index", "bucket_label")
@@ -27,12 +27,13 @@ class Period:
 
 @dataclass(frozen=True)
 class Segment:
-    """Dates of a fold's split that a stitched series takes."""
+    """Dates of a fold's split that a stitched series takes, and how many there have to be if that is known."""
 
     fold_id: int
     split: str
     start: dt.date
     end: dt.date
+    date_count: int | None = None
 
 
 def period_of(date: Column, periods: Sequence[Period]) -> Column:
@@ -114,41 +115,64 @@ def period_alignment(daily: DataFrame, periods: Sequence[Period], splits: Sequen
 
 
 def stitch(predictions: DataFrame, segments: Sequence[Segment], score: str, fold_id: int = 0, split: str = "test") -> DataFrame:
-    """One series from several folds: rows in a segment of their own fold and split, with where they came from. Segments must not overlap."""
+    """One series from several folds: rows in a segment of their own fold and split, with where they came from.
+
+    Segments must not overlap. A segment that knows its number of dates stops the query if the predictions have
+    another one, as do rows that repeat a date and stock.
+    """
     ordered = sorted(segments, key=lambda s: s.start)
     if any(b.start <= a.end for a, b in zip(ordered, ordered[1:], strict=False)):
         raise ValueError("segments overlap")
     hit = F.lit(False)
     for s in segments:
         hit = hit | ((F.col("fold_id") == s.fold_id) & (F.col("split") == s.split) & F.col("date").between(F.lit(s.start), F.lit(s.end)))
-    out = predictions.where(hit).select(F.lit(fold_id).alias("fold_id"), F.lit(split).alias("split"), "date", "stock_code", F.col(score), F.col("fold_id").alias("source_fold_id"), F.col("split").alias("source_split"))
-    return unique(out, ["date", "stock_code"], "stitched predictions")
+    taken = predictions.where(hit)
+    out = taken.select(F.lit(fold_id).alias("fold_id"), F.lit(split).alias("split"), "date", "stock_code", F.col(score), F.col("fold_id").alias("source_fold_id"), F.col("split").alias("source_split"))
+    out = unique(out, ["date", "stock_code"], "stitched predictions")
+    known = [(s.fold_id, s.split, s.date_count) for s in segments if s.date_count is not None]
+    if not known:
+        return out
+    # a segment has one fold and split, so its dates are told apart by these; there are a few segments
+    expected = predictions.sparkSession.createDataFrame(known, "fold_id long, split string, expected_dates long")
+    found = taken.groupBy(F.col("fold_id").cast("long").alias("fold_id"), "split").agg(F.countDistinct("date").alias("dates"))
+    told = expected.join(found, ["fold_id", "split"], "left").withColumn("dates", F.coalesce("dates", F.lit(0)))
+    return alongside(out, told, F.col("dates") == F.col("expected_dates"), "stitched dates differ from those of the training", ["fold_id", "split", "expected_dates", "dates"])
+
+
+def source_segments(ranges: dict[int, dict[str, tuple[dt.date, dt.date]]], date_counts: Mapping[tuple[int, str], int] | None = None) -> list[Segment]:
+    """All splits of the first fold, the test split of the others; ``date_counts`` by fold and split, as a training tells them."""
+    first = min(ranges)
+    return [Segment(f, s, *ranges[f][s], (date_counts or {}).get((f, s))) for f in sorted(ranges) for s in ("train", "valid", "test") if s in ranges[f] and (f == first or s == "test")]
 
 
-def source_segments(ranges: dict[int, dict[str, tuple[dt.date, dt.date]]]) -> list[Segment]:
-    """All splits of the first fold, the test split of the others."""
-    first = min(ranges)
-    return [Segment(f, s, *ranges[f][s]) for f in sorted(ranges) for s in ("train", "valid", "test") if s in ranges[f] and (f == first or s == "test")]
+def training_segments(folds: DataFrame) -> list[Segment]:
+    """``source_segments`` of the ``folds`` table of a training (a row for each fold and split)."""
+    rows = folds.collect()
+    ranges: dict[int, dict[str, tuple[dt.date, dt.date]]] = {}
+    for r in rows:
+        ranges.setdefault(r["fold_id"], {})[r["split"]] = (r["start_date"], r["end_date"])
+    return source_segments(ranges, {(r["fold_id"], r["split"]): r["date_count"] for r in rows})
 
 
 def compare_signals(panel: DataFrame, template: DataFrame, returns: DataFrame, signals: dict[str, str], periods: Sequence[Period], bucket_count: int = 31, splits: Sequence[str] = ("test",), min_names: int = 1) -> DataFrame:
-    """Period summaries of several signal columns of ``panel`` on the rows of ``template``, in one plan keyed by signal_id."""
-    from .nav import DAY, assign_buckets
+    """Period summaries of several signal columns of ``panel`` on the rows of ``template``, in one plan keyed by signal_id.
 
+    Ranks, buckets (empty ones too) and returns are those of ``nav``. Rows of the template, panel or returns that repeat their keys
+    or lack one, template rows without panel rows, and returns of -1 and less inside a bucket stop the query.
+    """
     keys = ["date", "stock_code"]
-    missing = sorted(set(signals.values()) - set(panel.columns))
-    if missing:
-        raise ValueError(f"signal columns are missing: {missing}")
-    cols = [finite(F.col(c)).alias(i) for i, c in signals.items()]
-    df = matched(template.select(*DAY, "stock_code"), panel.select(*keys, *cols), keys, "template rows without panel rows").where(F.col("split").isin(*splits))
-    long = df.unpivot([*DAY, "stock_code"], list(signals), "signal_id", "score").where("score is not null")
-    # a fold of its own for each signal lets one plan rank them all
-    keyed = long.withColumn("fold_id", F.concat_ws("|", "signal_id", F.col("fold_id").cast("string")))
-    w = Window.partitionBy(*DAY)
-    ranked = keyed.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "stock_code"))).withColumn("eligible_count", F.count("*").over(w))
-    priced = assign_buckets(ranked, bucket_count).join(returns.select(*keys, finite(F.col("value")).alias("_r")), keys, "left")
-    daily = priced.groupBy(*DAY, "signal_id", "bucket_index", "bucket_label").agg(F.count("*").alias("selected_count"), F.count("_r").alias("valid_return_count"), F.avg("_r").alias("_m"))
-    daily = daily.withColumn("bucket_return", F.when(F.col("valid_return_count") >= min_names, F.col("_m"))).withColumn("missing_return_count", F.col("selected_count") - F.col("valid_return_count"))
+    require_columns(template, [*DAY, "stock_code"], "template")
+    require_columns(panel, [*keys, *signals.values()], "panel")
+    named = F.col("date").isNotNull() & (F.coalesce("stock_code", F.lit("")) != "")
+    rows = passing(template.select(*DAY, "stock_code"), named, "template rows without a date or stock", [*DAY, "stock_code"]).where(F.col("split").isin(*splits))
+    rows = unique(rows, [*DAY, "stock_code"], "template")
+    known = passing(panel.select(*keys, *[finite(F.col(c)).alias(i) for i, c in signals.items()]), named, "panel rows without a date or stock", keys)
+    df = matched(rows, unique(known, keys, "panel"), keys, "template rows without panel rows")
+    long = df.unpivot([*DAY, "stock_code"], list(signals), "signal_id", "score")
+    # a fold of its own for each signal lets one plan rank and price them all
+    fold = F.concat_ws("|", F.col("fold_id").cast("string"), "signal_id")
+    daily = bucket_returns(rank_scores(long.withColumn("fold_id", fold), "score"), returns, bucket_count, min_names=min_names)
+    daily = daily.withColumn("signal_id", F.regexp_replace("fold_id", r"^[^|]*\|", ""))
     series = ("signal_id", *PERIOD_SERIES)
     nav = unique(net_asset_value(in_periods(daily, periods, splits), series), [*series, "date"], "period returns (without folds)")
     return summarize_buckets(nav, series)
