@@ -1,4 +1,4 @@
-"""Readers: tables by suffix, matrices, dated datasets with a manifest, zipped histories, reference files."""
+"""Readers: tables by suffix, matrices, dated datasets with a manifest, zipped histories, reference files. Market stores are in ``market``."""
 
 from __future__ import annotations
 
@@ -6,29 +6,28 @@ import csv
 import io
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
-from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.checks import assert_all, assert_matched, assert_unique, require_columns
+from ..functions.checks import assert_all, assert_matched, assert_unique, passing, require_columns
 from ..functions.keys import finite, parsed_date, reference_board, stock_code
 from ..operators.panel import wide_to_long
 
 
-def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, texts: Sequence[str] = ("stock_code",)) -> DataFrame:
-    """Parquet, ORC, JSON or csv by suffix. A csv's ``texts`` stay text; of the others types are inferred.
-    ``columns`` prunes the scan. Pickles are no Spark source: convert them once with ``import_pickle``."""
+def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, texts: Sequence[str] = ("stock_code",), schema: str | None = None) -> DataFrame:
+    """Parquet, ORC, JSON or csv by suffix. A csv with a ``schema`` is scanned once; without one its types are inferred in a
+    scan of its own, but its ``texts`` stay text. ``columns`` prunes the scan. Pickles are no Spark source: convert them once with ``import_pickle``."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind in ("parquet", "orc", "json"):
         df = spark.read.format(kind).load(path)
     elif kind in ("csv", "txt"):
         head = spark.read.option("header", True)
-        raw = head.csv(path)
-        guess = head.option("inferSchema", True).csv(path)
-        schema = ", ".join(f"`{f.name}` {'string' if f.name in texts else f.dataType.simpleString()}" for f in guess.schema)
-        df = spark.read.option("header", True).schema(schema).csv(path) if raw.columns else raw
+        if schema is None:
+            guess = head.option("inferSchema", True).csv(path)
+            schema = ", ".join(f"`{f.name}` {'string' if f.name in texts else f.dataType.simpleString()}" for f in guess.schema)
+        df = head.schema(schema).csv(path) if schema else head.csv(path)
     else:
         raise ValueError(f"can't read a table from {path!r}")
     if columns is not None:
@@ -57,24 +56,29 @@ def read_matrix(spark: SparkSession, path: str, value: str = "value") -> DataFra
 
 
 def read_dated(spark: SparkSession, manifest: DataFrame, root: str, start: str | None = None, end: str | None = None, numeric: Sequence[str] = ()) -> DataFrame:
-    """The csv partitions that a manifest (date, file_path) lists between two dates, in one scan; each may hold its own date only."""
-    days = manifest.select(parsed_date(F.col("date")).alias("date"), "file_path")
-    assert_unique(days, ["date"], "the manifest")
+    """The csv partitions that a manifest (date, file_path) lists between two dates, in one scan; each may hold its own date only.
+
+    Paths are relative to ``root``. Rows are told apart by the whole relative path, in a join with the manifest. The driver gets the
+    list of paths, a row for each date; a row of another date than its partition's stops the query.
+    """
+    days = manifest.select(parsed_date(F.col("date")).alias("_date"), F.col("file_path").alias("_path"))
+    assert_unique(days, ["_date"], "the manifest")
     if start:
-        days = days.where(F.col("date") >= F.lit(start).cast("date"))
+        days = days.where(F.col("_date") >= F.lit(start).cast("date"))
     if end:
-        days = days.where(F.col("date") <= F.lit(end).cast("date"))
-    listed = days.collect()  # one row per date
+        days = days.where(F.col("_date") <= F.lit(end).cast("date"))
+    listed = days.collect()
     if not listed:
         raise ValueError("the manifest lists no partition in the range")
-    paths = [f"{root.rstrip('/')}/{r['file_path']}" for r in listed]
-    df = spark.read.option("header", True).csv(paths).withColumn("_file", F.input_file_name())
+    base = root.rstrip("/")
+    df = spark.read.option("header", True).csv([f"{base}/{r['_path']}" for r in listed])
     at = "trade_date" if "trade_date" in df.columns else "date"
-    df = df.withColumn("date", parsed_date(F.col(at)))
-    own = F.create_map(*[F.lit(x) for r in listed for x in (r["file_path"].rsplit("/", 1)[-1], r["date"])])
-    name = F.element_at(F.split("_file", "/"), -1)
-    assert_all(df, F.col("date") == F.try_element_at(own, name), "a partition holds rows of another date")
-    return df.withColumns({c: finite(F.col(c)) for c in numeric}).drop("_file")
+    # the path of a row ends with /root/relative; the name that Spark gives may have a scheme and escapes
+    name = F.try_url_decode(F.regexp_replace(F.input_file_name(), r"\+", "%2B"))
+    df = df.withColumn("_path", F.substring_index(name, f"{base.split('://', 1)[-1].rstrip('/')}/", -1)).withColumn("date", parsed_date(F.col(at)))
+    own = spark.createDataFrame(listed, days.schema)
+    joined = passing(df.join(own, "_path", "left"), F.col("date") == F.col("_date"), "a partition holds rows of another date", ["_path", "date"])
+    return joined.withColumns({c: finite(F.col(c)) for c in numeric}).drop("_path", "_date")
 
 
 def select_universe(df: DataFrame, universe: DataFrame | None) -> DataFrame:
@@ -171,35 +175,13 @@ def static_metadata(stocks: DataFrame, industry: DataFrame, boards: DataFrame |
 
 
 def read_gbk_table(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
-    """A tab-separated GBK text without header. Spark takes that charset only with its legacy switch, which stays set in the session."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return spark.read.option("sep", "\t").option("encoding", "gbk").schema(", ".join(f"{n} string" for n in names)).csv(path)
-
-
-class MarketStore(Protocol):
-    """What a connector to a market data store has to offer, as frames of all stocks."""
-
-    def trading_days(self, exchange: str) -> DataFrame: ...
-
-    def factors(self, adjustment: str) -> DataFrame: ...
+    """A tab-separated GBK text without header. Lines are cut as bytes, as no byte of a GBK letter is a tab or a line end, and decoded by executors."""
 
-    def stocks(self) -> DataFrame: ...
-
-
-class TableStore:
-    """A market store over tables: calendar (date, is_open), factors (date, stock_code, factor), stocks."""
-
-    def __init__(self, calendar: DataFrame, factors: DataFrame, stocks: DataFrame):
-        self._calendar, self._factors, self._stocks = calendar, factors, stocks
-
-    def trading_days(self, exchange: str = "SSE") -> DataFrame:
-        flag = F.lower(F.col("is_open").cast("string"))
-        return self._calendar.where(flag.isin("1", "true", "是", "交易")).select(parsed_date(F.col("date")).alias("date")).distinct()
-
-    def factors(self, adjustment: str = "hfq") -> DataFrame:
-        return self._factors
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [line.decode("gbk", "replace").split("\t") for line in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] if i < len(r) and r[i] != "" else None for r in rows], pa.string()) for i in range(len(names))], names=list(names))
 
-    def stocks(self) -> DataFrame:
-        """First row of each code, in the order of the listing status."""
-        w = Window.partitionBy("stock_code").orderBy("source_order")
-        return self._stocks.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    # the text source hands on a line's bytes as they are
+    lines = spark.read.text(path).where("value <> ''").select(F.col("value").cast("binary").alias("line"))
+    return lines.mapInArrow(decoded, ", ".join(f"`{n}` string" for n in names))
