@@ -1,61 +1,88 @@
-"""Sinks: csv with ISO dates, dated datasets, bundles of tables with a manifest."""
+"""Sinks: tables in key order, csv with ISO dates, dated datasets, digests of what was written. Bundles are in ``bundles``."""
 
 from __future__ import annotations
 
 import hashlib
-import json
 import zipfile
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from pathlib import Path
-from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.membership import date_counts
 
+LANES = 8  # of 32 bits, of a row's sha256
+
 
 def iso_dates(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c, t in df.dtypes if t in ("date", "timestamp")})
 
 
-def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """Dates as ISO text. ``one_file`` is meant for summaries only."""
+def in_key_order(df: DataFrame, keys: Sequence[str], files: int | None = None) -> DataFrame:
+    """``df`` dealt by ranges of ``keys`` and sorted, so that what a writer makes of it is in key order when files are read by name.
+
+    Nulls come first. Rows of equal keys lie in one file, in the order of their other columns (but for maps, which have none), so the order is
+    the same however the rows came. ``files`` is a wish: without it Spark chooses.
+    """
+    ranges = [F.col(f"`{k}`").asc_nulls_first() for k in keys]
+    dealt = df.repartitionByRange(files, *ranges) if files else df.repartitionByRange(*ranges)
+    rest = [c for c, t in df.dtypes if c not in keys and not t.startswith("map") and "map<" not in t]
+    return dealt.sortWithinPartitions(*ranges, *[F.col(f"`{c}`").asc_nulls_first() for c in rest])
+
+
+def write_sorted(df: DataFrame, path: str, keys: Sequence[str], kind: str = "parquet", files: int | None = None, options: Mapping[str, str] | None = None) -> None:
+    """``in_key_order`` as files of one ``kind``; the names' order is the keys' order."""
+    in_key_order(df, keys, files).write.mode("overwrite").options(**dict(options or {})).format(kind).save(path)
+
+
+def write_csv(df: DataFrame, path: str, one_file: bool = False, keys: Sequence[str] | None = None) -> None:
+    """Dates as ISO text; with ``keys`` in their order. ``one_file`` is meant for summaries only."""
     out = iso_dates(df)
+    if keys is not None:
+        out = in_key_order(out, keys, 1 if one_file else None)
     (out.coalesce(1) if one_file else out).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_dated(df: DataFrame, path: str) -> None:
-    """Parquet partitioned by date, each date in one file, and an index of rows, stocks and missing values beside it."""
-    df.repartition("date").write.mode("overwrite").partitionBy("date").parquet(f"{path}/data")
-    date_counts(df, [c for c in df.columns if c not in ("date", "stock_code")]).write.mode("overwrite").parquet(f"{path}/index")
+    """Parquet partitioned by date, each date in one file sorted by stock, and an index of rows, stocks and missing values beside it in the order of dates."""
+    df.repartition("date").sortWithinPartitions("date", "stock_code").write.mode("overwrite").partitionBy("date").parquet(f"{path}/data")
+    counts = date_counts(df, [c for c in df.columns if c not in ("date", "stock_code")])
+    write_sorted(counts, f"{path}/index", ["date"], files=1)  # a row per date
 
 
-def write_bundle(spark: SparkSession, tables: Mapping[str, DataFrame], path: str, summary: Mapping[str, Any] | None = None) -> dict[str, Any]:
-    """Each table as Parquet below ``path``, with row counts read back from what was written, and the manifest as a JSON text file."""
-    rows = {}
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        rows[name] = {"rows": spark.read.parquet(f"{path}/{name}").count(), "columns": df.columns, "path": name}
-    manifest = {"tables": rows, "summary": dict(summary or {})}
-    text = json.dumps(manifest, ensure_ascii=False, default=str, sort_keys=True)
-    spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
-    return manifest
+def row_digest(df: DataFrame) -> Column:
+    """sha256 of a row as JSON, with its nulls and in the order of its columns' names."""
+    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
 
 
-def sha256_of(path: str | Path) -> str:
-    """Of a local file, in blocks."""
-    digest = hashlib.sha256()
-    with open(path, "rb") as f:
-        while block := f.read(1 << 20):
-            digest.update(block)
-    return digest.hexdigest()
+def table_digest(df: DataFrame) -> DataFrame:
+    """One row: ``rows`` and ``digest``. Rows are hashed where they lie and their hashes added up lane by lane, so neither their order nor
+    their partitions matter, while a row that is missing, changed or there once more does."""
+    lanes = [F.sum(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")) for i in range(LANES)]
+    sums = df.select(row_digest(df).alias("_h")).agg(F.count("*").alias("rows"), *[F.coalesce(s, F.lit(0)).alias(f"_l{i}") for i, s in enumerate(lanes)])
+    text = F.concat_ws(",", F.col("rows").cast("string"), *[F.col(f"_l{i}").cast("string") for i in range(LANES)])
+    return sums.select("rows", F.sha2(text, 256).alias("digest"))
+
+
+def folded(digests: Mapping[str, str]) -> str:
+    """One digest of named ones, in the order of names."""
+    return hashlib.sha256("\n".join(f"{name} {digests[name]}" for name in sorted(digests)).encode()).hexdigest()
 
 
 def zip_folder(folder: str | Path, archive: str | Path) -> None:
-    """A local folder as a zip archive with relative names."""
+    """A local folder as a zip archive with relative names: for a finished bundle that is to be handed on, on one machine."""
     base = Path(folder)
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(base.rglob("*")):
             if p.is_file() and not p.name.startswith((".", "_")):
                 z.write(p, f"{base.name}/{p.relative_to(base)}")
+
+
+def sha256_of(path: str | Path) -> str:
+    """Of a local file, in blocks."""
+    digest = hashlib.sha256()
+    with open(path, "rb") as f:
+        while block := f.read(1 << 20):
+            digest.update(block)
+    return digest.hexdigest()

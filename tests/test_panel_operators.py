@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import checks, keys
 from panelforge.operators import evaluate, membership, model, nav, neutralize, panel, periods, quality, returns, xsection
-from panelforge.sources import readers, writers
+from panelforge.sources import bundles, readers, writers
 
 D = [dt.date(2024, 1, d) for d in (2, 3, 4, 5, 8, 9, 10, 11)]
 CODES = ["000001", "000002", "600003", "600004"]
@@ -552,8 +552,8 @@ def test_tables_matrices_and_bundles(spark, tmp_path):
         readers.read_table(spark, "x.pkl")
     (tmp_path / "m.csv").write_text("date,000001,000002\n2024-01-02,0.5,\n2024-01-03,,0.25\n")
     assert {tuple(r) for r in readers.read_matrix(spark, str(tmp_path / "m.csv")).select("date", "stock_code", "value").collect()} == {(D[0], "000001", 0.5), (D[1], "000002", 0.25)}
-    manifest = writers.write_bundle(spark, {"a": df}, str(tmp_path / "bundle"), {"k": 1})
-    assert manifest["tables"]["a"]["rows"] == 2
+    manifest = bundles.write_bundle(spark, "daily_dataset", {"panel": df}, str(tmp_path / "bundle"), {"k": 1})
+    assert manifest["tables"]["panel"]["rows"] == 2
     writers.write_dated(df, str(tmp_path / "dated"))
     assert spark.read.parquet(str(tmp_path / "dated/index")).count() == 2
     writers.zip_folder(tmp_path / "bundle", tmp_path / "b.zip")
