@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .quantiles import quantile_name
+
 YEAR = 252  # trading days
 TINY = 1e-12
 
@@ -46,7 +48,11 @@ def positive_rate(x: Column) -> Column:
 QUANTILES = (0.001, 0.005, 0.01, 0.025, 0.05, 0.25, 0.5, 0.75, 0.95, 0.975, 0.99, 0.995, 0.999)
 
 
+def moments(x: Column) -> list[Column]:
+    """count, mean, std, min and max."""
+    return [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
+
+
 def distribution(x: Column, quantiles: tuple[float, ...] = QUANTILES) -> list[Column]:
-    """count, mean, std, min, max and exact quantiles p0_1, p0_5, ..."""
-    named = [F.percentile(x, F.lit(q)).alias("p" + f"{q * 100:g}".replace(".", "_")) for q in quantiles]
-    return [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), *named]
+    """``moments`` and exact quantiles p0_1, p0_5, ... of groups of bounded size, such as a date's stocks; ``quantiles`` has those of whole columns."""
+    return [*moments(x), *[F.percentile(x, F.lit(q)).alias(quantile_name(q)) for q in quantiles]]

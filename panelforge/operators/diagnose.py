@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import finite
+from ..functions.quantiles import exact_quantiles
 from ..functions.stats import TINY
 from .nav import SERIES, net_asset_value, summarize_buckets
 
@@ -57,7 +58,9 @@ def series_z(df: DataFrame, value: str, by: Sequence[str] = ("stock_code",)) ->
 def series_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """count, mean, min, median, p95, p99 and max of each column: one row per column."""
     long = df.unpivot([], list(columns), "column", "v").withColumn("v", finite(F.col("v")))
-    return long.groupBy("column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.median("v").alias("median"), F.percentile("v", F.lit(0.95)).alias("p95"), F.percentile("v", F.lit(0.99)).alias("p99"), F.max("v").alias("max"))
+    ranks = exact_quantiles(long, "column", "v", (0.5, 0.95, 0.99)).select("column", F.col("p50").alias("median"), "p95", "p99")
+    own = long.groupBy("column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
+    return own.join(ranks, "column", "left").select("column", "count", "mean", "min", "median", "p95", "p99", "max")
 
 
 def trading_days_between(spans: DataFrame, calendar: DataFrame, start: str = "start", end: str = "end") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,17 +131,71 @@ def summarize_roles(summary: DataFrame) -> DataFrame:
     return summary.groupBy("role").agg(F.count("*").cast("int").alias("feature_count"), F.sum("mean_gain_share").alias("gain_share"), top["feature"].alias("top_feature"))
 
 
+#: Columns of a panel that evaluations look for, in this order.
+CONTEXT = ("industry", "board", "index_bucket", "size_decile", "mcap_rank", "log_mcap", "market_cap", "logADV20", "turnover20")
+GROUPS = ("industry", "board", "index_bucket", "size_decile", "mcap_tercile", "adv_tercile", "turnover_tercile")
+CONDITIONS = {"mcap_tercile": ("mcap_rank", "log_mcap", "market_cap"), "adv_tercile": ("logADV20",), "turnover_tercile": ("turnover20",)}
+CHECKED = ("y_rank_label", "y_resid_fwd", "sample_weight")
+
+
+@dataclass(frozen=True)
+class Dimensions:
+    """What an evaluation can use of its inputs."""
+
+    context: tuple[str, ...]
+    conditions: dict[str, str]
+    groups: tuple[str, ...]
+    checked: tuple[str, ...]
+
+
+def discovered(predictions: DataFrame, panel: DataFrame, target: str, spread_target: str | None = None) -> Dimensions:
+    """Context columns that the panel has, conditions that can be formed of them, groups that hold any value, and columns that both have.
+
+    One aggregation over the panel counts the values of all candidates; a condition holds a value wherever its source does.
+    """
+    context = tuple(c for c in CONTEXT if c in panel.columns)
+    conditions = {out: next(s for s in sources if s in context) for out, sources in CONDITIONS.items() if set(sources) & set(context)}
+    both = dict.fromkeys((target, spread_target or target, *CHECKED))
+    checked = tuple(c for c in both if c in panel.columns and c in predictions.columns)
+    if not context:
+        return Dimensions((), {}, (), checked)
+    numbers = {s for sources in CONDITIONS.values() for s in sources}
+    held = panel.agg(*[F.count(finite(F.col(c)) if c in numbers else F.col(c)).alias(c) for c in context]).first()
+    groups = tuple(g for g in GROUPS if held[conditions.get(g, g)] if conditions.get(g, g) in context)
+    return Dimensions(context, conditions, groups, checked)
+
+
+def evaluate_discovered(predictions: DataFrame, panel: DataFrame, scores: Sequence[str], target: str, quantiles: int = 10, buckets: int = 3, least: int = 2) -> dict[str, DataFrame]:
+    """``evaluate_predictions`` by whatever dimensions the panel offers; columns that predictions have too must agree with the panel's."""
+    d = discovered(predictions, panel, target)
+    plain = [c for c in d.context if c not in predictions.columns]
+    frame = add_condition_buckets(evaluation_frame(predictions, panel, plain, d.checked), d.conditions, buckets)
+    return _tables(frame, scores, target, d.groups, quantiles, least)
+
+
+def prediction_metrics(frame: DataFrame, scores: Sequence[str], target: str) -> DataFrame:
+    """Per fold, split and score: dates with a coefficient, and mean and deviation of both kinds over the dates that have them."""
+    ic = daily_ic(frame, scores, target)
+    a, b = F.col("ic"), F.col("rank_ic")
+    return ic.groupBy("fold_id", "split", "score_col").agg(F.count(a).alias("date_count"), F.avg(a).alias("mean_ic"), F.stddev_pop(a).alias("std_ic"), F.avg(b).alias("mean_rankic"), F.stddev_pop(b).alias("std_rankic"))
+
+
 def evaluate_predictions(predictions: DataFrame, panel: DataFrame, scores: Sequence[str], target: str, context: Sequence[str], conditions: Mapping[str, str], quantiles: int = 10, least: int = 2) -> dict[str, DataFrame]:
     """All evaluation tables of the scores."""
     frame = add_condition_buckets(evaluation_frame(predictions, panel, context), conditions)
+    return _tables(frame, scores, target, [c for c in (*context, *conditions) if c not in conditions.values()], quantiles, least)
+
+
+def _tables(frame: DataFrame, scores: Sequence[str], target: str, dimensions: Sequence[str], quantiles: int, least: int) -> dict[str, DataFrame]:
     ic, spread = daily_ic(frame, scores, target), top_bottom_spread(frame, scores, target, quantiles)
-    groups = group_ic(frame, scores, target, [c for c in (*context, *conditions) if c not in conditions.values()], least)
-    return {
+    tables = {
         "frame": frame,
         "daily_ic": ic,
         "ic_summary": summarize_ic(ic),
         "spread_by_date": spread,
         "spread_summary": summarize_spread(spread),
-        "group_ic": groups,
-        "group_ic_summary": summarize_ic(groups, ("fold_id", "split", "score_col", "dimension", "group")),
     }
+    if dimensions:
+        groups = group_ic(frame, scores, target, dimensions, least)
+        tables |= {"group_ic": groups, "group_ic_summary": summarize_ic(groups, ("fold_id", "split", "score_col", "dimension", "group"))}
+    return tables

@@ -271,6 +271,24 @@ def split_summary(panel: DataFrame, folds: DataFrame) -> DataFrame:
     return df.groupBy("fold_id", "split").agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.countDistinct("date").alias("date_count"), F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count"), F.max("stocks").alias("max_stocks"), F.sum("weight").alias("weight_sum"))
 
 
+def run_summary(panel: DataFrame, folds: DataFrame, features: Sequence[str] = ()) -> DataFrame:
+    """What a build holds, by fold and split, by fold, and in all, from one scan: rows, dates, stocks, range of dates, weight, and missing ``features``.
+
+    ``level`` is split, fold or all; the last covers every row of the panel once, in folds or not.
+    """
+    spans = folds.groupBy("date").agg(F.collect_list(F.struct("fold_id", "split")).alias("_in"))  # a fold holds a date once
+    own = F.concat(F.array(F.struct(F.lit(None).cast(folds.schema["fold_id"].dataType).alias("fold_id"), F.lit(None).cast("string").alias("split"))), F.coalesce("_in", F.array().cast(spans.schema["_in"].dataType)))
+    rows = panel.select("date", "stock_code", "sample_weight", *features).join(spans, "date", "left").select("*", F.explode(own).alias("_f")).select("*", "_f.*").drop("_f", "_in")
+    missing = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"missing_{c}") for c in features]
+    out = rows.groupingSets([["fold_id", "split"], ["fold_id"]], "fold_id", "split").agg(
+        F.grouping("split").alias("_g"), F.count("*").alias("row_count"), F.countDistinct("date").alias("date_count"), F.countDistinct("stock_code").alias("stock_count"),
+        F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.sum("sample_weight").alias("weight_sum"), *missing,
+    )
+    # the rows without a fold are the panel itself, once
+    kept = out.where(F.col("fold_id").isNotNull() | (F.col("_g") == 0))
+    return kept.select(F.when(F.col("fold_id").isNull(), "all").when(F.col("_g") == 1, "fold").otherwise("split").alias("level"), *[c for c in out.columns if c != "_g"])
+
+
 def assert_fold_order(folds: DataFrame) -> None:
     """Every fold has all splits, and they follow one another in time."""
     edge = lambda f, s: f(F.when(F.col("split") == s, F.col("date")))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import finite
-from ..functions.stats import distribution
+from ..functions.quantiles import exact_quantiles
+from ..functions.stats import QUANTILES, distribution, moments
 
 PROFILE_QUANTILES = (0.001, 0.01, 0.05, 0.5, 0.95, 0.99, 0.999)
 
@@ -19,14 +22,16 @@ def profile(returns: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     x = finite(F.col("value"))
     a = F.abs(x)
     named = {"over_20pct": a > 0.2, "over_50pct": a > 0.5, "over_100pct": a > 1.0, "above_10pct": x > 0.1, "below_minus_10pct": x < -0.1, "zero": x == 0, "positive": x > 0, "negative": x < 0}
-    return returns.agg(
+    counts = returns.agg(
         F.countDistinct("date").alias("dates"),
         F.countDistinct("stock_code").alias("stocks"),
         F.count("*").alias("cells"),
         F.count_if(x.isNull()).alias("missing"),
-        *distribution(x, PROFILE_QUANTILES),
+        *moments(x),
         *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in named.items()],
     )
+    ranks = exact_quantiles(returns.select(F.lit(1).alias("_one"), x.alias("_x")), "_one", "_x", PROFILE_QUANTILES)
+    return counts.withColumn("_one", F.lit(1)).join(ranks, "_one", "left").drop("_one")  # one row each
 
 
 def coverage(returns: DataFrame, by: str) -> DataFrame:
@@ -62,7 +67,7 @@ def malformed_codes(codes: DataFrame) -> DataFrame:
 def distribution_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distribution of each column: one row per column."""
     long = df.unpivot([], columns, "column", "v").withColumn("v", finite(F.col("v")))
-    return long.groupBy("column").agg(*distribution(F.col("v")))
+    return long.groupBy("column").agg(*moments(F.col("v"))).join(exact_quantiles(long, "column", "v", QUANTILES), "column", "left")
 
 
 def daily_distribution(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -88,7 +93,9 @@ def horizon_errors(returns: DataFrame, closes: DataFrame, longest: int = 30, sam
     error = F.abs(F.try_divide(F.col("_later"), F.col("_close")) - 1 - F.col("value"))
     e = both.select((F.col("_h") + 1).alias("horizon"), error.alias("e")).where("e is not null")
     hit = F.count_if(F.col("e") < basis)
-    return e.groupBy("horizon").agg(F.count("*").alias("n"), F.median("e").alias("median_error"), F.percentile("e", F.lit(0.9)).alias("p90_error"), F.percentile("e", F.lit(0.99)).alias("p99_error"), hit.alias("within_basis"), (hit / F.count("*")).alias("within_basis_rate"))
+    counts = e.groupBy("horizon").agg(F.count("*").alias("n"), hit.alias("within_basis"), (hit / F.count("*")).alias("within_basis_rate"))
+    ranks = exact_quantiles(e, "horizon", "e", (0.5, 0.9, 0.99)).select("horizon", *[F.col(p).alias(f"{n}_error") for p, n in (("p50", "median"), ("p90", "p90"), ("p99", "p99"))])
+    return counts.join(ranks, "horizon")
 
 
 def best_horizon(errors: DataFrame) -> DataFrame:
@@ -191,3 +198,15 @@ def classify_extremes(evidence: DataFrame) -> DataFrame:
 def cause_counts(classified: DataFrame) -> DataFrame:
     a = F.abs(F.col("return_y"))
     return classified.groupBy("primary_cause", "severity").agg(F.count("*").alias("cases"), F.avg(a).alias("mean_abs"), F.median(a).alias("median_abs"), F.max(a).alias("max_abs"))
+
+
+def level_stats(df: DataFrame, columns: Sequence[str], thresholds: Sequence[float] = (0.1, 0.2, 0.5)) -> DataFrame:
+    """Counts, moments, range and threshold counts of each column by date, by stock and over all rows, from one scan.
+
+    ``level`` is date, stock or all; the keys that a level sums over are null.
+    """
+    x = {c: finite(F.col(f"`{c}`")) for c in columns}
+    aggs = [a for c, v in x.items() for a in (*[m.alias(f"{c}_{n}") for m, n in zip(moments(v), ("count", "mean", "std", "min", "max"), strict=True)], *[F.count_if(F.abs(v) > t).alias(f"{c}_abs_gt_{t * 100:g}pct") for t in thresholds])]
+    grouped = df.groupingSets([["date"], ["stock_code"], []], "date", "stock_code").agg(F.grouping_id().alias("_g"), *aggs)
+    level = F.when(F.col("_g") == 1, "date").when(F.col("_g") == 2, "stock").otherwise("all")
+    return grouped.select(level.alias("level"), "date", "stock_code", *[f"`{c}_{n}`" for c in columns for n in ("count", "mean", "std", "min", "max", *[f"abs_gt_{t * 100:g}pct" for t in thresholds])])
