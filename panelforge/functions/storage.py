@@ -3,20 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, written once below ``spark.checkpoint.dir`` and read from there.
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """Spark's checkpoint folder, from ``spark.checkpoint.dir``.
 
     Only where that setting is absent and Spark runs on one machine (tests) is a temporary folder used.
     """
-    spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="panelforge-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, written once below the checkpoint folder and read from there."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the checkpoint folder, for files that driver and executors both see."""
+    return f"{_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

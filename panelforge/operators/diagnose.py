@@ -82,6 +82,8 @@ def trading_days_between(spans: DataFrame, calendar: DataFrame, start: str = "st
 def one_hot_summary(matrix: DataFrame) -> DataFrame:
     """Rows set in each one-hot column."""
     columns = [c for c in matrix.columns if "__" in c]
+    if not columns:
+        return matrix.sparkSession.createDataFrame([], "column string, rows_set long, dates long")
     long = matrix.unpivot(["date"], columns, "column", "v")
     return long.groupBy("column").agg(F.sum("v").cast("long").alias("rows_set"), F.countDistinct(F.when(F.col("v") == 1, F.col("date"))).alias("dates"))
 

@@ -161,7 +161,7 @@ def discovered(predictions: DataFrame, panel: DataFrame, target: str, spread_tar
         return Dimensions((), {}, (), checked)
     numbers = {s for sources in CONDITIONS.values() for s in sources}
     held = panel.agg(*[F.count(finite(F.col(c)) if c in numbers else F.col(c)).alias(c) for c in context]).first()
-    groups = tuple(g for g in GROUPS if held[conditions.get(g, g)] if conditions.get(g, g) in context)
+    groups = tuple(g for g in GROUPS if conditions.get(g, g) in context and held[conditions.get(g, g)])
     return Dimensions(context, conditions, groups, checked)
 
 

@@ -59,7 +59,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import score_queries, table_queries  # noqa: F401  they register themselves
+    from . import io_queries, score_queries, table_queries  # noqa: F401  they register themselves
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import diagnose, evaluate, nav, neutralize, panel, periods, xsection
+from ..operators import diagnose, evaluate, nav, neutralize, panel, periods, quality, xsection
 from . import market
 from .registry import query
 
@@ -287,6 +287,41 @@ def group_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.group_ic(df, ["pred_a"], "value", ["board", "volume_bucket"], 5)
 
 
+DISCOVERED = """
+held AS (
+  SELECT p.fold_id, p.split, p.date, p.stock_code, c.industry, c.board, p.pred_a, p.pred_b, r.value, CASE WHEN n >= 2 THEN CASE WHEN n >= 3 THEN (['low', 'mid', 'high'])[CAST(k AS INT)] ELSE printf('q%d', CAST(k AS INT)) END END AS mcap_tercile FROM (
+    SELECT *, greatest(ceil((rn - 1) * least(3, n) / nullif(n - 1, 0)), 1) AS k FROM (
+      SELECT p.*, count(*) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY market_cap, stock_code, fold_id, split) AS rn FROM predictions p JOIN panel USING (date, stock_code))) p
+  JOIN panel c USING (date, stock_code) LEFT JOIN returns r USING (date, stock_code))"""
+
+
+@query(
+    f"""SELECT * FROM (SELECT fold_id, split, date, 'pred_a' AS score_col, dimension, grp AS "group", count(*) AS n_obs, {_corr("pred_a", "value")} AS ic, {_corr("rs", "rt")} AS rank_ic FROM (
+      SELECT *, rank() OVER (PARTITION BY fold_id, split, date, dimension, grp ORDER BY pred_a) + (count(*) OVER (PARTITION BY fold_id, split, date, dimension, grp, pred_a) - 1) / 2.0 AS rs,
+        rank() OVER (PARTITION BY fold_id, split, date, dimension, grp ORDER BY value) + (count(*) OVER (PARTITION BY fold_id, split, date, dimension, grp, value) - 1) / 2.0 AS rt FROM (
+          SELECT fold_id, split, date, stock_code, pred_a, value, unnest(['industry', 'board', 'mcap_tercile']) AS dimension, unnest([industry, board, mcap_tercile]) AS grp FROM held) WHERE grp IS NOT NULL AND value IS NOT NULL AND pred_a IS NOT NULL)
+      GROUP BY ALL) WHERE n_obs >= 2 AND (ic IS NOT NULL OR rank_ic IS NOT NULL)""",
+    "ic rank_ic",
+    DISCOVERED,
+)
+def discovered_group_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group coefficients by the dimensions that the panel turns out to have; a column without values makes none."""
+    p, r, pred = _market(spark, sf_dir)
+    held = p.select("date", "stock_code", "industry", "board", "market_cap", F.lit(None).cast("double").alias("turnover20")).join(r, ["date", "stock_code"], "left")
+    with_target = pred.join(r, ["date", "stock_code"], "left")
+    return evaluate.evaluate_discovered(with_target, held.drop("value"), ["pred_a"], "value")["group_ic"]
+
+
+@query(
+    f"SELECT fold_id, split, score_col, count(ic) AS date_count, avg(ic) AS mean_ic, stddev_pop(ic) AS std_ic, avg(rank_ic) AS mean_rankic, stddev_pop(rank_ic) AS std_rankic FROM ic GROUP BY ALL",
+    "mean_ic std_ic mean_rankic std_rankic",
+    IC,
+    6,
+)
+def prediction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.prediction_metrics(_frame(spark, sf_dir), SCORES, "value")
+
+
 GAINS = """
 gains AS (
   SELECT CAST(s_nationkey % 4 AS BIGINT) AS fold_id, n_name AS feature, CAST(greatest(sum(CAST(s_acctbal AS DECIMAL(18,2))), 0) AS DOUBLE) AS importance_gain, CAST(count(*) AS DOUBLE) AS importance_split
@@ -491,6 +526,25 @@ def neutralization_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.drop("max_abs_industry_mean_after", "max_abs_board_mean_after", "max_abs_continuous_exposure_after")
 
 
+def _levels(columns: dict[str, str]) -> str:
+    stats = lambda c, x: f"count({x}) AS {c}_count, avg({x}) AS {c}_mean, stddev_pop({x}) AS {c}_std, min({x}) AS {c}_min, max({x}) AS {c}_max, " + ", ".join(f"count(*) FILTER (abs({x}) > {t / 100}) AS {c}_abs_gt_{t}pct" for t in (10, 20, 50))
+    return ", ".join(stats(c, x) for c, x in columns.items())
+
+
+@query(
+    f"""SELECT CASE WHEN grouping(r.date) = 0 THEN 'date' WHEN grouping(r.stock_code) = 0 THEN 'stock' ELSE 'all' END AS level, r.date, r.stock_code, {_levels({"raw": "r.value", "residual": "e"})}
+    FROM returns r LEFT JOIN (SELECT date, stock_code, e FROM solved) s ON s.date = r.date AND s.stock_code = r.stock_code WHERE r.value IS NOT NULL GROUP BY GROUPING SETS ((r.date), (r.stock_code), ())""",
+    "raw_mean raw_std raw_min raw_max residual_mean residual_std residual_min residual_max",
+    WITHIN_INDUSTRY,
+    6,
+)
+def neutralization_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels before and after neutralisation by date, by stock and in all."""
+    p, r, _ = _market(spark, sf_dir)
+    residual = neutralize.neutralize(r, p, replace(neutralize.EXACT, flags=()))
+    return quality.level_stats(residual.select("date", "stock_code", F.col("y").alias("raw"), "residual"), ["raw", "residual"])
+
+
 @query(
     f"""SELECT 'alpha' AS score_col, count(r2) AS date_count, avg(r2) AS mean_r2, median(r2) AS median_r2, quantile_cont(r2, 0.9) AS p90_r2, avg(1 - (1 - r2) * (n - 1) / (n - k)) AS mean_adj_r2 FROM (
       SELECT date, n, k, 1 - e2 / t2 AS r2 FROM (SELECT date, any_value(n) AS n, any_value(k) AS k, sum((yc - b * xc) ** 2) AS e2, any_value(vt) * any_value(n) AS t2 FROM alpha_centred JOIN alpha_slopes USING (date) GROUP BY date) WHERE t2 > 1e-12 AND n > k)""",

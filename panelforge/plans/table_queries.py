@@ -91,6 +91,25 @@ def alpha_feature_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alpha_panel(spark, sf_dir).select("date", "stock_code", "alpha_signal_rank", "alpha_signal_z", "turnover_rank", "turnover_z", "log_mcap_z", "mcap_rank", "size_decile", "index_bucket", "y_raw_fwd", "y_raw_rank_label", "sample_weight")
 
 
+@query(
+    """SELECT CASE WHEN fold_id IS NULL THEN 'all' WHEN grouping(split) = 1 THEN 'fold' ELSE 'split' END AS level, coalesce(fold_id, 0) AS fold_id, coalesce(split, '') AS split, count(*) AS row_count, count(DISTINCT date) AS date_count, count(DISTINCT stock_code) AS stock_count,
+      min(date) AS start_date, max(date) AS end_date, sum(weight) AS weight_sum, count(*) FILTER (z IS NULL) AS missing_alpha_signal_z
+    FROM (SELECT fold_id, split, date, stock_code, weight, z FROM weighted JOIN folds USING (date)) GROUP BY GROUPING SETS ((fold_id, split), (fold_id))
+    UNION ALL SELECT 'all', 0, '', count(*), count(DISTINCT date), count(DISTINCT stock_code), min(date), max(date), sum(weight), count(*) FILTER (z IS NULL) FROM weighted""",
+    "weight_sum",
+    f"""{ALPHA},
+    universe AS (SELECT *, count(*) OVER (PARTITION BY date) AS n_date FROM turnover WHERE alpha > 0),
+    labelled AS (SELECT u.date, u.stock_code, u.alpha_signal_z AS z, n_date FROM universe u JOIN returns r USING (date, stock_code) WHERE r.value IS NOT NULL),
+    weighted AS (SELECT date, stock_code, z, (SELECT sum(n) FROM (SELECT any_value(n_date) AS n FROM labelled GROUP BY date)) / ((SELECT count(DISTINCT date) FROM labelled) * n_date) AS weight FROM labelled)""",
+    6,
+)
+def training_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a training panel holds by split, by fold and in all."""
+    built = _alpha_panel(spark, sf_dir)
+    told = panel.run_summary(built, panel.fold_assignments(built.select("date"), market.FOLDS), ["alpha_signal_z"])
+    return told.withColumns({"fold_id": F.coalesce("fold_id", F.lit(0)), "split": F.coalesce("split", F.lit(""))})
+
+
 @query(
     """SELECT fold_id, split, count(*) AS row_count, count(DISTINCT date) AS date_count, min(date) AS start_date, max(date) AS end_date, 0 AS without_prediction, 0 AS wrong_margins, true AS stopped_at_best
     FROM labelled JOIN folds USING (date) GROUP BY ALL""",

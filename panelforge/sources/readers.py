@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -73,9 +74,10 @@ def read_dated(spark: SparkSession, manifest: DataFrame, root: str, start: str |
     base = root.rstrip("/")
     df = spark.read.option("header", True).csv([f"{base}/{r['_path']}" for r in listed])
     at = "trade_date" if "trade_date" in df.columns else "date"
-    # the path of a row ends with /root/relative; the name that Spark gives may have a scheme and escapes
+    # the path of a row ends with /root/relative; the name that Spark gives may have a scheme, a host and escapes
+    below = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", base)
     name = F.try_url_decode(F.regexp_replace(F.input_file_name(), r"\+", "%2B"))
-    df = df.withColumn("_path", F.substring_index(name, f"{base.split('://', 1)[-1].rstrip('/')}/", -1)).withColumn("date", parsed_date(F.col(at)))
+    df = df.withColumn("_path", F.substring_index(name, f"{below}/", -1)).withColumn("date", parsed_date(F.col(at)))
     own = spark.createDataFrame(listed, days.schema)
     joined = passing(df.join(own, "_path", "left"), F.col("date") == F.col("_date"), "a partition holds rows of another date", ["_path", "date"])
     return joined.withColumns({c: finite(F.col(c)) for c in numeric}).drop("_path", "_date")
