@@ -1,15 +1,15 @@
 r"""Byte-level BPE encoding and decoding of whole texts.
 
 Encoding follows overlapping chunks. A text is cut into chunks of ``CHUNK`` characters, each with
-``OVERLAP`` more behind it. All chunks are pre-tokenised independently, a chunk's first cut being a
-guess. The pattern looks only ahead, so once two neighbours share one boundary inside their overlap,
-their boundaries agree from there on (and it looks behind a piece only to see whether white space ends): that place joins them. A chunk owns the pieces between the
-place where it joins its predecessor and the place where its successor joins it. Pieces are then
-merged by rank. Where neighbours share no boundary (a pre-token longer than the overlap), the later
-chunk is scanned again from the last safe place before it.
-
-Texts of one chunk need no stitching and are encoded where they are read; only longer ones are
-shuffled. Merging, within a piece, is tiktoken's.
+``OVERLAP`` more behind it. Every chunk is pre-tokenised and its pieces are encoded where the chunk lies, whichever task that
+is; its first cut is a guess. The pattern looks only ahead, so once two neighbours share one boundary inside their overlap,
+their boundaries agree from there on (and it looks behind a piece only to see whether white space ends): that place joins them. A chunk
+owns the pieces between the place where it joins its predecessor and the place where its successor joins it. Only packed ids and
+the boundaries in the overlaps travel on: a text's own parts are concatenated by chunk number. Where neighbours
+share no boundary (a pre-token longer than the overlap), the bytes that the ids stand for are pre-tokenised again from the
+last safe place before the later chunk.
+
+A text of one chunk has no neighbours, so its pieces are encoded where it is read and nothing of it is shuffled.
 """
 
 from __future__ import annotations
@@ -17,18 +17,20 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, small_batches
+from .common import shuffle_width, small_batches, trimmed
 
 CHUNK = 16_384
 OVERLAP = 512
+LOOKAHEAD = 8  # characters behind a piece that can change where it ends, at most (contractions have three)
 PIECES_KEPT = 120_000  # encoded pieces that a task remembers at most
 LONGEST_KEPT = 64  # characters; longer pieces are not remembered
 WIDTHS = {2: "H", 4: "I"}  # bytes of an id, as struct names them
@@ -59,10 +61,11 @@ class Encoder:
         self.seen: dict[str, bytes] = {}
         self.find = regex.compile(pattern).findall
 
-    def pack(self, pieces: list[str]) -> bytes:
+    def packed(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of each piece."""
         seen = self.seen
         try:
-            return b"".join([seen[p] for p in pieces])
+            return [seen[p] for p in pieces]
         except KeyError:
             pass
         if len(seen) > PIECES_KEPT:
@@ -76,91 +79,136 @@ class Encoder:
                 if len(p) <= LONGEST_KEPT:
                     seen[p] = got
             out.append(got)
-        return b"".join(out)
+        return out
 
-    def between(self, text: str, edges: list[int]) -> bytes:
-        """The pieces of ``text`` between the places ``edges``. Up to the last one that is no white space tiktoken finds
-        the same pieces again; how white space at an end is cut depends on what follows, so it goes piece by piece."""
-        k = len(edges) - 1
-        while k > 0 and text[edges[k - 1] : edges[k]].isspace():
-            k -= 1
-        return self.encode(text[edges[0] : edges[k]]) + self.pack([text[a:b] for a, b in zip(edges[k:], edges[k + 1 :], strict=False)])
+    def pieces(self, text: str) -> tuple[list[bytes], np.ndarray]:
+        """Packed ids of the pieces of ``text``, and the boundaries before, between and behind them."""
+        found = self.find(text)
+        return self.packed(found), np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
 
-    def lengths(self, text: str) -> np.ndarray:
-        return np.fromiter(map(len, self.find(text)), dtype=np.int64)
-
-    def encode(self, text: str) -> bytes:
-        """A text whose pieces are not known: they are found and merged in one pass of tiktoken."""
+    def whole(self, text: str) -> bytes:
+        """A text in one pass of tiktoken, which finds the same pieces."""
         return np.array(self.merge(text), f"<u{self.width}").tobytes()
 
 
-def _encode_rows(ranks_path: str, pattern: str, width: int):
+def _encode_rows(ranks_path: str, pattern: str, width: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(ranks_path, pattern, width)
+        encode = encoder.whole if whole else lambda text: b"".join(encoder.packed(encoder.find(text)))
         for batch in batches:
-            ids = pa.array([encoder.encode(t or "") for t in batch.column(1).to_pylist()], pa.binary())
+            ids = pa.array([encode(t or "") for t in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["row", "ids"])
 
-    return run
+    return trimmed(run)
 
 
-def _scan_chunks(pattern: str, chunk: int, overlap: int):
-    """Chunk rows to their own boundaries: a bit for each place, and the places in the overlap with the chunk before."""
+class Edges:
+    """Boundaries near an end of a chunk: places in the text, and how many bytes of packed ids lie before each."""
+
+    def __init__(self, places: np.ndarray, offsets: np.ndarray):
+        self.places, self.offsets = places, offsets
+
+    def told(self) -> list[int]:
+        return [*self.places.tolist(), *self.offsets.tolist()]
+
+    @classmethod
+    def read(cls, told: list[int]) -> "Edges":
+        half = np.array(told, np.int64).reshape(2, -1)
+        return cls(half[0], half[1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        for batch in batches:
-            bounds, heads = [], []
-            for k, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                cut = np.cumsum([0, *map(len, find(text))])
-                bits = np.zeros(len(text) + 1, np.uint8)
-                bits[cut] = 1
-                bounds.append(np.packbits(bits).tobytes())
-                heads.append((k * chunk + cut[cut < overlap]).tolist())
-            found = [pa.array(bounds, pa.binary()), pa.array(heads, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=["row", "chunk", "text", "bounds", "head"])
 
-    return run
+def _edges(base: int, packed: list[bytes], cut: np.ndarray, chunk: int, overlap: int) -> tuple[Edges, Edges]:
+    """A chunk's boundaries in the overlap with the chunk before, and those from the last one that lies before its successor on.
 
+    Places within ``LOOKAHEAD`` of the end are none, as what is behind the end may change the pieces there.
+    """
+    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)))])
+    head = cut < overlap
+    first = int(np.searchsorted(cut, chunk, side="right")) - 1
+    stop = max(1, int(np.searchsorted(cut, cut[-1] - LOOKAHEAD, side="right")))
+    tail = slice(min(first, stop - 1), stop)
+    return Edges(base + cut[head], offsets[head]), Edges(base + cut[tail], offsets[tail])
 
-def _encode_chunks(ranks_path: str, pattern: str, chunk: int, width: int):
-    """Chunks of a text in order, each with the next one's boundaries in their overlap, to packed ids."""
+
+def _encode_chunks(ranks_path: str, pattern: str, chunk: int, overlap: int, width: int):
+    """Chunk rows to their own packed ids and edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(ranks_path, pattern, width)
-        done: list[bytes] = []  # ids of the text so far
-        at, carry = 0, ""  # the place up to which the text is encoded, and the text from there to this chunk
+        for batch in batches:
+            ids, heads, tails = [], [], []
+            for k, text in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                packed, cut = encoder.pieces(text)
+                head, tail = _edges(k * chunk, packed, cut, chunk, overlap)
+                ids.append(b"".join(packed))
+                heads.append(head.told())
+                tails.append(tail.told())
+            found = [pa.array(ids, pa.binary()), *[pa.array(x, pa.list_(pa.int64())) for x in (heads, tails)]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), *found], names=["row", "chunk", "is_last", "ids", "head", "tail"])
+
+    return trimmed(run)
+
+
+class Stitcher:
+    """The chunks of one text after another: the ids that each owns, up to the place where the next one joins it."""
+
+    def __init__(self, encoder: Encoder, known: list[bytes], chunk: int, overlap: int):
+        self.encoder, self.known, self.chunk, self.overlap = encoder, known, chunk, overlap
+        self.done: list[bytes] = []
+        self.ids, self.tail, self.start, self.end = b"", None, 0, 0
+
+    def text(self, ids: bytes) -> str:
+        return b"".join([self.known[i] for i in np.frombuffer(ids, f"<u{self.encoder.width}").tolist()]).decode()
+
+    def add(self, k: int, ids: bytes, head: Edges, tail: Edges) -> None:
+        base, start = k * self.chunk, 0
+        if self.tail is None:
+            self.done = []
+        else:
+            _, mine, its = np.intersect1d(self.tail.places, head.places, return_indices=True)
+            if len(mine):
+                self.done.append(self.ids[self.start : self.tail.offsets[mine[0]]])
+                start = int(head.offsets[its[0]])
+            else:
+                # the text from the last safe place on, through this chunk, is cut into pieces again
+                safe, at = int(self.tail.places[-1]), max(self.start, int(self.tail.offsets[-1]))
+                self.done.append(self.ids[self.start : at])
+                before = self.text(self.ids[at:])
+                packed, cut = self.encoder.pieces(before + self.text(ids)[safe + len(before) - base :])
+                head, tail = _edges(safe, packed, cut, base + self.chunk - safe, 0)
+                ids = b"".join(packed)
+        self.ids, self.tail, self.start = ids, tail, start
+
+    def finish(self) -> bytes:
+        self.done.append(self.ids[self.start :])
+        self.tail = None
+        return b"".join(self.done)
+
+
+def _stitch_chunks(ranks_path: str, pattern: str, chunk: int, overlap: int, width: int):
+    """The encoded chunks of texts in order to whole packed ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stitcher = Stitcher(Encoder.of(ranks_path, pattern, width), known_bytes(ranks_path), chunk, overlap)
         for batch in batches:
             rows, out = [], []
-            for j, (k, text, bounds, ahead) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True)):
-                if k == 0:
-                    at, carry, done = 0, "", []
-                base = k * chunk
-                cut = base + np.flatnonzero(np.unpackbits(np.frombuffer(bounds, np.uint8)))
-                lo = int(np.searchsorted(cut, at))
-                if not carry and lo < len(cut) and cut[lo] == at:
-                    cut = cut[lo:]  # the chunk's own boundaries hold from here on
-                else:
-                    own = encoder.lengths(carry + text[max(0, at - base) :])
-                    cut = at + np.concatenate([[0], np.cumsum(own)])
-                whole, start = carry + text, base - len(carry)
-                if ahead is None:
-                    stop = len(cut) - 1
-                else:
-                    # the last piece may go on in the next chunk, so its end is no boundary
-                    joins = np.isin(cut[:-1], ahead).nonzero()[0]
-                    stop = int(joins[0]) if len(joins) else max(0, len(cut) - 2)
-                edges = (cut[: stop + 1] - start).tolist()
-                done.append(encoder.between(whole, edges))
-                at = int(cut[stop])
-                carry = whole[at - start : base + chunk - start] if at < base + chunk else ""
-                if ahead is None:
+            for j, (k, last, ids, head, tail) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 6)), strict=True)):
+                stitcher.add(k, ids, Edges.read(head), Edges.read(tail))
+                if last:
                     rows.append(j)
-                    out.append(b"".join(done))
-                    done = []
+                    out.append(stitcher.finish())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out, pa.binary())], names=["row", "ids"])
 
-    return run
+    return trimmed(run)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.make_valid_utf8(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    return docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("n")).alias("row"), text.alias("text"))
+
+
+def _told(rows: DataFrame, id_col: str, width: int) -> DataFrame:
+    return rows.select(F.col("row.id").alias(id_col), (F.octet_length("ids") / width).cast("long").alias("n_tokens"), "ids")
 
 
 def encode(
@@ -175,38 +223,50 @@ def encode(
 ) -> DataFrame:
     """Token ids of every text: ``id_col``, ``n_tokens`` long, ``ids`` binary (little-endian unsigned, ``width`` bytes each: 2 or 4).
 
-    A null text is empty; an empty one has no ids. Rows that repeat an id keep one result each; an
+    A null text is empty; an empty one has no ids; invalid UTF-8 is read as U+FFFD. Rows that repeat an id keep one result each; an
     empty table gives an empty result; other columns are ignored. ``ranks_path`` must be readable on
     the executors. Special tokens are not known: their strings are ordinary text.
     """
-    spark, text = small_batches(docs.sparkSession), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("n")).alias("row"), text.alias("text"))
+    spark, rows = small_batches(docs.sparkSession), _rows(docs, id_col, text_col)
     size = F.length("text")
     shape = rows.schema["row"].dataType.simpleString()
-    short = rows.where(size <= chunk).mapInArrow(_encode_rows(ranks_path, pattern, width), f"row {shape}, ids binary")
-    numbered = rows.where(size > chunk).select("row", "text", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int"))).alias("chunk"))
+    short = rows.where(size <= chunk).mapInArrow(_encode_rows(ranks_path, pattern, width, False), f"row {shape}, ids binary")
+    last = F.floor((size - 1) / chunk).cast("int")
+    numbered = rows.where(size > chunk).select("row", "text", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
     part = F.substring(F.col("text"), F.col("chunk") * chunk + 1, F.lit(chunk + overlap))
-    cut = numbered.select("row", "chunk", part.alias("text")).repartition(shuffle_width(spark), "row", "chunk")
-    scanned = cut.mapInArrow(_scan_chunks(pattern, chunk, overlap), f"row {shape}, chunk int, text string, bounds binary, head array<long>")
-    ahead = F.lead("head").over(Window.partitionBy("row").orderBy("chunk"))
-    ordered = scanned.select("row", "chunk", "text", "bounds", ahead.alias("ahead"))
-    whole = ordered.mapInArrow(_encode_chunks(ranks_path, pattern, chunk, width), f"row {shape}, ids binary")
-    both = short.unionByName(whole)
-    return both.select(F.col("row.id").alias(id_col), (F.octet_length("ids") / width).cast("long").alias("n_tokens"), "ids")
+    cut = numbered.select("row", "chunk", (F.col("chunk") == F.col("last")).alias("is_last"), part.alias("text")).repartition(shuffle_width(spark), "row", "chunk")
+    encoded = cut.mapInArrow(_encode_chunks(ranks_path, pattern, chunk, overlap, width), f"row {shape}, chunk int, is_last boolean, ids binary, head array<long>, tail array<long>")
+    ordered = encoded.repartition(shuffle_width(spark), "row").sortWithinPartitions("row", "chunk")
+    whole = ordered.mapInArrow(_stitch_chunks(ranks_path, pattern, chunk, overlap, width), f"row {shape}, ids binary")
+    return _told(short.unionByName(whole), id_col, width)
+
+
+def encode_whole(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """What ``encode`` returns, with every text in one piece in the task that reads it: for texts that are written on at once and need no splitting."""
+    small_batches(docs.sparkSession)
+    rows = _rows(docs, id_col, text_col)
+    return _told(rows.mapInArrow(_encode_rows(ranks_path, pattern, width, True), f"row {rows.schema['row'].dataType.simpleString()}, ids binary"), id_col, width)
+
+
+@lru_cache(maxsize=2)
+def known_bytes(ranks_path: str) -> list[bytes]:
+    """The bytes of every id."""
+    ranks = read_ranks(ranks_path)
+    known = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        known[rank] = token
+    return known
 
 
 def _decode_rows(ranks_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(ranks_path)
-        known = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            known[rank] = token
+        known = known_bytes(ranks_path)
         for batch in batches:
             k = batch.schema.get_field_index("ids")
             texts = [None if x is None else b"".join([known[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in batch.column(k).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return run
+    return trimmed(run)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:

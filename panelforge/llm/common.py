@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -105,3 +109,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
     if now <= 0 or now > rows:
         spark.conf.set(key, rows)
     return spark
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; when it is through, what it freed goes back to the system. Python workers wait for their next task
+    with all the memory that their last one touched, beside those of other stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # there is no such call outside of glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped

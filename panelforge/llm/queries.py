@@ -80,7 +80,7 @@ def op10_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = _table(spark, sf_dir, "documents")
     # encoded once, read for the counts and for the sequences
-    ids, ids_path = table(bpe.encode(docs, ranks, public_tokenizers.PATTERN, width=2).select("doc_id", "ids"), "token-ids")
+    ids, ids_path = table(bpe.encode_whole(docs, ranks, public_tokenizers.PATTERN, width=2).select("doc_id", "ids"), "token-ids")
     layout = shards.materialise(ids, shared_path(spark, "shards"), text_col="ids", width=2)
     forget(spark, [ids_path])
     return shards.read_shards(spark, layout).select("slot", "shard", "doc_id", "start", "n_docs", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))

@@ -334,3 +334,26 @@ def test_feistel_is_a_permutation(n):
 
 def test_digests_of_queries_are_lowercase_hex(spark):
     assert spark.range(1).select(F.sha2(F.lit("a"), 256).alias("h")).first().h == hashlib.sha256(b"a").hexdigest()
+
+
+def test_bpe_chunks_of_one_text_are_encoded_by_several_tasks(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    known = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rng = random.Random(5)
+    words = ["we're", "don", "'t", " it'll ", "a'rb", "x" * 90, "7" * 70, "\t \n", "é漢", "!!", " " * 40 + "z"]
+    for chunk, overlap in ((64, 32), (200, 64)):
+        text = "".join(rng.choice(words) for _ in range(2500))
+        df = frame(spark, [(1, text, "a")])
+        encoded = bpe.encode(df, path, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap)
+        assert np.frombuffer(encoded.first().ids, "<u4").tolist() == known.encode_ordinary(text)
+        assert np.frombuffer(bpe.encode_whole(df, path, public_tokenizers.PATTERN).first().ids, "<u4").tolist() == known.encode_ordinary(text)
+    # a chunk at a time, as the tasks do it: each has the pieces between its joins, whichever of them runs first
+    encoder = bpe.Encoder(bpe.read_ranks(path), public_tokenizers.PATTERN)
+    stitcher = bpe.Stitcher(encoder, bpe.known_bytes(path), chunk, overlap)
+    parts = []
+    for k in range(-(-len(text) // chunk)):
+        packed, cut = encoder.pieces(text[k * chunk : (k + 1) * chunk + overlap])
+        parts.append((k, b"".join(packed), *bpe._edges(k * chunk, packed, cut, chunk, overlap)))
+    for part in parts:
+        stitcher.add(*part)
+    assert np.frombuffer(stitcher.finish(), "<u4").tolist() == known.encode_ordinary(text)
