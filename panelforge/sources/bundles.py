@@ -98,6 +98,10 @@ def check_tables(kind: str, tables: Mapping[str, DataFrame]) -> dict[str, tuple[
     return {name: KINDS[kind][name] for name in tables}
 
 
+def new_version() -> str:
+    return uuid.uuid4().hex
+
+
 def write_bundle(spark: SparkSession, kind: str, tables: Mapping[str, DataFrame], root: str, summary: Mapping[str, Any] | None = None, version: str | None = None, formats: Sequence[str] = ("parquet",)) -> dict[str, Any]:
     """Write ``tables`` as a version of the bundle at ``root`` and make it the current one; returns the manifest.
 
@@ -106,7 +110,7 @@ def write_bundle(spark: SparkSession, kind: str, tables: Mapping[str, DataFrame]
     order or partitions, and ``digest`` folds them into one of the package. Old versions stay until ``drop_versions``.
     """
     keys, files = check_tables(kind, tables), _Files(spark, root)
-    version = version or uuid.uuid4().hex
+    version = version or new_version()
     at = f"versions/{version}"
     told = {}
     for name, df in tables.items():
