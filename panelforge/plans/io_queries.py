@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import shared_path
-from ..operators import diagnose, nav, neutralize, panel, periods
+from ..functions.storage import checkpointed, shared_path
+from ..operators import diagnose, evaluate, nav, neutralize, panel, periods
 from ..sources import bundles, market as stores, readers, writers
 from . import market
 from .registry import query
-from .score_queries import BUCKETS, RANKED, WITHIN
+from .score_queries import BUCKETS, FEATURES, IC, PAIRS, RANKED, SCORES, SPREAD, WITHIN, _features
 
 PANEL = "date, stock_code, industry, board, is_csi300, is_csi500, is_csi1000, is_csi2000, market_cap, volume, amount_k, turnover, alpha"
 NUMBERS = "market_cap volume amount_k turnover alpha"
@@ -53,21 +53,91 @@ def signal_in_either_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.signal_to_long(panel.long_to_wide(rows, key="stock_code", name="date"), "value")
 
 
+def _told(spark: SparkSession, kind: str, tables: dict[str, DataFrame], name: str) -> DataFrame:
+    """Rows and keys of a bundle's tables as its manifest has them, and whether the tables read back and dealt anew give the same digests."""
+    root = shared_path(spark, name)
+    first = bundles.write_bundle(spark, kind, tables, root)
+    again = bundles.write_bundle(spark, kind, {n: df.repartition(3) for n, df in bundles.read_bundle(spark, root).items()}, root)
+    rows = [(n, ",".join(t["keys"]), t["rows"], t["digest"] == again["tables"][n]["digest"]) for n, t in first["tables"].items()]
+    return spark.createDataFrame(rows, "table string, keys string, rows long, same boolean")
+
+
+def _counts(tables: dict[str, tuple[str, str]]) -> str:
+    return " UNION ALL ".join(f"""SELECT '{n}' AS "table", '{keys}' AS keys, ({sql}) AS rows, true AS same""" for n, (keys, sql) in tables.items())
+
+
+SERIES, DAY = "fold_id,split,bucket_index", "fold_id,split,date"
+
+
 @query(
-    """SELECT 'bucket_daily_returns' AS "table", 'fold_id,split,bucket_index,date' AS keys, count(*) AS rows, true AS same FROM daily UNION ALL SELECT 'bucket_nav', 'fold_id,split,bucket_index,date', count(*), true FROM nav
-    UNION ALL SELECT 'bucket_summary', 'fold_id,split,bucket_index', count(DISTINCT (fold_id, split, bucket_index)), true FROM nav""",
+    _counts({
+        "daily_returns": (f"{SERIES},date", "SELECT count(*) FROM daily"),
+        "nav": (f"{SERIES},date", "SELECT count(*) FROM nav"),
+        "summary": (SERIES, "SELECT count(DISTINCT (fold_id, split, bucket_index)) FROM nav"),
+        "constituents": (f"{SERIES},date,stock_code", "SELECT count(*) FROM bucketed"),
+        "industry_daily": (f"{SERIES},date,industry", "SELECT count(*) FROM (SELECT DISTINCT fold_id, split, date, bucket_index FROM bucketed) JOIN (SELECT DISTINCT fold_id, split, date, industry FROM ranked JOIN panel USING (date, stock_code)) USING (fold_id, split, date)"),
+        "industry_summary": (f"{SERIES},industry", "SELECT count(DISTINCT (b.fold_id, b.split, b.bucket_index, industry)) FROM (SELECT DISTINCT fold_id, split, date, bucket_index FROM bucketed) b JOIN (SELECT DISTINCT fold_id, split, date, industry FROM ranked JOIN panel USING (date, stock_code)) USING (fold_id, split, date)"),
+        "size_daily": (f"{SERIES},date,metric", "SELECT 5 * count(DISTINCT (fold_id, split, date, bucket_index)) FROM bucketed"),
+        "size_summary": (f"{SERIES},metric", "SELECT 5 * count(DISTINCT (fold_id, split, bucket_index)) FROM bucketed"),
+        "size_decile_daily": (f"{SERIES},date,size_decile", "SELECT count(*) FROM (SELECT DISTINCT fold_id, split, date, bucket_index FROM bucketed) JOIN (SELECT DISTINCT fold_id, split, date, size_decile FROM ranked JOIN features USING (date, stock_code)) USING (fold_id, split, date)"),
+    }),
     "",
-    RANKED,
+    f"{RANKED.rstrip()},{FEATURES}",
 )
 def nav_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bundle of rank bucket tables, written twice from other partitions: its tables, keys and rows, and whether the digests agree."""
-    p, root = market.panel(spark, sf_dir), shared_path(spark, "nav-bundle")
-    daily = nav.bucket_returns(nav.rank_scores(market.predictions(p), "pred_a"), market.returns(p), BUCKETS)
-    tables = {"bucket_daily_returns": daily, "bucket_nav": (values := nav.net_asset_value(daily)), "bucket_summary": nav.summarize_buckets(values)}
-    first = bundles.write_bundle(spark, "rank_bucket_nav", tables, root)
-    again = bundles.write_bundle(spark, "rank_bucket_nav", {n: df.repartition(3) for n, df in bundles.read_bundle(spark, root).items()}, root)
-    told = [(n, ",".join(t["keys"]), t["rows"], t["digest"] == again["tables"][n]["digest"]) for n, t in first["tables"].items()]
-    return spark.createDataFrame(told, "table string, keys string, rows long, same boolean")
+    """All rank bucket tables of one score as a bundle."""
+    # nine tables come from the same three
+    p = checkpointed(market.panel(spark, sf_dir))
+    pred, r, features = (checkpointed(df) for df in (market.predictions(p), market.returns(p), _features(p)))
+    out = nav.rank_bucket_nav(pred, r, "pred_a", features, bucket_count=BUCKETS)
+    return _told(spark, "rank_bucket_nav", out, "nav-bundle")
+
+
+@query(
+    _counts({
+        "frame": (f"{DAY},stock_code", "SELECT count(*) FROM predictions"),
+        "daily_ic": (f"{DAY},score_col", "SELECT count(*) FROM ic"),
+        "ic_summary": ("fold_id,split,score_col", "SELECT count(DISTINCT (fold_id, split, score_col)) FROM ic"),
+        "spread_by_date": (f"{DAY},score_col", "SELECT count(*) FROM spread"),
+        "spread_summary": ("fold_id,split,score_col", "SELECT count(DISTINCT (fold_id, split, score_col)) FROM spread"),
+    }),
+    "",
+    SPREAD.rstrip() + IC[len(PAIRS.rstrip()) :],
+)
+def evaluation_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables of an evaluation as a bundle, for a panel that has no dimensions to group by."""
+    p = checkpointed(market.panel(spark, sf_dir))
+    pred = checkpointed(market.predictions(p).join(market.returns(p), ["date", "stock_code"], "left"))
+    return _told(spark, "model_evaluation", evaluate.evaluate_discovered(pred, p.select("date", "stock_code"), SCORES, "value"), "evaluation-bundle")
+
+
+@query(
+    _counts({
+        "panel": ("date,stock_code", "SELECT count(*) FROM labelled"),
+        "fold_assignments": ("fold_id,date", "SELECT count(*) FROM folds WHERE date IN (SELECT date FROM labelled)"),
+        "label_distribution": ("date", "SELECT count(DISTINCT date) FROM labelled"),
+        "feature_diagnostics": ("feature,date", "SELECT 2 * count(DISTINCT date) FROM labelled"),
+        "split_summary": ("fold_id,split", "SELECT 9"),
+        "signal_diagnostics": ("signal", "SELECT 1"),
+    }),
+    "",
+    "labelled AS (SELECT date, stock_code FROM panel JOIN returns USING (date, stock_code) WHERE value IS NOT NULL AND alpha > 0)",
+)
+def training_data_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training panel with folds, label and feature diagnostics and split summary as a bundle."""
+    from .table_queries import _alpha_panel
+
+    built = checkpointed(_alpha_panel(spark, sf_dir))
+    folds = panel.fold_assignments(built.select("date"), market.FOLDS)
+    tables = {
+        "panel": built,
+        "fold_assignments": folds,
+        "label_distribution": panel.label_distribution(built, ["y_raw_fwd", "y_raw_rank_label"]),
+        "feature_diagnostics": panel.feature_diagnostics(built, ["alpha_signal_z", "turnover_z"]),
+        "split_summary": panel.split_summary(built, folds),
+        "signal_diagnostics": panel.signal_diagnostics(built, ["alpha_signal"]),
+    }
+    return _told(spark, "non_neutralized_training", tables, "training-bundle")
 
 
 @query(

@@ -21,8 +21,7 @@ from .writers import folded, table_digest, write_sorted
 
 STOCK_DAY, DAY, SERIES = ("date", "stock_code"), ("fold_id", "split", "date"), ("fold_id", "split", "bucket_index")
 _TRAINING = {"panel": STOCK_DAY, "fold_assignments": ("fold_id", "date"), "label_distribution": ("date",), "feature_diagnostics": ("feature", "date"), "split_summary": ("fold_id", "split")}
-_NAV = {"bucket_daily_returns": (*SERIES, "date"), "bucket_nav": (*SERIES, "date"), "bucket_summary": SERIES}
-#: Tables of each kind and the keys in whose order they are written.
+#: Tables of each kind, named as the operators name them, and the keys in whose order they are written.
 KINDS: dict[str, dict[str, tuple[str, ...]]] = {
     "raw_features": {"raw_training_features": STOCK_DAY, "index_constituents": (*STOCK_DAY, "index_name"), "industry_one_hot": STOCK_DAY, "board_one_hot": STOCK_DAY, "index_one_hot": STOCK_DAY},
     "placeholder_training": _TRAINING,
@@ -30,17 +29,28 @@ KINDS: dict[str, dict[str, tuple[str, ...]]] = {
     "non_neutralized_training": _TRAINING | {"signal_diagnostics": ("signal",)},
     "training_run": {"predictions": (*DAY, "stock_code"), "feature_gain": ("fold_id", "feature"), "folds": ("fold_id", "split"), "metrics_by_fold_split": ("fold_id", "split", "score_col")},
     "model_evaluation": {
-        "ic_by_date": (*DAY, "score_col"),
+        "frame": (*DAY, "stock_code"),
+        "daily_ic": (*DAY, "score_col"),
         "ic_summary": ("fold_id", "split", "score_col"),
         "spread_by_date": (*DAY, "score_col"),
         "spread_summary": ("fold_id", "split", "score_col"),
-        "group_ic_by_date": (*DAY, "score_col", "dimension", "group"),
+        "group_ic": (*DAY, "score_col", "dimension", "group"),
         "group_ic_summary": ("fold_id", "split", "score_col", "dimension", "group"),
         "feature_gain_by_fold": ("fold_id", "feature"),
         "feature_gain_summary": ("feature",),
         "feature_gain_roles": ("role",),
     },
-    "rank_bucket_nav": _NAV | {"bucket_constituents": (*SERIES, "date", "stock_code"), "industry_composition": (*SERIES, "date", "industry"), "industry_summary": (*SERIES, "industry"), "size_composition": (*SERIES, "date", "metric"), "size_summary": (*SERIES, "metric")},
+    "rank_bucket_nav": {
+        "daily_returns": (*SERIES, "date"),
+        "nav": (*SERIES, "date"),
+        "summary": SERIES,
+        "constituents": (*SERIES, "date", "stock_code"),
+        "industry_daily": (*SERIES, "date", "industry"),
+        "industry_summary": (*SERIES, "industry"),
+        "size_daily": (*SERIES, "date", "metric"),
+        "size_summary": (*SERIES, "metric"),
+        "size_decile_daily": (*SERIES, "date", "size_decile"),
+    },
     "rank_bucket_periods": {"period_nav": ("period", "bucket_index", "date"), "period_summary": ("period", "bucket_index"), "requested_metrics": ("period", "bucket"), "period_industries": ("period", "bucket_index", "industry"), "industry_preferences": ("period", "bucket_index", "side", "side_rank")},
     "signal_comparison": {"comparison": ("signal_id", "period", "bucket_index"), "industry_preferences": ("signal_id", "period", "bucket_index", "side", "side_rank")},
     "rank_alignment": {"daily_alignment": ("candidate", *DAY), "period_alignment": ("candidate", "period")},
