@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import diagnose, evaluate, nav, neutralize, panel, periods, quality, xsection
@@ -447,7 +447,22 @@ def signal_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.compare_signals(p, pred, r, SIGNALS, market.PERIODS, BUCKETS).drop("annualized_return")
 
 
-# ---- regressions (no SQL counterpart; tested by their invariants)
+# ---- regressions
+
+def _projected(source: str, y: str, columns: list[str], tag: str) -> str:
+    """SQL: ``tag`` has ``source`` with e, what is left of ``y`` by date after industries and then ``columns`` are taken off, each first freed of those before it, and rank."""
+    centred = ", ".join(f"{c} - avg({c}) OVER i AS v{k}" for k, c in enumerate([y, *columns]))
+    steps = [f"{tag}_0 AS (SELECT *, {centred} FROM {source} WINDOW i AS (PARTITION BY date, industry))"]
+    for k in range(1, len(columns) + 1):
+        left = [0, *range(k + 1, len(columns) + 1)]
+        slopes = ", ".join(f"sum(v{k} * v{j}) / nullif(CASE WHEN sum(v{k} * v{k}) > 1e-9 THEN sum(v{k} * v{k}) END, 0) AS b{j}" for j in left)
+        steps.append(f"{tag}_s{k} AS (SELECT date, {slopes}, CAST(sum(v{k} * v{k}) > 1e-9 AS INT) AS r{k} FROM {tag}_{k - 1} GROUP BY date)")
+        taken = ", ".join(f"v{j} - coalesce(b{j}, 0) * v{k} AS v{j}" for j in left)
+        steps.append(f"{tag}_{k} AS (SELECT t.* REPLACE ({taken}), r{k} FROM {tag}_{k - 1} t JOIN {tag}_s{k} USING (date))")
+    ranks = " + ".join(f"r{k}" for k in range(1, len(columns) + 1))
+    steps.append(f"{tag} AS (SELECT *, v0 AS e, {ranks} AS free FROM {tag}_{len(columns)})")
+    return ",\n".join(steps)
+
 
 @query()
 def neutralize_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,12 +470,90 @@ def neutralize_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neutralize.neutralize(r, p)
 
 
-@query()
+FLAGS = ["is_csi300", "is_csi500", "is_csi1000", "is_csi2000"]
+
+
+def _exact_days() -> str:
+    columns = [*FLAGS, "x"]
+    names = ["is_csi300", "is_csi500", "is_csi1000", "is_csi2000", "size_rank_norm"]
+    varied = [f"stddev_pop({c}) > 1e-12" for c in columns]
+    used = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {v} THEN '{n}' END" for v, n in zip(varied, names, strict=True)) + "], lambda n: n IS NOT NULL), ',')"
+    return f"""
+given AS (SELECT date, stock_code, industry, board, value AS y, market_cap, {", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in FLAGS)} FROM returns JOIN panel USING (date, stock_code) WHERE value IS NOT NULL AND market_cap > 0),
+sized AS (SELECT *, (rank() OVER (PARTITION BY date ORDER BY market_cap) + (count(*) OVER (PARTITION BY date, market_cap) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY date) - 0.5 AS x FROM given),
+designs AS (SELECT date, count(*) AS n, count(DISTINCT industry) + count(DISTINCT board) - 1 + {" + ".join(f"CAST({v} AS INT)" for v in varied)} AS k, {" + ".join(f"CAST(NOT ({v}) AS INT)" for v in varied)} AS dropped, {used} AS used FROM sized GROUP BY date),
+{_projected("sized", "y", columns, "left_over")},
+days_ AS (SELECT date, count(*) AS n_total, count(value) AS n_valid_return FROM returns GROUP BY date),
+exposed AS (SELECT r.date, count(*) AS n_valid_exposure FROM returns r JOIN panel USING (date, stock_code) WHERE market_cap > 0 GROUP BY r.date),
+told AS (SELECT date, avg(y) AS m, avg(e) AS em, stddev_pop(e) AS es, 1 - avg(e * e) / var_pop(y) AS r2 FROM left_over GROUP BY date),
+reasons AS (SELECT *, coalesce(n, 0) AS n_used, CASE WHEN coalesce(n, 0) < 30 THEN 'too_few_valid_observations' WHEN n <= k + 10 THEN 'too_few_observations_for_design' END AS reason FROM days_ LEFT JOIN designs USING (date) LEFT JOIN exposed USING (date) LEFT JOIN told USING (date))"""
+
+
+@query(
+    """SELECT date, reason AS skipped_reason, n_used, CASE WHEN n_used >= 30 THEN k ELSE 0 END AS n_columns, n_total, n_valid_return, coalesce(n_valid_exposure, 0) AS n_valid_exposure, n_valid_return - n_used AS missing_exposure_count,
+      CASE WHEN n_used >= 30 THEN dropped ELSE 0 END AS dropped_constant_continuous_count, reason IS NOT NULL AS skipped, CASE WHEN n_used >= 30 THEN used ELSE '' END AS continuous_columns_used, CASE WHEN reason IS NULL THEN 'lstsq' END AS method,
+      CASE WHEN reason IS NULL THEN r2 END AS r2, CASE WHEN reason IS NULL THEN m END AS return_weighted_mean, CASE WHEN reason IS NULL THEN 0.0 END AS residual_weighted_mean, CASE WHEN reason IS NULL THEN es END AS residual_weighted_std,
+      CASE WHEN reason IS NULL THEN 0.0 END AS max_abs_industry_mean_after, CASE WHEN reason IS NULL THEN 0.0 END AS max_abs_board_mean_after, CASE WHEN reason IS NULL THEN 0.0 END AS max_abs_continuous_exposure_after,
+      'exact_neutralization' AS neutralization_type, 0.0 AS ridge, CAST(NULL AS DOUBLE) AS winsor_lower, CAST(NULL AS DOUBLE) AS winsor_upper FROM reasons""",
+    "r2 return_weighted_mean residual_weighted_std",
+    _exact_days(),
+    6,
+)
 def neutralization_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, r, _ = _market(spark, sf_dir)
     return neutralize.neutralize_tables(r, p, neutralize.EXACT)["diagnostics"]
 
 
+@query(
+    """SELECT r.date, r.stock_code, r.value AS y, CASE WHEN reason IS NULL THEN e END AS residual, reason AS skipped_reason
+    FROM returns r JOIN reasons USING (date) LEFT JOIN (SELECT date, stock_code, e FROM left_over) s ON s.date = r.date AND s.stock_code = r.stock_code WHERE r.value IS NOT NULL""",
+    "y residual",
+    _exact_days(),
+    6,
+)
+def neutralize_exactly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact residuals on all exposures: industries, boards, index flags and size."""
+    p, r, _ = _market(spark, sf_dir)
+    return neutralize.neutralize(r, p, neutralize.EXACT).select("date", "stock_code", "y", "residual", "skipped_reason")
+
+
+def _signal_sql(kind: str, y: str) -> str:
+    return f"""
+{kind}_given AS (SELECT date, stock_code, industry, board, {y} AS y, market_cap, {", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in FLAGS)} FROM panel WHERE market_cap > 0),
+{kind}_sized AS (SELECT *, (rank() OVER (PARTITION BY date ORDER BY market_cap) + (count(*) OVER (PARTITION BY date, market_cap) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY date) - 0.5 AS x FROM {kind}_given),
+{kind}_days AS (SELECT date, count(*) AS n, count(DISTINCT industry) + count(DISTINCT board) - 1 + {" + ".join(f"CAST(stddev_pop({c}) > 1e-12 AS INT)" for c in [*FLAGS, "x"])} AS k, stddev_pop(y) AS sd FROM {kind}_sized GROUP BY date),
+{_projected(f"{kind}_sized", "y", [*FLAGS, "x"], f"{kind}_left")}"""
+
+
+@query(
+    """SELECT 'value' AS input, l.date, stock_code, CASE WHEN n >= 30 AND n > k + 10 THEN e / sd END AS scaled FROM value_left l JOIN value_days USING (date)
+    UNION ALL SELECT 'rank', l.date, stock_code, CASE WHEN n >= 30 AND n > k + 10 THEN e / sd END FROM rank_left l JOIN rank_days USING (date)""",
+    "scaled",
+    f"""{_signal_sql("value", "alpha")},
+{_signal_sql("rank", "(rank() OVER (PARTITION BY date ORDER BY alpha) + (count(*) OVER (PARTITION BY date, alpha) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY date) - 0.5")}""",
+    6,
+)
+def neutralized_signal_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A signal and its rank after neutralisation, in deviations of what went in."""
+    p = market.panel(spark, sf_dir)
+    both = neutralize.neutralize_signal(p.select("date", "stock_code", F.col("alpha").alias("value")), p)
+    told = [t.select(F.lit(kind).alias("input"), "date", "stock_code", (F.col("residual") / F.stddev_pop("y").over(Window.partitionBy("date"))).alias("scaled")) for kind, t in both.items()]
+    return told[0].unionByName(told[1])
+
+
+@query(
+    f"""SELECT stock_code, count(*) AS n_obs, stddev_pop(y) AS raw_std, stddev_pop(e) AS residual_std, avg(y) AS raw_mean, avg(e) AS residual_mean, {_corr("y", "e")} AS correlation
+    FROM left_over JOIN reasons USING (date) WHERE reason IS NULL GROUP BY stock_code""",
+    "raw_std residual_std raw_mean residual_mean correlation",
+    _exact_days(),
+    6,
+)
+def symbol_examples_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stock before and after exact neutralisation."""
+    p, r, _ = _market(spark, sf_dir)
+    return neutralize.symbol_examples(r, neutralize.neutralize(r, p, neutralize.EXACT))
+
+
 @query()
 def neutralize_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = market.panel(spark, sf_dir)
@@ -468,7 +561,15 @@ def neutralize_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both["value"].withColumn("input", F.lit("value")).unionByName(both["rank"].withColumn("input", F.lit("rank")))
 
 
-@query()
+@query(
+    """SELECT score_col, count(r2) AS date_count, avg(r2) AS mean_r2, median(r2) AS median_r2, quantile_cont(r2, 0.9) AS p90_r2, avg(CASE WHEN n > rank THEN 1 - (1 - r2) * (n - 1) / (n - rank) END) AS mean_adj_r2 FROM (
+      SELECT score_col, date, n, rank, CASE WHEN t2 > 1e-12 THEN 1 - e2 / t2 END AS r2 FROM (
+        SELECT 'alpha' AS score_col, date, count(*) AS n, count(DISTINCT industry) + any_value(free) AS rank, sum(e * e) AS e2, var_pop(alpha) * count(*) AS t2 FROM alpha_left GROUP BY date
+        UNION ALL SELECT 'turnover', date, count(*), count(DISTINCT industry) + any_value(free), sum(e * e), var_pop(turnover) * count(*) FROM turnover_left GROUP BY date)) GROUP BY score_col""",
+    "mean_r2 median_r2 p90_r2 mean_adj_r2",
+    f"{FEATURES.rstrip()},\n{_projected('features', 'alpha', ['log_mcap_z', 'mcap_rank'], 'alpha_left')},\n{_projected('features', 'turnover', ['log_mcap_z', 'mcap_rank'], 'turnover_left')}",
+    6,
+)
 def risk_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _features(market.panel(spark, sf_dir))
     daily, _ = neutralize.risk_r2(p, ["alpha", "turnover"], ["industry", "board"], ["log_mcap_z", "mcap_rank"])
