@@ -248,6 +248,16 @@ def test_broken_rows_inside_a_fold_stop_the_training(spark):
         model.train_folds(p.withColumn("sample_weight", F.when(F.col("date").isin(D[4], D[5]), 0.0).otherwise(1.0)), folds, c, "y_fwd", params=SMALL)
 
 
+def test_a_panel_without_folds_gives_empty_tables(spark):
+    p = panel_rows(spark)
+    folds = panel.fold_assignments(p.select("date"), FOLDS[:1])
+    got = model.train_folds(p.limit(0), folds.limit(0), model.contract(ROLES, "y_fwd"), "y_fwd", params=SMALL)
+    whole = model.train_folds(p, folds, model.contract(ROLES, "y_fwd"), "y_fwd", params=SMALL | {"n_estimators": 1})
+    for name in ("predictions", "importance", "folds"):
+        assert got[name].count() == 0 and got[name].columns == whole[name].columns
+    assert got["models"] == {}
+
+
 def test_only_known_models_are_loaded(spark, tmp_path):
     told = '{"contract": {"signals": ["a"], "categories": [], "numbers": [], "monotone": {}}, "folds": {"1": "os.path.join"}}'
     spark.createDataFrame([(told,)], "value string").coalesce(1).write.text(str(tmp_path / "m/contract"))

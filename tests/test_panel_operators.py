@@ -606,5 +606,5 @@ def test_the_training_query_trains_all_folds_with_the_default_model(spark, monke
         return {"predictions": built}
 
     monkeypatch.setattr(model, "train_folds", train)
-    score_queries.train_predict(spark, "/root/testdata/sf0.001")
+    score_queries.train_predict(spark, "/root/testdata/sf0.01")
     assert seen == [([f.fold_id for f in market.FOLDS], model.default_factory, {"alpha_neutralized_rank": 1, "alpha_neutralized_z": 1}, None)]
