@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, shuffle_width, small_batches, table, with_least
+from .common import forget, shuffle_width, small_batches, table, trimmed, with_least
 from .components import connected_components
 
 CIRCLE = 1 << 20  # places of the circle on which the permutations act
@@ -197,7 +197,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     leaders = dealt.select("leader", "part").distinct().join(texts.withColumnRenamed("id", "leader"), "leader")
     rows = members.unionByName(leaders.select("leader", "part", F.lit(None).cast("long").alias("member"), "text"))
     dealt_rows = rows.repartition(shuffle_width(spark), "leader", "part").sortWithinPartitions("leader", "part", F.col("member").asc_nulls_first())
-    return dealt_rows.mapInArrow(_linked(words, percent), "a long, b long")
+    return dealt_rows.mapInArrow(trimmed(_linked(words, percent)), "a long, b long")
 
 
 def near_duplicates(
@@ -227,7 +227,7 @@ def near_duplicates(
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     run = _features(words, bands, rows, seed)
     hashed = source.select("id", "text", F.xxhash64("text").alias("text_hash"))
-    feats, feat_path = table(hashed.mapInArrow(run, "id long, n_shingles long, fingerprint binary, bands array<long>, text_hash long"), "minhash-features")
+    feats, feat_path = table(hashed.mapInArrow(trimmed(run), "id long, n_shingles long, fingerprint binary, bands array<long>, text_hash long"), "minhash-features")
     full = feats.where("n_shingles > 0 and id is not null")
     repeats = full.groupBy("id").agg(F.count_distinct("text_hash").alias("texts"), F.min("text_hash").alias("valid_hash")).where("texts > 1")
     repeated, repeat_path = table(repeats.select("id", "valid_hash"), "minhash-repeats")
@@ -265,7 +265,7 @@ def near_duplicates(
         open_, path = table(member.select("id", "component").distinct(), "minhash-open")
         paths.append(path)
         dealt = texts.join(open_, "id").select("id", "component", "text").repartition(shuffle_width(spark), "id")
-        sets, path = table(dealt.mapInArrow(_shingles(words), "id long, component long, n long, shingle long"), "minhash-sets")
+        sets, path = table(dealt.mapInArrow(trimmed(_shingles(words)), "id long, component long, n long, shingle long"), "minhash-sets")
         paths.append(path)
         common = sets.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
         need = F.ceil(F.col("n") * percent / 100)  # shingles of its own that a document shares with any partner

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, small_batches, table
+from .common import free_name, small_batches, table, trimmed
 
 BUCKETS = 1 << 18  # hashed words
 SURE = 6.0  # standard deviations from which a word counts in full
@@ -128,7 +128,7 @@ def fit_chain(labelled: DataFrame, text_col: str, categories: Sequence[str], fol
     fold = F.pmod(F.xxhash64(text, F.lit(1)), F.lit(folds)).cast("int").alias("fold")
     ys = ", ".join(f"y{k} int" for k in range(len(categories)))
     rows = labelled.select(text.alias("text"), key, fold, *flags)
-    held, _ = table(rows.mapInArrow(_hashed(0), f"words binary, key long, fold int, {ys}"), "toxicity-sample")
+    held, _ = table(rows.mapInArrow(trimmed(_hashed(0)), f"words binary, key long, fold int, {ys}"), "toxicity-sample")
     tasks = held.select("*", F.explode(F.array(*[F.lit(f) for f in range(-1, folds)])).alias("task"))  # -1: leaves nothing out
     chain: list[np.ndarray] = []
     thresholds: list[float] = []
@@ -173,7 +173,7 @@ def score_chain(docs: DataFrame, chain: Sequence[np.ndarray], categories: Sequen
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
     names = [*[f"k{i}" for i in range(len(keep))], *[f"p{k}" for k in range(len(categories))]]
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
-    scored = rows.mapInArrow(run, ", ".join([*kinds, *[f"p{k} double" for k in range(len(categories))]]))
+    scored = rows.mapInArrow(trimmed(run), ", ".join([*kinds, *[f"p{k} double" for k in range(len(categories))]]))
     return scored.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"p{k}").alias(free_name(f"p_{c}", keep)) for k, c in enumerate(categories)])
 
 
