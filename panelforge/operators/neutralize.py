@@ -108,6 +108,7 @@ def _largest_mean(groups: pd.Series, residual: np.ndarray) -> float:
     return float(pd.Series(residual).groupby(groups.to_numpy()).mean().abs().max())
 
 
+# The columns of residuals and diagnostics.
 ROW = "date date, stock_code string, y double, residual double, rank_label double, method string, r2 double, n_used long, n_columns long, skipped_reason string"
 DIAGNOSTICS = (
     "n_total long, n_valid_return long, n_valid_exposure long, missing_exposure_count long, dropped_constant_continuous_count long, skipped boolean, "

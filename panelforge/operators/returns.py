@@ -72,6 +72,7 @@ def adjust_returns(returns: DataFrame, factors: DataFrame, calendar: DataFrame,
     reverses = (turn > c.large_jump) & (turn > c.reversal_jump) & (_near(F.col("_before"), sell, c.tolerance) | _near(F.col("_after"), buy, c.tolerance))
     df = df.withColumn("jump_flag", F.coalesce(turn > c.jump, F.lit(False))).withColumn("large_jump_flag", F.coalesce(turn > c.large_jump, F.lit(False))).withColumn("suspicious_flag", F.coalesce(reverses, F.lit(False)))
     same = turn <= c.no_change
+    # The names of actions and reasons.
     cases = [
         (no_date, None, "nan_missing_trade_date", "buy_date_or_sell_date_missing_from_trading_calendar"),
         (no_factor, None, "nan_missing_factor", "factor_buy_or_factor_sell_missing"),
