@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from contextlib import suppress
 
 import pyarrow as pa
@@ -41,8 +41,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
-def table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a Parquet table in the shared folder and read it again, which cuts its lineage.
+def table(df: DataFrame, name: str, options: Mapping[str, str] | None = None) -> tuple[DataFrame, str]:
+    """Write ``df`` as a Parquet table in the shared folder, with the writer's ``options``, and read it again, which cuts its lineage.
 
     What it shuffled on the way is deleted at once, not when the driver happens to collect garbage.
     """
@@ -50,7 +50,7 @@ def table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**dict(options or {})).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path

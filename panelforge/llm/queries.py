@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from . import additive, alignment, bpe, chat, linededup, minhash, mixing, negatives, packing, pivots, shards, tokenfiles, toxicity, warc
 from .common import forget, shared_path, table
 
+#: Writer's options for a table that is large, written once and read twice.
+DENSE = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
 #: Of the chain, in this order.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 
@@ -80,7 +82,7 @@ def op10_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = _table(spark, sf_dir, "documents")
     # encoded once, read for the counts and for the sequences
-    ids, ids_path = table(bpe.encode_whole(docs, ranks, public_tokenizers.PATTERN, width=2).select("doc_id", "ids"), "token-ids")
+    ids, ids_path = table(bpe.encode_whole(docs, ranks, public_tokenizers.PATTERN, width=2).select("doc_id", "ids"), "token-ids", DENSE)
     layout = shards.materialise(ids, shared_path(spark, "shards"), text_col="ids", width=2)
     forget(spark, [ids_path])
     return shards.read_shards(spark, layout).select("slot", "shard", "doc_id", "start", "n_docs", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"))

@@ -73,7 +73,7 @@ def _cut(offsets: dict[int, int], counts: dict[int, int], total: int, key: int,
     end_mark, pad = ((1 << 8 * width) - 1).to_bytes(width, "little"), ((1 << 8 * width) - 2).to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, pack = Feistel(total, key), zstandard.ZstdCompressor(level=1).compress
+        order, pack = Feistel(total, key), zstandard.ZstdCompressor(level=6).compress
         held, starts, number, mine = bytearray(), [], None, None  # starts: (place in held, doc_id, place in the document), places in bytes
 
         def record(n: int) -> bytes:
