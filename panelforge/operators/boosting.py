@@ -16,7 +16,8 @@ What a model may do:
   predictions use the trees up to the best.
 
 Gradients and curvatures are rounded to multiples of a power of two, fine enough that all sums are whole numbers of it below 2^52: sums
-are exact in any order, so a lost task or another partitioning gives the same model.
+are exact in any order. Rows are drawn by a hash of their own. So a lost task, another order or another partitioning gives the same trees (the first
+score, a mean, may differ in its last digit).
 """
 
 from __future__ import annotations
@@ -63,8 +64,8 @@ CUT = 25  # trees after which the rows' scores are written, so that their lineag
 TASK_ROWS = 50_000  # at least, on average
 IDLE = 10  # trees in a row without a split that end the training where rows or features are drawn
 DEEPEST = 12
-_STATE = "block long, n long, bins binary, y binary, w binary, valid binary, score binary"
-_FOLD = 100_003  # keeps the seeds of rows and features apart
+_STATE = "n long, bins binary, y binary, w binary, valid binary, key binary, score binary"
+_FEATURES = 100_003  # keeps the seeds of rows and features apart
 
 
 @dataclass(frozen=True)
@@ -225,24 +226,37 @@ class Bins:
         return out
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """x, y, w and valid with a hash of the row, which equal rows share."""
+    return rows.withColumn("key", F.xxhash64("x", "y", "w"))
+
+
 def _packed(bins: Bins, init: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-            y, w = (batch.column(k).to_numpy().astype("<f8") for k in (2, 3))
-            valid = batch.column(4).to_numpy(zero_copy_only=False).astype(np.uint8)
-            raw = (bins(x), y, w, valid, np.full(len(y), init, "<f8"))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(0, 1), pa.array([len(y)], pa.int64()), *[pa.array([a.tobytes()], pa.binary()) for a in raw]], names=[c.split()[0] for c in _STATE.split(", ")])
+            x = np.array(batch.column(0).flatten()).reshape(batch.num_rows, -1)
+            y, w = (batch.column(k).to_numpy().astype("<f8") for k in (1, 2))
+            valid = batch.column(3).to_numpy(zero_copy_only=False).astype(np.uint8)
+            raw = (bins(x), y, w, valid, batch.column(4).to_numpy().astype("<i8"), np.full(len(y), init, "<f8"))
+            yield pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int64()), *[pa.array([a.tobytes()], pa.binary()) for a in raw]], names=[c.split()[0] for c in _STATE.split(", ")])
 
     return run
 
 
-def _columns(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of the state: block, bins (feature x row), y, w, valid, score."""
-    for block, n, bins, y, w, valid, score in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-        yield block, np.frombuffer(bins, np.uint16).reshape(-1, n), np.frombuffer(y), np.frombuffer(w), np.frombuffer(valid, np.uint8).astype(bool), np.frombuffer(score)
+def _columns(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of the state: bins (feature x row), y, w, valid, key, score."""
+    for n, bins, y, w, valid, key, score in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+        yield np.frombuffer(bins, np.uint16).reshape(-1, n), np.frombuffer(y), np.frombuffer(w), np.frombuffer(valid, np.uint8).astype(bool), np.frombuffer(key, np.uint64), np.frombuffer(score)
+
+
+def drawn(key: np.ndarray, seed: int, draw: int, share: float) -> np.ndarray:
+    """Which rows a draw takes: a mixed hash of the row's own below ``share``, so it does not matter where the row lies."""
+    z = key + np.uint64((seed * 0x9E3779B97F4A7C15 + (draw + 1) * 0xD1B54A32D192ED03) % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))) < np.uint64(min((1 << 64) - 1, int(share * (1 << 64))))
 
 
 def _advanced(tree: Tree):
@@ -250,7 +264,7 @@ def _advanced(tree: Tree):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [(score + tree.value[tree.node_of(bins)]).tobytes() for _, bins, _, _, _, score in _columns(batch)]
+            scores = [(score + tree.value[tree.node_of(bins)]).tobytes() for bins, _, _, _, _, score in _columns(batch)]
             yield batch.set_column(6, "score", pa.array(scores, pa.binary()))
 
     return run
@@ -276,21 +290,20 @@ def _summed(tree: Tree, level: int, features: Sequence[int], bins: int, scales:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hist, told = np.zeros((3, nodes, len(used), bins)), np.zeros(3)
         for batch in batches:
-            for block, binned, y, w, valid, score in _columns(batch):
+            for binned, y, w, valid, key, score in _columns(batch):
                 residual = score - y
                 if level == 0:
                     told += (np.rint(s.losses(residual)[valid] * w[valid] * scales.loss).sum(), np.rint(w[valid] * scales.h).sum(), valid.sum())
                 node = tree.node_of(binned, level) - nodes  # leaves of earlier levels are below 0
                 inside = ~valid & (node >= 0)
                 if s.subsample < 1 and s.subsample_freq > 0:
-                    draw = number // s.subsample_freq
-                    inside &= np.random.default_rng([s.random_state, draw, block]).random(len(y)) < s.subsample
+                    inside &= drawn(key, s.random_state, number // s.subsample_freq, s.subsample)
                 node, kept, weight = node[inside], binned[used][:, inside], w[inside]
                 parts = (np.rint(s.gradient(residual[inside]) * weight * scales.g), np.rint(weight * scales.h), None)
                 for f in range(len(used)):
-                    key = node * bins + kept[f]
+                    place = node * bins + kept[f]
                     for k, values in enumerate(parts):
-                        hist[k, :, f] += np.bincount(key, values, nodes * bins).reshape(nodes, bins)
+                        hist[k, :, f] += np.bincount(place, values, nodes * bins).reshape(nodes, bins)
         node, f, b = np.nonzero(hist[2])
         g, h, n = (hist[k, node, f, b] for k in range(3))
         rows = [np.append(a, x) for a, x in ((node + nodes, -1), (used[f], -1), (b, 0), (g, told[0]), (h, told[1]), (n, told[2]))]
@@ -398,11 +411,11 @@ class Booster:
 
     def fit(self, df: DataFrame) -> BoostedTrees:
         s = self.settings
-        rows = df.select(F.monotonically_increasing_id().alias("block"), vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"), F.col("weight").cast("double").alias("w"), F.col("is_valid").alias("valid"))
+        rows = _keyed(df.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"), F.col("weight").cast("double").alias("w"), F.col("is_valid").alias("valid")))
         bins, told = self._measured(rows)
         names = self.names or [f"f{i}" for i in range(len(bins.kinds))]
         signs = [self.monotone.get(n, 0) for n in names]
-        # written once: rows may come in another order when they are computed again, and blocks must not
+        # written once: scores are read again for every level
         state = checkpointed(rows.mapInArrow(_packed(bins, told["init"]), _STATE)).coalesce(-(-told["rows"] // TASK_ROWS))
         widest, heaviest = told["widest"], max(told["heaviest"], 1e-300)
         trees, losses, best, held, idle = [], [], (math.inf, 0), None, 0
@@ -413,7 +426,7 @@ class Booster:
             features = every
             if s.colsample_bytree < 1:
                 count = max(1, round(len(every) * s.colsample_bytree))
-                features = sorted(np.random.default_rng([s.random_state, _FOLD, number]).choice(every, count, replace=False).tolist())
+                features = sorted(np.random.default_rng([s.random_state, _FEATURES, number]).choice(every, count, replace=False).tolist())
             last = number == s.n_estimators
             if last and not told["valid"]:
                 break
@@ -531,7 +544,7 @@ def root_gains(df: DataFrame, features: Sequence[str], label: Column, weight: Co
     booster = Booster(**params | {"subsample": 1.0, "colsample_bytree": 1.0}).named(features, categories or {})
     s = booster.settings
     ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(df.select(*features, label.alias("label"), weight.alias("weight")))
-    rows = ready.select(F.monotonically_increasing_id().alias("block"), vector_to_array("features").alias("x"), F.col("label").alias("y"), F.col("weight").alias("w"), F.lit(False).alias("valid"))
+    rows = _keyed(ready.select(vector_to_array("features").alias("x"), F.col("label").alias("y"), F.col("weight").alias("w"), F.lit(False).alias("valid")))
     bins, told = booster._measured(rows)
     slope = min(s.alpha, told["widest"]) if s.objective == "huber" else told["widest"]
     scales = Scales.of(told["rows"], slope * told["heaviest"], told["heaviest"], 1.0)

@@ -79,11 +79,15 @@ def test_trees_equal_a_plain_grower(spark, signs):
     np.testing.assert_allclose([got[tuple(r)] for r in x], trained.predict(x), atol=1e-12)
 
 
-def test_partitions_and_order_do_not_change_the_model(spark):
+@pytest.mark.parametrize("share", [1.0, 0.6])
+def test_partitions_and_order_do_not_change_the_model(spark, share):
     x, y, w = made()
-    told = {Booster(**FULL | {"subsample": 1.0}).fit(frame(spark, x[o], y[o], w[o], parts=p)[0]).told() for p, o in ((1, slice(None)), (5, slice(None, None, -1)))}
-    a, b = (BoostedTrees.read(t) for t in (told if len(told) == 2 else [*told] * 2))
-    np.testing.assert_allclose(a.predict(x), b.predict(x), atol=1e-9)  # only the first score's sum depends on the order
+    args = FULL | {"subsample": share, "colsample_bytree": 0.7, "n_estimators": 4}
+    a, b = (Booster(**args).fit(frame(spark, x[o], y[o], w[o], parts=p)[0]) for p, o in ((1, slice(None)), (5, slice(None, None, -1))))
+    np.testing.assert_allclose(a.predict(x), b.predict(x), atol=1e-9)
+    assert [t.rows for t in a.trees] == [t.rows for t in b.trees]
+    shares = [boosting.drawn(np.random.default_rng(1).integers(0, 2**64, 20_000, dtype=np.uint64), 42, k, 0.6).mean() for k in range(5)]
+    assert all(abs(s - 0.6) < 0.02 for s in shares) and len(set(shares)) > 1
 
 
 def test_huber_loss_resists_an_outlier(spark):
