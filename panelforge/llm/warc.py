@@ -197,7 +197,8 @@ def write_archives(
     The payload is the html in UTF-8 (null: empty). Of pages with equal payloads of at least
     ``least_bytes`` bytes the smallest id is a response and the others are revisits that refer to it;
     smaller ones are all responses. Rows that repeat the smallest id are all responses. A page
-    without id is a response. An empty table gives no records; other columns are ignored.
+    without id is a response. An empty table gives no records; other columns are ignored. A header line can't hold
+    line ends, nor white space at its ends: those of a URL are left out of its record.
     """
     spark, payload = small_batches(pages.sparkSession), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
