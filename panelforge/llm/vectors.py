@@ -64,9 +64,10 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_parts(index: DataFrame, queries: DataFrame, columns: dict[str, str], search: Callable, part_rows: int, block: int, score: str = "double") -> DataFrame:
-    """``stream_parts`` over an index dealt by hash into parts of about ``part_rows`` rows, or fewer (not below ``LEAST_ROWS``) if tasks would idle."""
-    rows = index.count()
+def search_parts(index: DataFrame, queries: DataFrame, columns: dict[str, str], search: Callable, part_rows: int, block: int, score: str = "double", rows: int | None = None) -> DataFrame:
+    """``stream_parts`` over an index dealt by hash into parts of about ``part_rows`` rows, or fewer (not below ``LEAST_ROWS``) if tasks would idle.
+    ``rows``, if known, is how many the index has."""
+    rows = index.count() if rows is None else rows
     parts = max(1, -(-rows // part_rows), min(shuffle_width(index.sparkSession), -(-rows // LEAST_ROWS)))
     return stream_parts(index.withColumn("p", F.pmod(F.xxhash64("n"), F.lit(parts)).cast("int")), queries, parts, columns, search, block, score)
 

@@ -59,6 +59,50 @@ def test_additive_takes_the_smallest_ids_of_a_large_group_and_what_is_near_it(sp
         assert found(q) == near_first[:5]
 
 
+@pytest.mark.parametrize(("n", "dim", "groups", "spread"), [(4000, 256, 0, 1.0), (6000, 32, 4, 1e-3), (3000, 16, 12, 3e-5)])
+def test_additive_finds_the_nearest_whatever_the_codes_are_worth(spark, n, dim, groups, spread):
+    """Many dimensions without structure, groups closer than the codes tell apart: far more than a shortlist is as good by code."""
+    rng = np.random.default_rng(n)
+    v = spread * rng.normal(size=(n, dim)) + (rng.normal(size=(groups, dim))[rng.integers(0, groups, n)] if groups else 0)
+    v = v.astype(np.float32).astype(float)
+    got = additive.nearest(frame(spark, [(i, x.tolist()) for i, x in enumerate(v)])).collect()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert len(got) == n // 50 * 5
+    for q in range(0, n, 50):
+        score = unit @ unit[q]
+        score[q] = -2
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.score for r in mine] == pytest.approx(np.sort(score)[: -6 : -1].tolist(), abs=1e-13)
+        assert score[[r.vec_id for r in mine]].tolist() == pytest.approx([r.score for r in mine], abs=1e-13)
+
+
+def test_additive_ties_of_parallel_vectors_go_by_id(spark):
+    """Multiples of one vector by powers of two tie exactly, and are more than a shortlist."""
+    v = vectors(600, 8, seed=9).astype(float)
+    rows = [(i, (v[0] * 2.0 ** (i - 250)).tolist()) for i in range(500)] + [(1001 + i, x.tolist()) for i, x in enumerate(v[1:])]
+    random.Random(4).shuffle(rows)
+    got = additive.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    for q in range(0, 500, 50):
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [i for i in range(6) if i != q][:5]
+
+
+def test_additive_bound_holds_for_bad_codes():
+    """No row that reaches the floor is excluded, also where sums lie far from their rows or opposite to them, and floors are negative."""
+    x = additive._units(vectors(500, 8, seed=6).astype(float))
+    rng = np.random.default_rng(0)
+    books = rng.normal(size=(3, 16, 8)).astype(np.float32)
+    codes = rng.integers(0, 16, (500, 3)).astype(np.uint8)
+    fit = additive._fit(x, codes, books).astype(np.float32)
+    sums = sum(books[m][codes[:, m]] for m in range(3)).astype(float)
+    assert np.hypot(*fit.T) == pytest.approx(np.linalg.norm(sums, axis=1), rel=1e-5)
+    assert (fit[:, 0] < 0).any()
+    q = x[:40]
+    for floor in (-0.9, -0.2, 0.0, 0.5, 0.999):
+        may = additive._possible((q @ sums.T).astype(np.float32), np.full(40, floor), fit, 1e-5)
+        assert may[q @ x.T >= floor].all()
+    assert not may.all()
+
+
 def test_additive_on_few_rows(spark):
     got = additive.nearest(frame(spark, [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])])).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, 1, 1.0), (0, 2, 2, 0.0)]
