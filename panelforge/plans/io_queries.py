@@ -41,8 +41,7 @@ def dated_csv_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matrix_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as a matrix of dates and stocks, written as csv and read as rows again."""
     path = shared_path(spark, "matrix") + ".csv"
-    wide = panel.long_to_wide(market.returns(market.panel(spark, sf_dir)).where("value is not null"))
-    writers.write_csv(wide, path, keys=["date"])
+    writers.write_matrix(market.returns(market.panel(spark, sf_dir)).where("value is not null"), path)
     return readers.read_matrix(spark, path)
 
 

@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import assert_all, assert_matched, assert_unique, passing, require_columns
@@ -46,10 +46,34 @@ def import_pickle(spark: SparkSession, path: str, target: str) -> DataFrame:
     return spark.read.parquet(target)
 
 
+def _csv_cells(line: Column) -> Column:
+    """The cells of a csv line; those in quotes may hold commas, and quotes behind a backslash or doubled."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"\\]++|\\.|"")*+"|[^,]*)'), F.lit(1))
+    bare = lambda c: F.when(c.rlike('^".*"$'), F.regexp_replace(F.substring(c, F.lit(2), F.length(c) - 2), r'\\(.)|"(")', "$1$2")).otherwise(c)
+    return F.when(F.contains(line, F.lit('"')), F.transform(found, bare)).otherwise(F.split(line, ",", -1))
+
+
+def _csv_matrix(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """(date, stock_code, value) as text. A matrix may have more columns than a plan can, so lines are cut in their rows; the driver gets the header, as of any csv."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    head = lines.first()
+    if head is None:
+        raise ValueError("the matrix has no columns")
+    header = lines.sparkSession.createDataFrame([(head[0],)], "_head string").select("_head", F.slice(_csv_cells(F.col("_head")), 2, len(head[0]) + 1).alias("_names"))
+    if not header.where(F.size("_names") > 0).count():
+        raise ValueError("the matrix has no columns")
+    cut = lines.crossJoin(F.broadcast(header)).where(F.col("value") != F.col("_head")).select("_names", _csv_cells(F.col("value")).alias("_cells"))  # one row
+    pairs = F.arrays_zip(F.col("_names").alias("stock_code"), F.slice("_cells", 2, F.size("_names")).alias("v"))
+    return cut.select(F.get("_cells", F.lit(0)).alias("date"), F.inline(pairs)).select("date", "stock_code", finite(F.col("v")).alias(value)).where(F.col(value).isNotNull())
+
+
 def read_matrix(spark: SparkSession, path: str, value: str = "value") -> DataFrame:
     """A date x stock matrix as rows (date, stock_code, value); the first column holds the dates. Dates and codes must be unique."""
-    wide = read_table(spark, path)
-    long = wide_to_long(wide, wide.columns[0], value).withColumnRenamed(wide.columns[0], "date")
+    if path.rstrip("/").lower().endswith((".csv", ".txt")):
+        long = _csv_matrix(spark, path, value)
+    else:
+        wide = read_table(spark, path)
+        long = wide_to_long(wide, wide.columns[0], value).withColumnRenamed(wide.columns[0], "date")
     out = long.select(parsed_date(F.col("date")).alias("date"), stock_code(F.col("stock_code")).alias("stock_code"), value)
     assert_all(out, F.col("date").isNotNull(), "the matrix has rows without a date")
     assert_unique(out, ["date", "stock_code"], "the matrix")
