@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import checkpointed, shared_path
+from ..functions.storage import checkpointed, forget, shared_path, stored
 from ..operators import diagnose, evaluate, nav, neutralize, panel, periods
 from ..sources import bundles, market as stores, readers, writers
 from . import market
@@ -146,9 +146,11 @@ def training_data_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def raw_feature_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw features of a universe with a raw signal, exported as a bundle and read from it."""
-    p, root = market.panel(spark, sf_dir), shared_path(spark, "raw-features")
+    root = shared_path(spark, "raw-features")
+    p, own = stored(market.panel(spark, sf_dir), "market")  # context, signal and universe come from it
     signal = p.select("date", "stock_code", F.log("market_cap").alias("value"))
     bundles.export_raw_features(spark, p, {"size": signal}, root, p.where("turnover > 0.05").select("date", "stock_code"))
+    forget(spark, own)
     return bundles.read_bundle(spark, root)["raw_training_features"]
 
 

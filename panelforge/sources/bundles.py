@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.checks import require_columns
+from ..functions.storage import forget, stored
 from .writers import folded, table_digest, write_sorted
 
 STOCK_DAY, DAY, SERIES = ("date", "stock_code"), ("fold_id", "split", "date"), ("fold_id", "split", "bucket_index")
@@ -188,7 +189,8 @@ def export_raw_features(spark: SparkSession, context: DataFrame, signals: Mappin
     from ..operators import diagnose, panel
 
     base = panel.restrict_to_universe(context, universe) if universe is not None else context
-    features = panel.attach_signals(base, signals) if signals else base
+    # five tables in two formats and their summaries come from it, each with passes of its own
+    features, own = stored(panel.attach_signals(base, signals) if signals else base, "raw-features")
     tables = {
         "raw_training_features": features,
         "index_constituents": panel.index_constituents(features),
@@ -201,4 +203,6 @@ def export_raw_features(spark: SparkSession, context: DataFrame, signals: Mappin
     summary["signals"] = [r.asDict() for r in panel.signal_diagnostics(features, list(signals)).orderBy("signal").collect()] if signals else []
     summary["universe"] = "none" if universe is None else "given"
     summary["notes"] = list(notes)
-    return write_bundle(spark, "raw_features", tables, root, summary, version, ("parquet", "csv"))
+    manifest = write_bundle(spark, "raw_features", tables, root, summary, version, ("parquet", "csv"))
+    forget(spark, own)
+    return manifest
